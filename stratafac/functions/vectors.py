@@ -44,11 +44,19 @@ def zeros(d: int) -> Column:
     return F.array(*[F.lit(0.0) for _ in range(d)])
 
 
+# Comparison grid: 2^-20. Values built from short decimals (x.5, 0.31, ...)
+# often sit exactly on a 6-decimal midpoint, where summation-order noise flips
+# the rounding; no decimal with fewer than 21 digits is a midpoint of a binary
+# grid, so rounding to multiples of 2^-20 is stable across engines.
+GRID = 1048576.0
+
+
 def round6(x: Column) -> Column:
-    """Round to 6 places and fold -0.0 into 0.0 (stable value hashes)."""
-    r = F.round(x, 6)
+    """Round to the 2^-20 grid (about 6 decimals) and fold -0.0 into 0.0."""
+    r = F.round(x * F.lit(GRID)) / F.lit(GRID)
     return F.when(r == 0, F.lit(0.0)).otherwise(r)
 
 
 def sql_round6(expr: str) -> str:
-    return f"(CASE WHEN round({expr}, 6) = 0 THEN 0.0::DOUBLE ELSE round({expr}, 6) END)"
+    r = f"(round(({expr}) * {GRID}) / {GRID})"
+    return f"(CASE WHEN {r} = 0 THEN 0.0::DOUBLE ELSE {r} END)"

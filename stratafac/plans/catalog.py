@@ -14,8 +14,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafac.functions.hashing import sql_hash_bits
-from stratafac.operators import stats
+from stratafac.functions.hashing import sql_hash_bits, sql_hash_uniform
+from stratafac.operators import evaluate, model, stats
+from stratafac.operators import factors as fac
+from stratafac.schema import ITEM, USER
 from stratafac.plans.checks import Spec, shape, shape_sql
 from stratafac.sources import ratings as src
 
@@ -269,6 +271,331 @@ def q_user_stats(spark, sf_dir):
     return stats.user_stats(ratings(spark, sf_dir))
 
 
+# --- D. initialisation -----------------------------------------------------
+
+FACTOR_LONG: Spec = [("kind", "s"), ("id", "l"), ("k", "l"), ("val", "d")]
+
+
+def _ids_sql(table: str = "r") -> str:
+    return (
+        f"SELECT 'U' AS kind, \"user\" AS id FROM (SELECT DISTINCT \"user\" FROM {table}) a "
+        f"UNION ALL SELECT 'V' AS kind, item AS id FROM (SELECT DISTINCT item FROM {table}) b"
+    )
+
+
+def _long_sql(val_expr: str, table: str = "r") -> str:
+    return (
+        f"SELECT kind, id, k, {val_expr} AS val FROM ({_ids_sql(table)}) ids, "
+        f"(SELECT range AS k FROM range({RANK})) kk"
+    )
+
+
+@register("init_constant", FACTOR_LONG, with_ratings(_long_sql(f"{fac.CONST_SGD}::DOUBLE")))
+def q_init_constant(spark, sf_dir):
+    """Constant start 0.3 for every user and item."""
+    return fac.long_form(fac.init_factors(ratings(spark, sf_dir), RANK, "constant"))
+
+
+@register(
+    "init_uniform",
+    FACTOR_LONG,
+    with_ratings(_long_sql(sql_hash_uniform(SEED, "init", "@kind", "@id", "@k"))),
+)
+def q_init_uniform(spark, sf_dir):
+    """Keyed uniform [0, 1) start."""
+    return fac.long_form(fac.init_factors(ratings(spark, sf_dir), RANK, "uniform", seed=SEED))
+
+
+@register(
+    "init_sgld",
+    FACTOR_LONG,
+    with_ratings(
+        _long_sql(f"{fac.CONST_SGD}::DOUBLE")
+        + f" UNION ALL SELECT lam AS kind, range AS id, range AS k, {fac.PRIOR_PRECISION}::DOUBLE AS val "
+        "FROM range(" + str(RANK) + "), (SELECT 'LambdaU' AS lam UNION ALL SELECT 'LambdaV') l"
+    ),
+)
+def q_init_sgld(spark, sf_dir):
+    """D3: SGLD start: constant U, V and the diagonal prior precision 2·I."""
+    factors, lam_u, lam_v = fac.sgld_init(ratings(spark, sf_dir), RANK)
+    diag = factors.sparkSession.createDataFrame(
+        [(name, k, k, float(val)) for name, lam in (("LambdaU", lam_u), ("LambdaV", lam_v)) for k, val in enumerate(lam)],
+        "kind string, id bigint, k bigint, val double",
+    )
+    return fac.long_form(factors).unionByName(diag.select("kind", "id", F.col("k").cast("int"), "val"))
+
+
+# --- E. model arithmetic (arithmetic factors, so nothing depends on training) ---
+
+
+def _a(id_expr: str, k: int, step: str = "0") -> str:
+    return fac.sql_arithmetic(id_expr, str(k), step)
+
+
+def _sql_dot(u: str = '"user"', i: str = "item") -> str:
+    return " + ".join(f"{_a(u, k)} * {_a(i, k)}" for k in range(RANK))
+
+
+def _sql_sqnorm(x: str) -> str:
+    return " + ".join(f"{_a(x, k)} * {_a(x, k)}" for k in range(RANK))
+
+
+def arith_factors(df: DataFrame) -> DataFrame:
+    return fac.init_factors(df, RANK, "arithmetic")
+
+
+def rated_arith(spark, sf_dir) -> DataFrame:
+    r = ratings(spark, sf_dir)
+    return model.attach_factors(r, arith_factors(r))
+
+
+@register(
+    "predict",
+    TRIPLE + [("pred", "d")],
+    with_ratings(f'SELECT "user", item, rating, {_sql_dot()} AS pred FROM r'),
+)
+def q_predict(spark, sf_dir):
+    """q·p for every rating."""
+    return model.predict(rated_arith(spark, sf_dir), RANK)
+
+
+@register(
+    "predict_clipped",
+    [("user", "l"), ("item", "l"), ("pred", "d")],
+    with_ratings(
+        'SELECT "user", item, CASE WHEN pr > 0 AND pr < 1.0 THEN 1.0 WHEN pr > 5.0 THEN 5.0 ELSE pr END AS pred '
+        f'FROM (SELECT "user", item, {_sql_dot()} AS pr FROM r) x'
+    ),
+)
+def q_predict_clipped(spark, sf_dir):
+    """Predictions clipped to the 1..5 rating scale."""
+    rated = rated_arith(spark, sf_dir)
+    return rated.select("user", "item", model.clip_prediction(model.prediction(RANK)).alias("pred"))
+
+
+@register(
+    "residuals",
+    TRIPLE + [("e", "d")],
+    with_ratings(f'SELECT "user", item, rating, rating - ({_sql_dot()}) AS e FROM r'),
+)
+def q_residuals(spark, sf_dir):
+    """Rating - q·p."""
+    return model.residuals(rated_arith(spark, sf_dir), RANK).select("user", "item", "rating", "e")
+
+
+GRAD_LONG: Spec = [("kind", "s"), ("id", "l"), ("k", "l"), ("g", "d")]
+
+
+def _l2_grad_sql() -> str:
+    rho = model.RHO_L2
+    parts = []
+    for k in range(RANK):
+        parts.append(
+            f"SELECT 'U' AS kind, \"user\" AS id, {k} AS k, sum(-e * {_a('item', k)} + {rho}::DOUBLE * {_a(chr(34) + 'user' + chr(34), k)}) AS g "
+            f'FROM e GROUP BY "user"'
+        )
+        parts.append(
+            f"SELECT 'V' AS kind, item AS id, {k} AS k, sum(-e * {_a(chr(34) + 'user' + chr(34), k)} + {rho}::DOUBLE * {_a('item', k)}) AS g "
+            "FROM e GROUP BY item"
+        )
+    return " UNION ALL ".join(parts)
+
+
+_E_CTE = f'e AS (SELECT "user", item, rating, rating - ({_sql_dot()}) AS e FROM r)'
+
+
+@register("l2_gradient", GRAD_LONG, with_ratings(_l2_grad_sql(), _E_CTE))
+def q_l2_gradient(spark, sf_dir):
+    """Summed L2 gradients per user and item (rho = 0.2)."""
+    g = model.l2_gradient(rated_arith(spark, sf_dir), RANK)
+    return fac.long_form(g, "g", "g")
+
+
+@register(
+    "r1_objective",
+    [("obj_l2", "d"), ("obj_abs", "d")],
+    with_ratings(
+        f"SELECT sum(e * e / 2.0 + pen) AS obj_l2, sum(abs(e) + pen) AS obj_abs FROM ("
+        f'SELECT rating - ({_sql_dot()}) AS e, {model.RHO_R1 / 2.0}::DOUBLE * (({_sql_sqnorm(chr(34) + "user" + chr(34))}) + ({_sql_sqnorm("item")})) AS pen FROM r) x'
+    ),
+)
+def q_r1_objective(spark, sf_dir):
+    """Squared-error objective (reported) and its absolute-error twin (rho = 0.5)."""
+    return model.objectives(rated_arith(spark, sf_dir), RANK, model.RHO_R1)
+
+
+def _r1_grad_sql() -> str:
+    rho = model.RHO_R1
+    u = '"user"'
+    parts = []
+    for k in range(RANK):
+        parts.append(
+            f'SELECT "user", item, {k} AS k, '
+            f"-w * s * {_a(u, k)} + {rho}::DOUBLE * {_a(u, k)} AS g_q, "
+            f"-s * {_a('item', k)} + {rho}::DOUBLE * {_a('item', k)} AS g_p FROM x"
+        )
+    return " UNION ALL ".join(parts)
+
+
+@register(
+    "r1_gradient",
+    [("user", "l"), ("item", "l"), ("k", "l"), ("g_q", "d"), ("g_p", "d")],
+    with_ratings(
+        _r1_grad_sql(),
+        'nu AS (SELECT "user", count(*) AS ni FROM r GROUP BY "user"), '
+        "ni AS (SELECT item, count(*) AS nj FROM r GROUP BY item), "
+        f'x AS (SELECT r."user", r.item, CAST(sign(rating - ({_sql_dot("r." + chr(34) + "user" + chr(34), "r.item")})) AS DOUBLE) AS s, '
+        'CAST(ni AS DOUBLE) / CAST(nj AS DOUBLE) AS w FROM r JOIN nu USING ("user") JOIN ni USING (item))',
+    ),
+)
+def q_r1_gradient(spark, sf_dir):
+    """E5: R1 gradients as written (count-weighted sign, own-vector data term)."""
+    r = ratings(spark, sf_dir)
+    rc = model.with_counts(r, stats.counts(r, "user"), stats.counts(r, "item"))
+    g = model.r1_gradient(model.attach_factors(rc, arith_factors(r)), RANK, model.RHO_R1, "as_written")
+    return g.select("user", "item", F.posexplode(F.arrays_zip("g_q", "g_p")).alias("k", "z")).select(
+        "user", "item", "k", F.col("z.g_q").alias("g_q"), F.col("z.g_p").alias("g_p")
+    )
+
+
+FIRST_STEP = 0.9  # harmonic schedule eta0 / (0 + 1)
+
+
+@register(
+    "factor_step",
+    FACTOR_LONG,
+    with_ratings(
+        "SELECT g.kind, g.id, g.k, "
+        + "CASE WHEN g.kind = 'U' THEN "
+        + fac.sql_arithmetic("g.id", "g.k")
+        + f" ELSE {fac.sql_arithmetic('g.id', 'g.k')} END - {FIRST_STEP}::DOUBLE * g.g AS val FROM g",
+        _E_CTE + f", g AS ({_l2_grad_sql()})",
+    ),
+)
+def q_factor_step(spark, sf_dir):
+    """One batched L2 step from the old pair (eta = 0.9)."""
+    r = ratings(spark, sf_dir)
+    f0 = arith_factors(r)
+    g = model.l2_gradient(model.attach_factors(r, f0), RANK)
+    return fac.long_form(model.apply_gradient(f0, g, FIRST_STEP, RANK))
+
+
+@register(
+    "factor_norms",
+    [("kind", "s"), ("k", "l"), ("norm2", "d")],
+    with_ratings(
+        "SELECT kind, k, sum(val * val) AS norm2 FROM ("
+        + _long_sql(fac.sql_arithmetic("id", "k"))
+        + ") x GROUP BY kind, k"
+    ),
+)
+def q_factor_norms(spark, sf_dir):
+    """Per-dimension squared norms of U and V."""
+    return model.factor_norms(arith_factors(ratings(spark, sf_dir)), RANK)
+
+
+# --- H. evaluation (test = hash holdout, factors = arithmetic on train ids) ---
+
+_SPLIT_CTE = (
+    f"h AS ({holdout_sql()}), "
+    "train AS (SELECT \"user\", item, rating FROM h WHERE split = 'train'), "
+    "test AS (SELECT \"user\", item, rating FROM h WHERE split = 'test'), "
+    'ku AS (SELECT DISTINCT "user" AS uid FROM train), ki AS (SELECT DISTINCT item AS iid FROM train)'
+)
+
+
+def _cold(id_expr: str, known: str, k: int) -> str:
+    return f"(CASE WHEN {known} IS NOT NULL THEN {_a(id_expr, k)} ELSE {fac.CONST_SGD}::DOUBLE END)"
+
+
+_ALIGNED_PRED = " + ".join(f"{_cold('t.' + chr(34) + 'user' + chr(34), 'ku.uid', k)} * {_cold('t.item', 'ki.iid', k)}" for k in range(RANK))
+_ALIGNED_FROM = 'test t LEFT JOIN ku ON t."user" = ku.uid LEFT JOIN ki ON t.item = ki.iid'
+
+
+def split_arith(spark, sf_dir):
+    train, test = src.train_test(ratings(spark, sf_dir), HOLDOUT_K, SEED)
+    return train, test, arith_factors(train)
+
+
+@register(
+    "aligned_test",
+    TRIPLE + [("user_known", "b"), ("item_known", "b"), ("pred", "d")],
+    with_ratings(
+        f't."user", t.item, t.rating, ku.uid IS NOT NULL AS user_known, ki.iid IS NOT NULL AS item_known, '
+        f"{_ALIGNED_PRED} AS pred FROM {_ALIGNED_FROM}".join(["SELECT ", ""]),
+        _SPLIT_CTE,
+    ),
+)
+def q_aligned_test(spark, sf_dir):
+    """Test cells with train factors attached; unseen ids keep the start value."""
+    train, test, f = split_arith(spark, sf_dir)
+    a = stats.align_test(test, f, RANK, "init", fac.CONST_SGD)
+    return a.withColumn("pred", model.prediction(RANK))
+
+
+@register(
+    "squared_errors",
+    TRIPLE + [("sq_err", "d")],
+    with_ratings(f't."user", t.item, t.rating, pow(t.rating - ({_ALIGNED_PRED}), 2) AS sq_err FROM {_ALIGNED_FROM}'.join(["SELECT ", ""]), _SPLIT_CTE),
+)
+def q_squared_errors(spark, sf_dir):
+    """H2: squared error of each test cell."""
+    train, test, f = split_arith(spark, sf_dir)
+    return evaluate.squared_errors(test, f, RANK)
+
+
+@register(
+    "rmse",
+    [("rmse", "d"), ("n", "l")],
+    with_ratings(
+        f"SELECT sqrt(avg(pow(t.rating - ({_ALIGNED_PRED}), 2))) AS rmse, count(*) AS n FROM {_ALIGNED_FROM}",
+        _SPLIT_CTE,
+    ),
+)
+def q_rmse(spark, sf_dir):
+    """H1: held-out RMSE over all test cells."""
+    train, test, f = split_arith(spark, sf_dir)
+    return evaluate.rmse(test, f, RANK)
+
+
+@register(
+    "rmse_skip_zero",
+    [("rmse", "d"), ("n", "l")],
+    with_ratings(
+        f"SELECT sqrt(avg(e * e)) AS rmse, count(*) AS n FROM (SELECT t.rating - ({_ALIGNED_PRED}) AS e FROM {_ALIGNED_FROM}) x "
+        f"WHERE abs(e) > {evaluate.ZERO_EPS}",
+        _SPLIT_CTE,
+    ),
+)
+def q_rmse_skip_zero(spark, sf_dir):
+    """H1: RMSE over test cells with a non-zero residual only."""
+    train, test, f = split_arith(spark, sf_dir)
+    return evaluate.rmse(test, f, RANK, skip_zero=True)
+
+
+SNAPSHOT_STEPS = 3
+
+
+@register(
+    "rmse_by_step",
+    [("step", "l"), ("rmse", "d"), ("n", "l")],
+    with_ratings(
+        "SELECT step, sqrt(avg(e * e)) AS rmse, count(*) AS n FROM ("
+        "SELECT st.range AS step, t.rating - ("
+        + " + ".join(f"{_a('t.' + chr(34) + 'user' + chr(34), k, 'st.range')} * {_a('t.item', k, 'st.range')}" for k in range(RANK))
+        + f") AS e FROM test t JOIN ku ON t.\"user\" = ku.uid JOIN ki ON t.item = ki.iid, range({SNAPSHOT_STEPS}) st) x GROUP BY step",
+        _SPLIT_CTE,
+    ),
+)
+def q_rmse_by_step(spark, sf_dir):
+    """H3: RMSE of three snapshot steps in one aggregate."""
+    train, test = src.train_test(ratings(spark, sf_dir), HOLDOUT_K, SEED)
+    ids = fac.init_factors(train, RANK, "constant").select("kind", "id")
+    steps = ids.select("kind", "id", F.explode(F.sequence(F.lit(0), F.lit(SNAPSHOT_STEPS - 1))).alias("step"))
+    snaps = steps.select("step", "kind", "id", fac.arithmetic_vector(F.col("id"), RANK, F.col("step")).alias("v"))
+    return evaluate.rmse_by_step(test, snaps, RANK)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The smoke-check query."""
     return QUERIES["user_zscore"](spark, sf_dir)
