@@ -14,8 +14,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafac.functions.hashing import sql_hash_bits, sql_hash_uniform
-from stratafac.operators import evaluate, model, stats
+from stratafac.functions.hashing import sql_hash_bits, sql_hash_normal, sql_hash_uniform
+from stratafac.operators import attack as atk
+from stratafac.operators import blocks, evaluate, model, sampling, stats
 from stratafac.operators import factors as fac
 from stratafac.schema import ITEM, USER
 from stratafac.plans.checks import Spec, shape, shape_sql
@@ -596,6 +597,389 @@ def q_rmse_by_step(spark, sf_dir):
     return evaluate.rmse_by_step(test, snaps, RANK)
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The smoke-check query."""
-    return QUERIES["user_zscore"](spark, sf_dir)
+# --- C. attacks (reference setting: 30 % attackers, 50 % fillers, item 1) ---
+
+ATTACK = atk.AttackScenario(kind="average", at_size=0.3, fil_size=0.5, target=1, seed=SEED)
+RANDOM_ATTACK = atk.AttackScenario(kind="random", at_size=0.3, fil_size=0.5, target=1, seed=SEED)
+SMALL_ATTACK = atk.AttackScenario(kind="random", at_size=0.1, fil_size=0.2, target=7, seed=SEED)
+U = '"user"'
+
+
+def _attack_ctes(sc: atk.AttackScenario) -> str:
+    h_att = sql_hash_bits(sc.seed, "attacker", f"@{U}")
+    h_fil = sql_hash_bits(sc.seed, "filler", f"@{U}", "@item")
+    z = sql_hash_normal(sc.seed, "value", f"@{U}", "@item")
+    ctes = [
+        f"ext AS (SELECT max({U}) + 1 AS L, max(item) + 1 AS M FROM r)",
+        "g AS (SELECT avg(rating) AS mean, stddev_pop(rating) AS std, max(rating) AS mx FROM r)",
+        f"cand AS (SELECT unnest(range(0, (SELECT L - 1 FROM ext))) AS {U})",
+        f"att AS (SELECT {U} FROM (SELECT {U}, row_number() OVER (ORDER BY {h_att}, {U}) AS rn FROM cand) x "
+        f"WHERE rn <= (SELECT floor(L * {sc.at_size}::DOUBLE) FROM ext))",
+        f"fc AS (SELECT {U}, unnest(range(0, (SELECT M - 1 FROM ext))) AS item FROM att)",
+        f"fil AS (SELECT {U}, item FROM (SELECT {U}, item, row_number() OVER (PARTITION BY {U} ORDER BY {h_fil}, item) AS rn "
+        f"FROM fc) x WHERE rn <= (SELECT floor(M * {sc.fil_size}::DOUBLE) FROM ext))",
+    ]
+    if sc.kind == "random":
+        fill = f"SELECT {U}, item, (SELECT mean FROM g) + (SELECT std FROM g) * {z} AS rating FROM fil"
+    else:
+        ctes.append(f"us AS (SELECT {U}, avg(rating) AS m, stddev_pop(rating) AS s FROM r GROUP BY {U})")
+        fill = (
+            f"SELECT fil.{U}, fil.item, coalesce(us.m, (SELECT mean FROM g)) + coalesce(us.s, (SELECT std FROM g)) * {z} "
+            f"AS rating FROM fil LEFT JOIN us USING ({U})"
+        )
+    ctes.append(
+        f"fake AS (SELECT * FROM ({fill}) f WHERE item <> {sc.target} "
+        f"UNION ALL SELECT {U}, CAST({sc.target} AS BIGINT) AS item, (SELECT mx FROM g) AS rating FROM att)"
+    )
+    ctes.append(
+        f"atk AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM fake f WHERE f.{U} = r.{U} AND f.item = r.item) "
+        "UNION ALL SELECT * FROM fake)"
+    )
+    return ", ".join(ctes)
+
+
+@register("attackers", [("user", "l")], with_ratings("SELECT * FROM att", _attack_ctes(ATTACK)))
+def q_attackers(spark, sf_dir):
+    """30 % of the user range (last id excluded), by keyed hash."""
+    n_users, _ = src.extent_values(ratings(spark, sf_dir))
+    return atk.choose_attackers(spark, n_users, ATTACK.at_size, SEED)
+
+
+@register("fillers", [("user", "l"), ("item", "l")], with_ratings("SELECT * FROM fil", _attack_ctes(ATTACK)))
+def q_fillers(spark, sf_dir):
+    """50 % of the item range per attacker (last id excluded)."""
+    n_users, n_items = src.extent_values(ratings(spark, sf_dir))
+    att = atk.choose_attackers(spark, n_users, ATTACK.at_size, SEED)
+    return atk.choose_fillers(att, n_items, ATTACK.fil_size, SEED)
+
+
+@register("random_attack", TRIPLE, with_ratings("SELECT * FROM fake", _attack_ctes(RANDOM_ATTACK)))
+def q_random_attack(spark, sf_dir):
+    """Fake cells ~ N(global mean, global std); target at the global max."""
+    return atk.fake_cells(ratings(spark, sf_dir), RANDOM_ATTACK)
+
+
+@register("average_attack", TRIPLE, with_ratings("SELECT * FROM fake", _attack_ctes(ATTACK)))
+def q_average_attack(spark, sf_dir):
+    """C4: fake cells ~ N(attacker mean, attacker std); target at the global max."""
+    return atk.fake_cells(ratings(spark, sf_dir), ATTACK)
+
+
+@register(
+    "attack_target",
+    TRIPLE,
+    with_ratings(f"SELECT {U}, CAST({ATTACK.target} AS BIGINT) AS item, (SELECT mx FROM g) AS rating FROM att", _attack_ctes(ATTACK)),
+)
+def q_attack_target(spark, sf_dir):
+    """The pushed cells (attacker, target item) at the global maximum."""
+    return atk.target_cells(ratings(spark, sf_dir), ATTACK)
+
+
+@register("attack_overlay", TRIPLE, with_ratings("SELECT * FROM atk", _attack_ctes(ATTACK)))
+def q_attack_overlay(spark, sf_dir):
+    """The attacked rating table (fake cells replace real ones)."""
+    return atk.attack(ratings(spark, sf_dir), ATTACK)
+
+
+SUMMARY_SCENARIOS = (ATTACK, RANDOM_ATTACK, SMALL_ATTACK)
+
+
+def _summary_sql() -> str:
+    parts = []
+    for sc in SUMMARY_SCENARIOS:
+        parts.append(
+            f"(WITH r AS ({RATINGS_SQL}), {_attack_ctes(sc)} SELECT '{sc.name}' AS scenario, "
+            f"{sc.at_size}::DOUBLE AS at_size, {sc.fil_size}::DOUBLE AS fil_size, {sc.target} AS target, "
+            "(SELECT count(*) FROM att) AS n_attackers, (SELECT count(*) FROM fake) AS n_fake, "
+            "(SELECT count(*) FROM atk) AS n_rows)"
+        )
+    return " UNION ALL ".join(parts)
+
+
+@register(
+    "attack_size_summary",
+    [("scenario", "s"), ("at_size", "d"), ("fil_size", "d"), ("target", "l"), ("n_attackers", "l"), ("n_fake", "l"), ("n_rows", "l")],
+    _summary_sql(),
+)
+def q_attack_size_summary(spark, sf_dir):
+    """Scenario table with the size of each attack."""
+    r = ratings(spark, sf_dir)
+    n_users, n_items = src.extent_values(r)
+    g = stats.global_stats_values(r)
+    out = None
+    for sc in SUMMARY_SCENARIOS:
+        fake = atk.fake_cells(r, sc, n_users, n_items, g)
+        attacked = atk.overlay(r, fake)
+        row = (
+            fake.agg(
+                F.countDistinct("user").alias("n_attackers"),
+                F.count(F.lit(1)).alias("n_fake"),
+            )
+            .withColumn("n_rows", F.lit(None).cast("bigint"))
+            .unionByName(
+                attacked.agg(F.count(F.lit(1)).alias("n_rows"))
+                .withColumn("n_attackers", F.lit(None).cast("bigint"))
+                .withColumn("n_fake", F.lit(None).cast("bigint"))
+            )
+            .agg(F.max("n_attackers").alias("n_attackers"), F.max("n_fake").alias("n_fake"), F.max("n_rows").alias("n_rows"))
+            .select(
+                F.lit(sc.name).alias("scenario"),
+                F.lit(sc.at_size).alias("at_size"),
+                F.lit(sc.fil_size).alias("fil_size"),
+                F.lit(sc.target).alias("target"),
+                "n_attackers",
+                "n_fake",
+                "n_rows",
+            )
+        )
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+# --- F1-F4, E7. block grid (B = 4) ------------------------------------------
+
+
+def _blocked_sql(b: int = BLOCKS) -> str:
+    def blk(col: str, n: str) -> str:
+        return (
+            f"CAST(CASE WHEN {n} // {b} = 0 THEN {b - 1} ELSE least({col} // ({n} // {b}), {b - 1}) END AS BIGINT)"
+        )
+
+    return (
+        f"ext AS (SELECT max({U}) + 1 AS L, max(item) + 1 AS M FROM r), "
+        f"bl AS (SELECT {U}, item, rating, {blk(U, '(SELECT L FROM ext)')} AS ub, "
+        f"{blk('item', '(SELECT M FROM ext)')} AS ib FROM r), "
+        f"blocked AS (SELECT *, ((ub - ib) % {b} + {b}) % {b} AS stratum FROM bl)"
+    )
+
+
+def blocked_ratings(spark, sf_dir) -> DataFrame:
+    r = ratings(spark, sf_dir)
+    n_users, n_items = src.extent_values(r)
+    return blocks.assign_blocks(r, n_users, n_items, BLOCKS)
+
+
+BLOCK_SPEC: Spec = [("user", "l"), ("item", "l"), ("ub", "l"), ("ib", "l")]
+
+
+@register("block_assign", BLOCK_SPEC, with_ratings(f"SELECT {U}, item, ub, ib FROM blocked", _blocked_sql()))
+def q_block_assign(spark, sf_dir):
+    """row and column block of every rating (range blocks, B = 4)."""
+    return blocked_ratings(spark, sf_dir)
+
+
+@register(
+    "stratum_schedule",
+    BLOCK_SPEC + [("stratum", "l")],
+    with_ratings(f"SELECT {U}, item, ub, ib, stratum FROM blocked", _blocked_sql()),
+)
+def q_stratum_schedule(spark, sf_dir):
+    """sub-epoch of every rating, (ub - ib) mod B."""
+    return blocked_ratings(spark, sf_dir)
+
+
+@register(
+    "block_nnz",
+    [("stratum", "l"), ("ub", "l"), ("ib", "l"), ("n", "l")],
+    with_ratings("SELECT stratum, ub, ib, count(*) AS n FROM blocked GROUP BY stratum, ub, ib", _blocked_sql()),
+)
+def q_block_nnz(spark, sf_dir):
+    """ratings per block and stratum."""
+    return blocks.block_nnz(blocked_ratings(spark, sf_dir))
+
+
+@register(
+    "draw_with_replacement",
+    [("ub", "l"), ("ib", "l"), ("j", "l"), ("user", "l"), ("item", "l"), ("rating", "d")],
+    with_ratings(
+        f"SELECT dri.ub, dri.ib, dri.j, nb.{U}, nb.item, nb.rating FROM dri JOIN nb USING (ub, ib, idx)",
+        _blocked_sql()
+        + f", nb AS (SELECT *, row_number() OVER (PARTITION BY ub, ib ORDER BY {U}, item) AS idx FROM blocked), "
+        "cnt AS (SELECT ub, ib, count(*) AS n FROM blocked GROUP BY ub, ib), "
+        "dr AS (SELECT ub, ib, n, unnest(range(1, n + 1)) AS j FROM cnt), "
+        f"dri AS (SELECT ub, ib, j, 1 + CAST(floor({sql_hash_uniform(SEED, 'draw', 0, '@ub', '@ib', '@j')} * n) AS BIGINT) AS idx FROM dr)",
+    ),
+)
+def q_draw_with_replacement(spark, sf_dir):
+    """Per-block uniform draws with replacement (epoch 0)."""
+    return blocks.draw_with_replacement(blocked_ratings(spark, sf_dir), SEED, 0)
+
+
+# --- G1-G2. SGLD minibatches (round 0, 5 %) ---------------------------------
+
+
+def _batch_sql(mode: str, t: int = 0) -> str:
+    if mode == "threshold":
+        return f"SELECT * FROM r WHERE {sql_hash_uniform(SEED, 'batch', t, f'@{U}', '@item')} < {BATCH_FRACTION}"
+    h = sql_hash_bits(SEED, "batch", t, f"@{U}", "@item")
+    return (
+        f"SELECT {U}, item, rating FROM (SELECT *, row_number() OVER (ORDER BY {h}, {U}, item) AS rn FROM r) x "
+        f"WHERE rn <= (SELECT floor(count(*) * {BATCH_FRACTION}::DOUBLE) FROM r)"
+    )
+
+
+@register("minibatch", TRIPLE, with_ratings(_batch_sql("threshold")))
+def q_minibatch(spark, sf_dir):
+    """G1 (threshold mode): each rating with probability 0.05."""
+    return sampling.minibatch(ratings(spark, sf_dir), BATCH_FRACTION, SEED, 0, "threshold")
+
+
+@register("minibatch_exact", TRIPLE, with_ratings(_batch_sql("exact")))
+def q_minibatch_exact(spark, sf_dir):
+    """G1 (exact mode): int(0.05·N) ratings without replacement."""
+    return sampling.minibatch(ratings(spark, sf_dir), BATCH_FRACTION, SEED, 0, "exact")
+
+
+@register(
+    "batch_entities",
+    [("kind", "s"), ("id", "l")],
+    with_ratings(
+        f"SELECT DISTINCT 'U' AS kind, {U} AS id FROM b UNION ALL SELECT DISTINCT 'V' AS kind, item AS id FROM b",
+        f"b AS ({_batch_sql('threshold')})",
+    ),
+)
+def q_batch_entities(spark, sf_dir):
+    """Distinct users and items touched by the batch."""
+    from stratafac.operators import langevin
+
+    return langevin.batch_entities(sampling.minibatch(ratings(spark, sf_dir), BATCH_FRACTION, SEED, 0, "threshold"))
+
+
+# --- G3-G7. one SGLD round from arithmetic factors (t = 0, step 1e-4) ---------
+
+STEP0 = 1e-4
+PRIOR = fac.PRIOR_PRECISION
+
+
+def _sgld_base(spark, sf_dir):
+    from stratafac.operators import langevin
+
+    r = ratings(spark, sf_dir)
+    f = arith_factors(r)
+    n_total = r.count()
+    batch = sampling.minibatch(r, BATCH_FRACTION, SEED, 0, "threshold")
+    m = batch.count()
+    fh = langevin.with_inclusion(
+        f, stats.inclusion_prob(r, "user", BATCH_FRACTION), stats.inclusion_prob(r, "item", BATCH_FRACTION)
+    )
+    return r, f, fh, batch, n_total, m
+
+
+_KK = f"kk AS (SELECT range AS k FROM range({RANK}))"
+_SGLD_CTES = ", ".join(
+    [
+        f"b AS ({_batch_sql('threshold')})",
+        "mm AS (SELECT count(*) AS m FROM b)",
+        "nn AS (SELECT count(*) AS n FROM r)",
+        _KK,
+        f"e AS (SELECT {U}, item, rating - ({_sql_dot()}) AS e FROM b)",
+        "hp AS ("
+        + " UNION ALL ".join(
+            f"SELECT '{kind}' AS kind, {col} AS id, 1.0 - pow(1.0 - count(*) / (SELECT n FROM nn)::DOUBLE, "
+            f"floor((SELECT n FROM nn) * {BATCH_FRACTION})::DOUBLE) AS h FROM r GROUP BY {col}"
+            for kind, col in (("U", U), ("V", "item"))
+        )
+        + ")",
+        "gs AS ("
+        f"SELECT 'U' AS kind, {U} AS id, k, sum(e * {fac.sql_arithmetic('item', 'k')}) AS s FROM e, kk GROUP BY {U}, k "
+        f"UNION ALL SELECT 'V' AS kind, item AS id, k, sum(e * {fac.sql_arithmetic(U, 'k')}) AS s FROM e, kk GROUP BY item, k)",
+        f"tid AS (SELECT DISTINCT 'U' AS kind, {U} AS id FROM b UNION ALL SELECT DISTINCT 'V' AS kind, item AS id FROM b)",
+    ]
+)
+
+
+@register(
+    "sgld_row_grad",
+    [("user", "l"), ("item", "l"), ("k", "l"), ("gu", "d"), ("gv", "d")],
+    with_ratings(
+        f"SELECT {U}, item, k, e * {fac.sql_arithmetic('item', 'k')} AS gu, e * {fac.sql_arithmetic(U, 'k')} AS gv FROM e, kk",
+        _SGLD_CTES,
+    ),
+)
+def q_sgld_row_grad(spark, sf_dir):
+    """Per-rating likelihood gradients of the batch."""
+    from stratafac.operators import langevin
+
+    r, f, fh, batch, n_total, m = _sgld_base(spark, sf_dir)
+    g = langevin.row_gradients(batch, f, RANK)
+    return g.select("user", "item", F.posexplode(F.arrays_zip("gu", "gv")).alias("k", "z")).select(
+        "user", "item", "k", F.col("z.gu").alias("gu"), F.col("z.gv").alias("gv")
+    )
+
+
+def _grad_query(kind: str):
+    def run(spark, sf_dir):
+        from stratafac.operators import langevin
+
+        r, f, fh, batch, n_total, m = _sgld_base(spark, sf_dir)
+        g = langevin.batch_gradients(batch, f, RANK, m).filter(F.col("kind") == kind)
+        return g.select("id", F.posexplode("g").alias("k", "g"))
+
+    return run
+
+
+_GSPEC: Spec = [("id", "l"), ("k", "l"), ("g", "d")]
+register("sgld_user_grad", _GSPEC, with_ratings("SELECT id, k, s / (SELECT m FROM mm) AS g FROM gs WHERE kind = 'U'", _SGLD_CTES))(
+    _grad_query(USER)
+)
+register("sgld_item_grad", _GSPEC, with_ratings("SELECT id, k, s / (SELECT m FROM mm) AS g FROM gs WHERE kind = 'V'", _SGLD_CTES))(
+    _grad_query(ITEM)
+)
+
+
+@register(
+    "sgld_prior_term",
+    [("kind", "s"), ("id", "l"), ("k", "l"), ("prior", "d")],
+    with_ratings(
+        f"SELECT tid.kind, tid.id, k, {fac.sql_arithmetic('tid.id', 'k')} * {PRIOR}::DOUBLE / hp.h AS prior "
+        "FROM tid JOIN hp USING (kind, id), kk",
+        _SGLD_CTES,
+    ),
+)
+def q_sgld_prior_term(spark, sf_dir):
+    """(1/h)·v·λ for the ids touched by the batch."""
+    from stratafac.operators import langevin
+
+    r, f, fh, batch, n_total, m = _sgld_base(spark, sf_dir)
+    touched = fh.join(langevin.batch_entities(batch), ["kind", "id"], "left_semi")
+    p = langevin.prior_term(touched, [PRIOR] * RANK, [PRIOR] * RANK, RANK)
+    return p.select("kind", "id", F.posexplode("prior").alias("k", "prior"))
+
+
+@register(
+    "sgld_noise",
+    [("kind", "s"), ("id", "l"), ("k", "l"), ("noise", "d")],
+    with_ratings(
+        f"SELECT kind, id, k, sqrt({STEP0}) * {sql_hash_normal(SEED, 'noise', 0, '@kind', '@id', '@k')} AS noise FROM tid, kk",
+        _SGLD_CTES,
+    ),
+)
+def q_sgld_noise(spark, sf_dir):
+    """G6 (per_row): independent N(0, step·I) draws for the touched ids."""
+    from stratafac.operators import langevin
+
+    r = ratings(spark, sf_dir)
+    ent = langevin.batch_entities(sampling.minibatch(r, BATCH_FRACTION, SEED, 0, "threshold"))
+    return ent.select("kind", "id", F.posexplode(langevin.per_row_noise(SEED, 0, STEP0, RANK)).alias("k", "noise"))
+
+
+def _sgld_step_sql() -> str:
+    a = fac.sql_arithmetic("ids.id", "kk.k")
+    half = repr(0.5 * STEP0)
+    nz = f"sqrt({STEP0}) * {sql_hash_normal(SEED, 'noise', 0, '@kk.k')}"
+    return (
+        f"SELECT ids.kind, ids.id, kk.k, CASE WHEN gs.s IS NULL THEN {a} ELSE "
+        f"{a} + {half} * ((SELECT n FROM nn) * (gs.s / (SELECT m FROM mm)) - {a} * {PRIOR}::DOUBLE / hp.h) + {nz} END AS val "
+        f"FROM ({_ids_sql()}) ids CROSS JOIN kk LEFT JOIN gs ON gs.kind = ids.kind AND gs.id = ids.id AND gs.k = kk.k "
+        "LEFT JOIN hp ON hp.kind = ids.kind AND hp.id = ids.id"
+    )
+
+
+@register("sgld_step", FACTOR_LONG, with_ratings(_sgld_step_sql(), _SGLD_CTES))
+def q_sgld_step(spark, sf_dir):
+    """One full SGLD round (shared noise, both sides from the old values)."""
+    from stratafac.operators import langevin
+
+    r, f, fh, batch, n_total, m = _sgld_base(spark, sf_dir)
+    new = langevin.sgld_update(fh, batch, RANK, n_total, m, STEP0, [PRIOR] * RANK, [PRIOR] * RANK, 0, SEED, "shared")
+    return fac.long_form(new)
