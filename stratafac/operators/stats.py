@@ -100,23 +100,35 @@ def inclusion_prob(df: DataFrame, key: str, fraction: float = DEFAULT_BATCH_FRAC
     return c.select(F.col(key).alias("id"), "n", h.alias("h"))
 
 
-def align_test(test: DataFrame, factors: DataFrame, d: int, cold_start: str = "init", init_value: float = 0.3) -> DataFrame:
+def align_test(
+    test: DataFrame,
+    factors: DataFrame,
+    d: int,
+    cold_start: str = "init",
+    init_value: float = 0.3,
+    init_method: str = "constant",
+    seed: int = 42,
+) -> DataFrame:
     """Attach user vector ``q`` and item vector ``p`` to every test cell.
 
-    ``cold_start='init'`` gives unseen ids the constant start vector (what an
-    index into the initial matrix would return); ``'drop'`` removes them.
+    ``cold_start='init'`` gives ids unseen in training their start vector
+    (what an index into the initial matrix would return); ``'drop'`` removes
+    the cells instead.
     """
+    from stratafac.operators.factors import start_vector
+
     users = factors.filter(F.col("kind") == USER).select(F.col("id").alias("user"), F.col("v").alias("q"))
     items = factors.filter(F.col("kind") == ITEM).select(F.col("id").alias("item"), F.col("v").alias("p"))
     how = "left" if cold_start == "init" else "inner"
     out = test.join(users, "user", how).join(items, "item", how)
-    start = F.array(*[F.lit(float(init_value)) for _ in range(d)])
+    q0 = start_vector(init_method, USER, F.col("user"), d, seed, init_value)
+    p0 = start_vector(init_method, ITEM, F.col("item"), d, seed, init_value)
     return out.select(
         "user",
         "item",
         "rating",
         F.col("q").isNotNull().alias("user_known"),
         F.col("p").isNotNull().alias("item_known"),
-        F.coalesce("q", start).alias("q"),
-        F.coalesce("p", start).alias("p"),
+        F.coalesce("q", q0).alias("q"),
+        F.coalesce("p", p0).alias("p"),
     )

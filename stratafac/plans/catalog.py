@@ -983,3 +983,105 @@ def q_sgld_step(spark, sf_dir):
     r, f, fh, batch, n_total, m = _sgld_base(spark, sf_dir)
     new = langevin.sgld_update(fh, batch, RANK, n_total, m, STEP0, [PRIOR] * RANK, [PRIOR] * RANK, 0, SEED, "shared")
     return fac.long_form(new)
+
+
+
+# --- F5-F9, G8, H5. trainers (no SQL twin: iterative; rows-only check + pytest) ---
+
+METRIC_SPEC: Spec = [("scenario", "s"), ("model", "s"), ("epoch", "l"), ("rmse", "d"), ("elapsed_s", "d")]
+TRAIN_EPOCHS = 5  # DSGD epochs in the registered run (the reference runs 50)
+SGLD_ROUNDS = 20  # SGLD rounds in the registered run (the reference runs 400)
+
+
+def zscored_split(spark, sf_dir):
+    from stratafac.plans.experiments import prepared_split
+
+    return prepared_split(ratings(spark, sf_dir), HOLDOUT_K, SEED)
+
+
+def _metrics_df(spark, rows):
+    from stratafac.sources.sinks import metrics_frame
+
+    return metrics_frame(spark, rows)
+
+
+@register("dsgd_stratum", FACTOR_LONG)
+def q_dsgd_stratum(spark, sf_dir):
+    """one sub-epoch (s = 0) of block SGD from the uniform start."""
+    from stratafac.plans import dsgd
+
+    train, _ = zscored_split(spark, sf_dir)
+    cfg = dsgd.DSGDConfig(rank=RANK, blocks=BLOCKS)
+    n_users, n_items = src.extent_values(train)
+    keys = dsgd.partition_keys(spark, cfg.blocks)
+    prepared = dsgd.prepare_ratings(train, cfg, n_users, n_items, keys)
+    f0 = dsgd.initial_factors(train, cfg, n_users, n_items)
+    return fac.long_form(dsgd.stratum_step(prepared, f0, cfg, keys, 0, 0, 0, 1.0))
+
+
+@register("dsgd_train", METRIC_SPEC)
+def q_dsgd_train(spark, sf_dir):
+    """reference DSGD setting (B = 4, harmonic 0.9 per block, uniform start);
+    RMSE per epoch. A diverging run stops and reports a non-finite RMSE."""
+    from stratafac.plans import dsgd
+
+    train, test = zscored_split(spark, sf_dir)
+    cfg = dsgd.with_overrides(dsgd.DSGD_REFERENCE, epochs=TRAIN_EPOCHS, on_divergence="stop")
+    return _metrics_df(spark, dsgd.train_dsgd(spark, train, test, cfg, "clean", "dsgd").metrics)
+
+
+@register("sgd_linear_train", METRIC_SPEC)
+def q_sgd_linear_train(spark, sf_dir):
+    """F8: 10,000 draws with the linear schedule, constant 0.3 start, RMSE per sub-epoch."""
+    from stratafac.plans import dsgd
+
+    train, test = zscored_split(spark, sf_dir)
+    cfg = dsgd.with_overrides(dsgd.SGD_LINEAR_REFERENCE, on_divergence="stop")
+    return _metrics_df(spark, dsgd.train_dsgd(spark, train, test, cfg, "clean", "sgd_linear").metrics)
+
+
+@register("r1_train", METRIC_SPEC)
+def q_r1_train(spark, sf_dir):
+    """5,000 R1 draws (rho 0.5, eta0 0.001, constant 0.5 start), RMSE per sub-epoch."""
+    from stratafac.plans import dsgd
+
+    train, test = zscored_split(spark, sf_dir)
+    cfg = dsgd.with_overrides(dsgd.R1_REFERENCE, on_divergence="stop")
+    return _metrics_df(spark, dsgd.train_dsgd(spark, train, test, cfg, "clean", "r1").metrics)
+
+
+@register("sgld_train", METRIC_SPEC)
+def q_sgld_train(spark, sf_dir):
+    """SGLD rounds (5 % batches, step 1e-4 polynomial, shared noise), RMSE per round."""
+    from stratafac.plans import sgld
+
+    train, test = zscored_split(spark, sf_dir)
+    cfg = sgld.SGLDConfig(rank=RANK, rounds=SGLD_ROUNDS, on_divergence="stop")
+    return _metrics_df(spark, sgld.train_sgld(spark, train, test, cfg, "clean", "sgld").metrics)
+
+
+def grid_models(dsgd_epochs: int, sgld_rounds: int):
+    from stratafac.plans import dsgd, sgld
+    from stratafac.plans.experiments import ModelSpec
+
+    return (
+        ModelSpec("dsgd", "dsgd", dsgd_cfg=dsgd.with_overrides(dsgd.DSGD_REFERENCE, epochs=dsgd_epochs, draw="permutation", on_divergence="stop")),
+        ModelSpec("sgd_linear", "dsgd", dsgd_cfg=dsgd.with_overrides(dsgd.SGD_LINEAR_REFERENCE, on_divergence="stop", eval_every="epoch")),
+        ModelSpec("r1", "dsgd", dsgd_cfg=dsgd.with_overrides(dsgd.R1_REFERENCE, on_divergence="stop", eval_every="epoch")),
+        ModelSpec("sgld", "sgld", sgld_cfg=sgld.SGLDConfig(rank=RANK, rounds=sgld_rounds, eval_every=sgld_rounds, on_divergence="stop")),
+    )
+
+
+@register("robustness_grid", [("scenario", "s"), ("model", "s"), ("rmse", "d")])
+def q_robustness_grid(spark, sf_dir):
+    """H5: clean vs average attack (0.3 / 0.5 / item 1) for four models; best RMSE each."""
+    from stratafac.plans.experiments import GridConfig, run_grid
+
+    cfg = GridConfig(scenarios=(None, ATTACK), models=grid_models(1, 5), holdout_k=HOLDOUT_K, seed=SEED)
+    metrics = run_grid(spark, ratings(spark, sf_dir), cfg)
+    return metrics.groupBy("scenario", "model").agg(F.min("rmse").alias("rmse"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smoke-check query: the robustness comparison (one epoch per model)."""
+    return QUERIES["robustness_grid"](spark, sf_dir)
