@@ -18,6 +18,8 @@ _DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Checkpoint files of iterations that went out of scope are removed.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -77,3 +79,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint directory for written tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "tables", name)
+
+
+def reliable_cut(df):
+    """Checkpoint ``df`` to the reliable checkpoint directory, computing it once.
+
+    An eager checkpoint runs one job to count and a second one to write the
+    files; persisting first makes the second job read the cached blocks
+    instead of recomputing the plan.
+    """
+    from pyspark import StorageLevel
+
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out

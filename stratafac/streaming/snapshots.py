@@ -1,0 +1,50 @@
+"""Held-out RMSE of snapshots while a trainer is still writing them.
+
+The SGLD trainer appends its factor table under ``<path>/step=<t>/``. A file
+stream over that folder picks up each new step; every micro-batch is scored
+against the (static) test table with the same one-join, one-aggregate plan as
+``evaluate.rmse_by_step`` and appended to a metrics table. Progress lives in
+a streaming checkpoint under the reliable checkpoint directory, so a restarted
+monitor resumes where it stopped.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
+
+from stratafac.operators.evaluate import rmse_by_step
+from stratafac.session import scratch_path
+
+SNAPSHOT_SCHEMA = T.StructType(
+    [
+        T.StructField("kind", T.StringType(), False),
+        T.StructField("id", T.LongType(), False),
+        T.StructField("v", T.ArrayType(T.DoubleType(), True), False),
+        T.StructField("step", T.IntegerType(), True),
+    ]
+)
+
+
+def monitor_snapshots(
+    spark: SparkSession,
+    test: DataFrame,
+    snapshot_path: str,
+    out_path: str,
+    d: int,
+    checkpoint_location: str | None = None,
+    available_now: bool = False,
+    processing_time: str = "30 seconds",
+) -> StreamingQuery:
+    """Start the monitor; each new snapshot step yields one ``(step, rmse, n)`` row."""
+    location = checkpoint_location or scratch_path(spark, "snapshot-monitor")
+
+    def score(batch: DataFrame, _epoch: int) -> None:
+        rmse_by_step(test, batch, d).withColumn("scored_at", F.current_timestamp()).write.mode("append").parquet(out_path)
+
+    stream = spark.readStream.schema(SNAPSHOT_SCHEMA).parquet(snapshot_path)
+    writer = stream.writeStream.foreachBatch(score).option("checkpointLocation", location)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=processing_time)
+    return writer.start()
