@@ -5,7 +5,8 @@ random choice in the engine is a pure function of a key:
 
     bits(key)    = first 32 bits of md5("s<seed>|part1|part2|...")
     uniform(key) = (bits + 0.5) / 2^32            in (0, 1)
-    normal(key)  = sqrt(-2 ln uniform(key|a)) * cos(2 pi uniform(key|b))
+    normal(key)  = sqrt(-2 ln u1) * cos(2 pi u2), with u1 and u2 taken from
+                   the first and second 32 bits of the same md5 digest
 
 The same formulas are emitted as DuckDB SQL text for the oracle queries, so a
 sample drawn by Spark is exactly the sample the oracle draws.
@@ -46,9 +47,11 @@ def hash_uniform(seed: int, *parts: KeyPart) -> Column:
 
 
 def hash_normal(seed: int, *parts: KeyPart) -> Column:
-    u_a = hash_uniform(seed, *parts, "a")
-    u_b = hash_uniform(seed, *parts, "b")
-    return F.sqrt(F.lit(-2.0) * F.log(u_a)) * F.cos(F.lit(2.0 * math.pi) * u_b)
+    """Standard normal by Box-Muller from one digest (two 32-bit uniforms)."""
+    digest = F.md5(hash_key(seed, parts))
+    u1 = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint").cast("double") + F.lit(0.5)) / F.lit(TWO_32)
+    u2 = (F.conv(F.substring(digest, 9, 8), 16, 10).cast("bigint").cast("double") + F.lit(0.5)) / F.lit(TWO_32)
+    return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
 
 
 # --- DuckDB SQL twins (used only by the oracle registry and tests) ---------
@@ -73,9 +76,11 @@ def sql_hash_uniform(seed: int, *parts: str | int) -> str:
 
 
 def sql_hash_normal(seed: int, *parts: str | int) -> str:
-    u_a = sql_hash_uniform(seed, *parts, "a")
-    u_b = sql_hash_uniform(seed, *parts, "b")
-    return f"(sqrt(-2.0 * ln({u_a})) * cos(2.0 * pi() * {u_b}))"
+    key = ", ".join([f"'s{seed}'"] + [_sql_part(p) for p in parts])
+    digest = f"md5(concat_ws('|', {key}))"
+    u1 = f"((CAST(CAST(('0x' || substr({digest}, 1, 8)) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296.0)"
+    u2 = f"((CAST(CAST(('0x' || substr({digest}, 9, 8)) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296.0)"
+    return f"(sqrt(-2.0 * ln({u1})) * cos(2.0 * pi() * {u2}))"
 
 
 # --- Python twin (driver-side constants, in-task seeds) -------------------
@@ -91,6 +96,78 @@ def py_hash_uniform(seed: int, *parts: str | int) -> float:
 
 
 def py_hash_normal(seed: int, *parts: str | int) -> float:
-    u_a = py_hash_uniform(seed, *parts, "a")
-    u_b = py_hash_uniform(seed, *parts, "b")
-    return math.sqrt(-2.0 * math.log(u_a)) * math.cos(2.0 * math.pi * u_b)
+    key = "|".join([f"s{seed}"] + [str(p) for p in parts])
+    digest = hashlib.md5(key.encode()).hexdigest()
+    u1 = (int(digest[:8], 16) + 0.5) / TWO_32
+    u2 = (int(digest[8:16], 16) + 0.5) / TWO_32
+    return math.sqrt(-2.0 * math.log(u1)) * math.cos(2.0 * math.pi * u2)
+
+
+# --- Integer mixing hash (hot paths with billions of keys) -----------------
+#
+# md5 over a formatted string costs a few hundred nanoseconds per row. Where
+# one row per (attacker, candidate item) is hashed, a pure-integer mixer is
+# used instead: Lehmer multiplications modulo the prime 2^31 - 1 with
+# xor-shift steps. Every product stays below 2^48, so the arithmetic is exact
+# in 64-bit integers on both engines (ANSI overflow checks never trigger).
+
+MIX_P = 2147483647  # 2^31 - 1
+MIX_A, MIX_B = 48271, 69621  # Lehmer multipliers
+MIX_SHIFT_1, MIX_SHIFT_2 = 13, 11
+
+
+def mix_bits(seed: int, *parts: Column | int) -> Column:
+    """31-bit keyed hash of integer parts, in ``[0, 2^31 - 1)``."""
+    p = F.lit(MIX_P)
+    h = F.lit((seed * MIX_A + 1) % MIX_P).cast("bigint")
+    for part in parts:
+        x = F.pmod((part if isinstance(part, Column) else F.lit(part)).cast("bigint"), p)
+        h = F.pmod(h.bitwiseXOR(x) * F.lit(MIX_A), p)
+        h = h.bitwiseXOR(F.shiftright(h, MIX_SHIFT_1))
+        h = F.pmod(h * F.lit(MIX_B), p)
+        h = h.bitwiseXOR(F.shiftright(h, MIX_SHIFT_2))
+    return F.pmod(h * F.lit(MIX_A), p)
+
+
+def mix_uniform(seed: int, *parts: Column | int) -> Column:
+    return (mix_bits(seed, *parts).cast("double") + F.lit(0.5)) / F.lit(float(MIX_P))
+
+
+def mix_normal(seed: int, *parts: Column | int) -> Column:
+    """Box-Muller from two mixer uniforms (salts 1 and 2 appended)."""
+    u1 = mix_uniform(seed, *parts, 1)
+    u2 = mix_uniform(seed, *parts, 2)
+    return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
+
+
+def sql_mix_bits(seed: int, *parts: str | int) -> str:
+    """DuckDB twin of ``mix_bits``; ``parts`` are SQL expressions or ints."""
+    p = MIX_P
+    h = f"CAST({(seed * MIX_A + 1) % MIX_P} AS BIGINT)"
+    for part in parts:
+        x = f"(CAST({part} AS BIGINT) % {p})"
+        h = f"((xor({h}, {x}) * CAST({MIX_A} AS BIGINT)) % {p})"
+        h = f"xor({h}, ({h} >> {MIX_SHIFT_1}))"
+        h = f"(({h} * CAST({MIX_B} AS BIGINT)) % {p})"
+        h = f"xor({h}, ({h} >> {MIX_SHIFT_2}))"
+    return f"(({h} * CAST({MIX_A} AS BIGINT)) % {p})"
+
+
+def sql_mix_uniform(seed: int, *parts: str | int) -> str:
+    return f"((CAST({sql_mix_bits(seed, *parts)} AS DOUBLE) + 0.5) / {float(MIX_P)})"
+
+
+def sql_mix_normal(seed: int, *parts: str | int) -> str:
+    u1 = sql_mix_uniform(seed, *parts, 1)
+    u2 = sql_mix_uniform(seed, *parts, 2)
+    return f"(sqrt(-2.0 * ln({u1})) * cos(2.0 * pi() * {u2}))"
+
+
+def py_mix_bits(seed: int, *parts: int) -> int:
+    h = (seed * MIX_A + 1) % MIX_P
+    for x in parts:
+        h = ((h ^ (int(x) % MIX_P)) * MIX_A) % MIX_P
+        h ^= h >> MIX_SHIFT_1
+        h = (h * MIX_B) % MIX_P
+        h ^= h >> MIX_SHIFT_2
+    return (h * MIX_A) % MIX_P

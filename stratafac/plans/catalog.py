@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafac.functions.hashing import sql_hash_bits, sql_hash_normal, sql_hash_uniform
+from stratafac.functions.hashing import sql_hash_bits, sql_hash_normal, sql_hash_uniform, sql_mix_bits, sql_mix_normal
 from stratafac.operators import attack as atk
 from stratafac.operators import blocks, evaluate, model, sampling, stats
 from stratafac.operators import factors as fac
@@ -607,8 +607,8 @@ U = '"user"'
 
 def _attack_ctes(sc: atk.AttackScenario) -> str:
     h_att = sql_hash_bits(sc.seed, "attacker", f"@{U}")
-    h_fil = sql_hash_bits(sc.seed, "filler", f"@{U}", "@item")
-    z = sql_hash_normal(sc.seed, "value", f"@{U}", "@item")
+    h_fil = sql_mix_bits(sc.seed, atk.FILLER_SALT, U, "item")
+    z = sql_mix_normal(sc.seed, atk.VALUE_SALT, U, "item")
     ctes = [
         f"ext AS (SELECT max({U}) + 1 AS L, max(item) + 1 AS M FROM r)",
         "g AS (SELECT avg(rating) AS mean, stddev_pop(rating) AS std, max(rating) AS mx FROM r)",

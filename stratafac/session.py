@@ -38,6 +38,10 @@ def get_spark(
     if master:
         builder = builder.master(master)
     settings = dict(_DEFAULT_CONF)
+    if master and master.startswith("local"):
+        # Local mode runs everything in the driver JVM; the 1 GB default is
+        # too small to build broadcast relations of a few hundred MB.
+        settings["spark.driver.memory"] = "8g"
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     settings.update(conf or {})
