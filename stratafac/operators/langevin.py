@@ -95,7 +95,11 @@ def sgld_update(
     seed: int = 42,
     noise: str = "shared",
 ) -> DataFrame:
-    """One round. ``factors_h`` is ``(kind, id, blk, v, h)``; same shape out."""
+    """One round. ``factors_h`` is ``(kind, id, blk, v, h)``; same shape out.
+
+    ``m`` (batch size) may be an int or a scalar-subquery column, e.g.
+    ``batch.select(count(1)).scalar()``, which keeps the round one plan.
+    """
     sums = batch_gradient_sums(batch, factors_h, d).withColumnRenamed("g", "gs")
     joined = factors_h.join(sums, ["kind", "id"], "left")
     half = F.lit(0.5 * eps)
@@ -109,8 +113,9 @@ def sgld_update(
     else:
         raise ValueError(noise)
     new = []
+    m_col = m.cast("double") if isinstance(m, Column) else F.lit(float(m))
     for k in range(d):
-        grad = F.lit(float(n_total)) * (elem("gs", k) / F.lit(float(m)))
+        grad = F.lit(float(n_total)) * (elem("gs", k) / m_col)
         prior = elem("v", k) * lam_elem(F.col("kind"), lam_u, lam_v, k) / F.col("h")
         new.append(elem("v", k) + half * (grad - prior) + nz[k])
     v = F.when(F.col("gs").isNull(), F.col("v")).otherwise(F.array(*new))

@@ -92,11 +92,12 @@ def counts(df: DataFrame, key: str) -> DataFrame:
 
 def inclusion_prob(df: DataFrame, key: str, fraction: float = DEFAULT_BATCH_FRACTION) -> DataFrame:
     """Probability that a minibatch of ``int(N·fraction)`` draws touches the id:
-    ``h = 1 - (1 - n/N) ** int(N·fraction)``."""
-    total = df.count()
-    m = int(total * fraction)
+    ``h = 1 - (1 - n/N) ** int(N·fraction)``. ``N`` is a scalar subquery, so the
+    whole computation is one lazy plan."""
+    total = df.select(F.count(F.lit(1)).cast("double")).scalar()
+    m = F.floor(total * F.lit(float(fraction))).cast("double")
     c = counts(df, key)
-    h = F.lit(1.0) - F.pow(F.lit(1.0) - F.col("n") / F.lit(float(total)), F.lit(float(m)))
+    h = F.lit(1.0) - F.pow(F.lit(1.0) - F.col("n") / total, m)
     return c.select(F.col(key).alias("id"), "n", h.alias("h"))
 
 

@@ -1083,5 +1083,11 @@ def q_robustness_grid(spark, sf_dir):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The smoke-check query: the robustness comparison (one epoch per model)."""
-    return QUERIES["robustness_grid"](spark, sf_dir)
+    """The smoke-check query: the small robustness grid (2 scenarios × 3 models,
+    one DSGD epoch, the R1 draw budget, three SGLD rounds)."""
+    from stratafac.plans.experiments import GridConfig, run_grid
+
+    dsgd_m, _, r1_m, sgld_m = grid_models(1, 3)
+    cfg = GridConfig(scenarios=(None, ATTACK), models=(dsgd_m, r1_m, sgld_m), holdout_k=HOLDOUT_K, seed=SEED)
+    metrics = run_grid(spark, ratings(spark, sf_dir), cfg)
+    return shape(metrics.groupBy("scenario", "model").agg(F.min("rmse").alias("rmse")), [("scenario", "s"), ("model", "s"), ("rmse", "d")])
