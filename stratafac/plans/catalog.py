@@ -111,6 +111,52 @@ def q_dense_to_triples(spark, sf_dir):
     return src.dense_to_triples(emb, "vec_id", "embedding", base=1, zero_below=DENSE_CUT)
 
 
+def _scratch(spark, name: str) -> str:
+    import uuid
+
+    from stratafac.session import scratch_path
+
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+@register("text_ratings", TRIPLE, with_ratings("SELECT * FROM r"))
+def q_text_ratings(spark, sf_dir):
+    """A1: ratings written as 1-based whitespace text ("user item rating ts"), read back."""
+    r = ratings(spark, sf_dir)
+    line = F.concat_ws(
+        " ",
+        (F.col("user") + 1).cast("string"),
+        (F.col("item") + 1).cast("string"),
+        F.col("rating").cast("string"),
+        F.lit("0"),
+    )
+    path = _scratch(spark, "ratings-text")
+    r.select(line.alias("value")).write.text(path)
+    return src.read_ratings(spark, path, base=1)
+
+
+@register(
+    "dense_text",
+    TRIPLE,
+    "SELECT vec_id + 1 AS \"user\", CAST(pos AS BIGINT) AS item, val AS rating FROM ("
+    "SELECT vec_id, pos, CAST(embedding[pos] AS DOUBLE) AS val FROM ("
+    "SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings) x) e "
+    f"WHERE val >= {DENSE_CUT} AND val <> 0",
+)
+def q_dense_text(spark, sf_dir):
+    """A3: embeddings written as a dense comma-separated text matrix (cells under
+    the cut as 0, rows in id order over several part files), read back as triples."""
+    emb = src.table(spark, sf_dir, "embeddings")
+    cells = F.transform(
+        F.col("embedding"), lambda x: F.when(x.cast("double") < DENSE_CUT, F.lit(0.0)).otherwise(x.cast("double")).cast("string")
+    )
+    path = _scratch(spark, "dense-text")
+    emb.repartitionByRange(4, "vec_id").sortWithinPartitions("vec_id").select(
+        F.array_join(cells, ",").alias("value")
+    ).write.text(path)
+    return src.read_dense_matrix(spark, path, sep=",", base=1)
+
+
 @register(
     "observed",
     TRIPLE,

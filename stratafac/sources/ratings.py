@@ -62,16 +62,23 @@ def merge_duplicates(df: DataFrame, how: str = "sum") -> DataFrame:
 def read_dense_matrix(spark: SparkSession, path: str, sep: str = ",", base: int = 0) -> DataFrame:
     """Dense text matrix (one row per user, one column per item, 0 = missing).
 
-    The line number is the user id, so lines are numbered with
-    ``zipWithIndex`` (one counting pass, no single-partition step). Splitting
-    and dropping zeros are native expressions.
+    The row number is the user id. Each file is read whole (``wholetext``),
+    its non-blank lines are numbered in place, and files are offset by the
+    line counts of the files before them in name order (one small window over
+    the file list), so part files written in row order keep their numbering.
     """
-    lines = spark.read.text(path)
-    indexed = lines.rdd.zipWithIndex().map(lambda pair: (pair[1], pair[0][0])).toDF(["row", "value"])
-    pattern = r"\s+" if sep.isspace() else sep
-    cells = indexed.select(
-        "row", F.posexplode(F.split(F.trim(F.col("value")), pattern)).alias("col", "cell")
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("f"), "value")
+    lines = files.select("f", F.posexplode(F.split(F.col("value"), r"\r?\n")).alias("ln", "line")).filter(
+        F.length(F.trim(F.col("line"))) > 0
     )
+    numbered = lines.withColumn("i", F.row_number().over(Window.partitionBy("f").orderBy("ln")) - 1)
+    per_file = numbered.groupBy("f").agg(F.count(F.lit(1)).alias("n"))
+    offsets = per_file.withColumn(
+        "off", F.coalesce(F.sum("n").over(Window.orderBy("f").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ).select("f", "off")
+    rows = numbered.join(F.broadcast(offsets), "f").select((F.col("off") + F.col("i")).alias("row"), "line")
+    pattern = r"\s+" if sep.isspace() else sep
+    cells = rows.select("row", F.posexplode(F.split(F.trim(F.col("line")), pattern)).alias("col", "cell"))
     return dense_cells_to_triples(
         cells.select("row", "col", F.col("cell").cast("double").alias("value")), base=base
     )
