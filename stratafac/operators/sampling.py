@@ -10,7 +10,7 @@ k-th smallest hash is located instead by two small histogram passes over the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratafac.functions.hashing import hash_bits, hash_uniform
@@ -57,6 +57,37 @@ def smallest_k(df: DataFrame, hash_col: str, tie_cols: list[str], k: int, merge_
     return below.unionByName(at_cut)
 
 
+def smallest_k_predicate(df: DataFrame, hash_col: str, tie_cols: list[str], k: int) -> tuple[Column, bool]:
+    """Membership in ``smallest_k`` as a row predicate over the hash and tie
+    columns: ``h < cut`` or ``h == cut`` with a tie key among the few picked
+    at the cut. Returns ``(predicate, everything)``; the histogram passes run
+    on ``df`` (two aggregates), the predicate can then filter any table that
+    can compute the same hash — no join needed."""
+    if k <= 0:
+        return F.lit(False), False
+    h = F.col(hash_col)
+    coarse = df.groupBy(F.shiftright(h, 16).alias("b")).count().orderBy("b").collect()
+    seen, bucket = 0, None
+    for row in coarse:
+        if seen + row["count"] >= k:
+            bucket = row["b"]
+            break
+        seen += row["count"]
+    if bucket is None:
+        return F.lit(True), True
+    fine = df.filter(F.shiftright(h, 16) == bucket).groupBy(h.alias("v")).count().orderBy("v").collect()
+    for row in fine:
+        if seen + row["count"] >= k:
+            cut, need = int(row["v"]), k - seen
+            break
+        seen += row["count"]
+    ties = df.filter(h == cut).orderBy(*tie_cols).limit(int(need)).select(*tie_cols).collect()
+    if len(tie_cols) != 1:
+        raise ValueError("predicate form supports one tie column")
+    tie_vals = [r[0] for r in ties]
+    return (h < F.lit(cut)) | ((h == F.lit(cut)) & F.col(tie_cols[0]).isin(tie_vals)), False
+
+
 def threshold_sample(df: DataFrame, fraction: float, seed: int, *key_parts) -> DataFrame:
     """Bernoulli sample: keep a row when its keyed uniform is below ``fraction``."""
     return df.filter(hash_uniform(seed, *key_parts) < F.lit(float(fraction)))
