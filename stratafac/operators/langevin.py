@@ -51,10 +51,11 @@ def batch_gradient_sums(batch: DataFrame, factors: DataFrame, d: int) -> DataFra
     return gu.select(F.lit(USER).alias("kind"), "id", pack).unionByName(gv.select(F.lit(ITEM).alias("kind"), "id", pack))
 
 
-def batch_gradients(batch: DataFrame, factors: DataFrame, d: int, m: int) -> DataFrame:
+def batch_gradients(batch: DataFrame, factors: DataFrame, d: int, m: int | Column) -> DataFrame:
     """Batch-mean gradients (sums divided by the batch size ``m``)."""
     sums = batch_gradient_sums(batch, factors, d)
-    return sums.select("kind", "id", F.array(*[elem("g", k) / F.lit(float(m)) for k in range(d)]).alias("g"))
+    m_col = m.cast("double") if isinstance(m, Column) else F.lit(float(m))
+    return sums.select("kind", "id", F.array(*[elem("g", k) / m_col for k in range(d)]).alias("g"))
 
 
 def lam_elem(kind: Column, lam_u: list[float], lam_v: list[float], k: int) -> Column:
@@ -97,8 +98,8 @@ def sgld_update(
 ) -> DataFrame:
     """One round. ``factors_h`` is ``(kind, id, blk, v, h)``; same shape out.
 
-    ``m`` (batch size) may be an int or a scalar-subquery column, e.g.
-    ``batch.select(count(1)).scalar()``, which keeps the round one plan.
+    ``m`` (batch size) and ``n_total`` may be ints or scalar-subquery columns,
+    e.g. ``batch.select(count(1)).scalar()``, which keeps the round one plan.
     """
     sums = batch_gradient_sums(batch, factors_h, d).withColumnRenamed("g", "gs")
     joined = factors_h.join(sums, ["kind", "id"], "left")
@@ -114,8 +115,9 @@ def sgld_update(
         raise ValueError(noise)
     new = []
     m_col = m.cast("double") if isinstance(m, Column) else F.lit(float(m))
+    n_col = n_total.cast("double") if isinstance(n_total, Column) else F.lit(float(n_total))
     for k in range(d):
-        grad = F.lit(float(n_total)) * (elem("gs", k) / m_col)
+        grad = n_col * (elem("gs", k) / m_col)
         prior = elem("v", k) * lam_elem(F.col("kind"), lam_u, lam_v, k) / F.col("h")
         new.append(elem("v", k) + half * (grad - prior) + nz[k])
     v = F.when(F.col("gs").isNull(), F.col("v")).otherwise(F.array(*new))

@@ -79,3 +79,11 @@ def test_minibatch_exact_size(spark):
     assert b.count() == int(n * 0.05)
     t = sampling.minibatch(r, 0.05, 42, 3, "threshold")
     assert abs(t.count() - n * 0.05) < 5 * math.sqrt(n * 0.05)
+
+
+def test_average_attack_item_scope(spark, tiny_ratings):
+    sc = atk.AttackScenario(kind="average", at_size=0.5, fil_size=1.0, target=0, seed=4, stat_scope="item")
+    fake = atk.fake_cells(tiny_ratings, sc)
+    keys = [(r.user, r.item) for r in fake.collect()]
+    assert len(keys) == len(set(keys)) and len(keys) == 2 * 4  # 2 attackers × (3 fillers + target)
+    assert all(math.isfinite(r.rating) for r in fake.collect())

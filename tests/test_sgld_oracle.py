@@ -93,3 +93,14 @@ def test_snapshot_monitor_stream(spark, tmp_path):
     q.awaitTermination(120)
     out = {row.step: row.rmse for row in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert sorted(out) == [0, 1] and out[0] == out[1]
+
+
+def test_sgld_per_row_noise_exact_batches(spark):
+    from stratafac.plans.catalog import zscored_split
+
+    train, test = zscored_split(spark, SF_SMALL)
+    cfg = sgld.SGLDConfig(rounds=2, noise="per_row", batch_mode="exact")
+    res = sgld.train_sgld(spark, train, test, cfg)
+    assert len(res.metrics) == 2 and all(np.isfinite(m["rmse"]) for m in res.metrics)
+    ids = [(r.kind, r.id) for r in res.factors.collect()]
+    assert len(ids) == len(set(ids))
