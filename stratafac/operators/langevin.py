@@ -83,12 +83,41 @@ def per_row_noise(seed: int, t: int, eps: float, d: int) -> Column:
     return F.array(*[sd * hash_normal(seed, "noise", t, F.col("kind"), F.col("id"), k) for k in range(d)])
 
 
+def _noise_columns(noise: str, seed: int, t: int, eps: float, d: int) -> list[Column]:
+    """G6 as ``d`` columns; ``per_row`` keys on the row's ``kind`` and ``id``."""
+    if noise == "shared":
+        return [F.lit(x) for x in shared_noise(seed, t, eps, d)]
+    if noise == "per_row":
+        col = per_row_noise(seed, t, eps, d)
+        return [col.getItem(k) for k in range(d)]
+    if noise == "none":
+        return [F.lit(0.0)] * d
+    raise ValueError(noise)
+
+
+def _scalar(x: int | float | Column) -> Column:
+    return x.cast("double") if isinstance(x, Column) else F.lit(float(x))
+
+
+def _updated(d: int, n_total, m, eps: float, lam: list[Column], noise: list[Column]) -> Column:
+    """``v + ½·eps·(N·gs/m − v ⊙ λ / h) + noise`` where the batch touched the
+    row (``gs`` not null), else ``v`` unchanged."""
+    half = F.lit(0.5 * eps)
+    n_col, m_col = _scalar(n_total), _scalar(m)
+    new = []
+    for k in range(d):
+        grad = n_col * (elem("gs", k) / m_col)
+        prior = elem("v", k) * lam[k] / F.col("h")
+        new.append(elem("v", k) + half * (grad - prior) + noise[k])
+    return F.when(F.col("gs").isNull(), F.col("v")).otherwise(F.array(*new))
+
+
 def sgld_update(
     factors_h: DataFrame,
     batch: DataFrame,
     d: int,
-    n_total: int,
-    m: int,
+    n_total: int | Column,
+    m: int | Column,
     eps: float,
     lam_u: list[float],
     lam_v: list[float],
@@ -103,27 +132,46 @@ def sgld_update(
     """
     sums = batch_gradient_sums(batch, factors_h, d).withColumnRenamed("g", "gs")
     joined = factors_h.join(sums, ["kind", "id"], "left")
-    half = F.lit(0.5 * eps)
-    if noise == "shared":
-        nz = [F.lit(x) for x in shared_noise(seed, t, eps, d)]
-    elif noise == "per_row":
-        col = per_row_noise(seed, t, eps, d)
-        nz = [col.getItem(k) for k in range(d)]
-    elif noise == "none":
-        nz = [F.lit(0.0)] * d
-    else:
-        raise ValueError(noise)
-    new = []
-    m_col = m.cast("double") if isinstance(m, Column) else F.lit(float(m))
-    n_col = n_total.cast("double") if isinstance(n_total, Column) else F.lit(float(n_total))
-    for k in range(d):
-        grad = n_col * (elem("gs", k) / m_col)
-        prior = elem("v", k) * lam_elem(F.col("kind"), lam_u, lam_v, k) / F.col("h")
-        new.append(elem("v", k) + half * (grad - prior) + nz[k])
-    v = F.when(F.col("gs").isNull(), F.col("v")).otherwise(F.array(*new))
+    lam = [lam_elem(F.col("kind"), lam_u, lam_v, k) for k in range(d)]
+    v = _updated(d, n_total, m, eps, lam, _noise_columns(noise, seed, t, eps, d))
     return joined.select("kind", "id", "blk", v.alias("v"), "h")
 
 
+def side_gradient_sums(batch: DataFrame, users: DataFrame, items: DataFrame, d: int) -> DataFrame:
+    """G4 (unscaled) from separate user and item tables ``(id, v, h)``:
+    ``(kind, id, gs)``. Only batch-sized rows are shuffled when the two
+    tables are bucketed by id."""
+    rated = (
+        batch.join(users.select(F.col("id").alias("user"), F.col("v").alias("q")), "user")
+        .join(items.select(F.col("id").alias("item"), F.col("v").alias("p")), "item")
+        .withColumn("e", F.col("rating") - prediction(d))
+    )
+    pack = F.array(*[F.col(f"s{k}") for k in range(d)]).alias("gs")
+    gu = rated.groupBy(F.col("user").alias("id")).agg(*[F.sum(F.col("e") * elem("p", k)).alias(f"s{k}") for k in range(d)])
+    gv = rated.groupBy(F.col("item").alias("id")).agg(*[F.sum(F.col("e") * elem("q", k)).alias(f"s{k}") for k in range(d)])
+    return gu.select(F.lit(USER).alias("kind"), "id", pack).unionByName(gv.select(F.lit(ITEM).alias("kind"), "id", pack))
+
+
+def update_side(
+    side: DataFrame,
+    sums: DataFrame,
+    kind: str,
+    d: int,
+    n_total: int | Column,
+    m: int | Column,
+    eps: float,
+    lam: list[float],
+    t: int,
+    seed: int = 42,
+    noise: str = "shared",
+) -> DataFrame:
+    """G7 on one side ``(id, v, h)``; the same update as ``sgld_update``."""
+    g = sums.filter(F.col("kind") == kind).select("id", "gs")
+    joined = side.join(g, "id", "left").withColumn("kind", F.lit(kind))
+    v = _updated(d, n_total, m, eps, [F.lit(float(x)) for x in lam], _noise_columns(noise, seed, t, eps, d))
+    return joined.select("id", v.alias("v"), "h")
+
+
 def with_inclusion(factors: DataFrame, incl_user: DataFrame, incl_item: DataFrame) -> DataFrame:
     """Attach ``h`` (B5) to the factor table once, before the rounds start."""
     h = incl_user.select(F.lit(USER).alias("kind"), "id", "h").unionByName(

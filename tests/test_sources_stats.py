@@ -1,7 +1,6 @@
 import math
 
 import numpy as np
-import pytest
 
 from stratafac.operators import stats
 from stratafac.sources import ratings as src
