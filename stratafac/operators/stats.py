@@ -50,6 +50,20 @@ def global_stats_values(df: DataFrame) -> dict[str, float]:
     return {k: (float(row[k]) if row[k] is not None else float("nan")) for k in ("mean", "std", "max", "n")}
 
 
+def summary_values(df: DataFrame) -> tuple[int, int, dict[str, float]]:
+    """Extent (max ids + 1) and global stats in one aggregate pass."""
+    row = df.agg(
+        (F.max("user") + 1).alias("n_users"),
+        (F.max("item") + 1).alias("n_items"),
+        F.avg("rating").alias("mean"),
+        F.stddev_pop("rating").alias("std"),
+        F.max("rating").alias("max"),
+        F.count(F.lit(1)).alias("n"),
+    ).first()
+    g = {k: (float(row[k]) if row[k] is not None else float("nan")) for k in ("mean", "std", "max", "n")}
+    return int(row["n_users"] or 0), int(row["n_items"] or 0), g
+
+
 def global_center(df: DataFrame) -> DataFrame:
     """``rating - mean(rating)``."""
     mean = global_stats_values(df)["mean"]

@@ -750,8 +750,7 @@ def _summary_sql() -> str:
 def q_attack_size_summary(spark, sf_dir):
     """Scenario table with the size of each attack."""
     r = ratings(spark, sf_dir)
-    n_users, n_items = src.extent_values(r)
-    g = stats.global_stats_values(r)
+    n_users, n_items, g = stats.summary_values(r)
     out = None
     for sc in SUMMARY_SCENARIOS:
         fake = atk.fake_cells(r, sc, n_users, n_items, g)
