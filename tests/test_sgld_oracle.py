@@ -104,3 +104,10 @@ def test_sgld_per_row_noise_exact_batches(spark):
     assert len(res.metrics) == 2 and all(np.isfinite(m["rmse"]) for m in res.metrics)
     ids = [(r.kind, r.id) for r in res.factors.collect()]
     assert len(ids) == len(set(ids))
+
+
+def test_sgld_random_start(spark, tiny_ratings):
+    res = sgld.train_sgld(spark, tiny_ratings, tiny_ratings, sgld.SGLDConfig(rank=3, rounds=1, fraction=0.5, init="uniform"))
+    vs = [list(r.v) for r in res.factors.collect()]
+    assert len({tuple(v) for v in vs}) > 1  # not all rows identical
+    assert all(np.isfinite(m["rmse"]) for m in res.metrics)
