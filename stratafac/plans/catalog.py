@@ -1132,7 +1132,16 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     one DSGD epoch, the R1 draw budget, three SGLD rounds)."""
     from stratafac.plans.experiments import GridConfig, run_grid
 
+    from dataclasses import replace
+
+    from stratafac.plans import dsgd
+
     dsgd_m, _, r1_m, sgld_m = grid_models(1, 3)
+    # Smoke-size input: the cached factor layout (same results, see
+    # tests/test_model_blocks.py::test_factor_layouts_agree) avoids a table
+    # write per sub-epoch on a few thousand ratings.
+    dsgd_m = replace(dsgd_m, dsgd_cfg=dsgd.with_overrides(dsgd_m.dsgd_cfg, factor_layout="cached"))
+    r1_m = replace(r1_m, dsgd_cfg=dsgd.with_overrides(r1_m.dsgd_cfg, factor_layout="cached"))
     cfg = GridConfig(scenarios=(None, ATTACK), models=(dsgd_m, r1_m, sgld_m), holdout_k=HOLDOUT_K, seed=SEED)
     metrics = run_grid(spark, ratings(spark, sf_dir), cfg)
     return shape(metrics.groupBy("scenario", "model").agg(F.min("rmse").alias("rmse")), [("scenario", "s"), ("model", "s"), ("rmse", "d")])
