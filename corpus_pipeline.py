@@ -1,8 +1,74 @@
-"""The corpus pipeline (written below as its stages land)."""
+"""The corpus pipeline: quality rules, near-dedup, substring dedup, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
+kept; its result is written as Parquet and read again as the next one's
+``docs``. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stratafac.llm import near_dup, packing, quality, substring_dedup
+from stratafac.llm.queries import BASE_FAILED
+from stratafac.llm.tables import written
+
+
+def _without(docs: DataFrame, rejected: DataFrame, name: str) -> DataFrame:
+    """``docs`` without the rows whose id and text hash ``rejected`` has.
+
+    The rejected keys are written first, so that Spark chooses the join
+    knowing their size.
+    """
+    keys = written(rejected.select(F.col("id").alias("r_id"), F.col("text_hash").alias("r_hash")).distinct(), name)
+    same = F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.xxhash64("text") == F.col("r_hash"))
+    return docs.join(keys, same, "left_anti")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules, or whose posterior quality
+    probability is below one half, go."""
+    named = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"), "text")
+    judged = quality.weakly_supervised(written(quality.features(named).drop("text"), "quality-features"))
+    return _without(docs, judged.where(f"({BASE_FAILED}) or not good"), "quality-rejected")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near-duplicates stays."""
+    return _without(docs, near_dup.near_duplicates(docs).where("not kept"), "near-rejected")
+
+
+def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of 13-word windows that a document of smaller id has are cut out;
+    documents without any are left as they are."""
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    out = substring_dedup.substring_dedup(docs, spacing="original", carry=rest)
+    out = out.withColumnsRenamed({"id": "doc_id", "kept_text": "text"}).withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their sequences of at most 4096 tokens and offsets."""
+    pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1, with_ids=False)
+    packed = packing.pack(written(pieces.drop("ids"), "pieces"), capacity=4096)
+    return packed.withColumnRenamed("id", "doc_id")
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: Label models, sketches and tokenizers are beyond SQL; tested by brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

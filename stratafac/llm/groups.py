@@ -28,25 +28,26 @@ ANSWER = "g int, bucket int, kind string, a binary, b binary, c binary, d binary
 
 @dataclass
 class Grouped:
-    docs: DataFrame  # g, th, id, text
+    docs: DataFrame  # g, th, id, text and the carried columns
     copies: DataFrame  # rows of ANSWER, kind "copy": a = th of the group's exact copies
     n_groups: int
     n_buckets: int
 
 
-def grouped(docs: DataFrame, id_col: str, text_col: str, group_bytes: int = GROUP_BYTES, bucket_bytes: int = BUCKET_BYTES) -> Grouped:
+def grouped(docs: DataFrame, id_col: str, text_col: str, group_bytes: int = GROUP_BYTES, bucket_bytes: int = BUCKET_BYTES, carry: tuple[str, ...] = ()) -> Grouped:
     """Deal the rows into groups by a hash of id and text.
 
     ``th`` names a row within its group; rows equal in id and text share it.
     Exact copies (equal text, smaller id elsewhere) are found by digest first:
     all of their content is repeated, so later rounds skip them.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    carried = [f"carried_{i}" for i in range(len(carry))]
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(k) for c, k in zip(carry, carried)))
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_groups = max(1, math.ceil(total / group_bytes))
     n_buckets = max(1, math.ceil(total / bucket_bytes))
     base = base.withColumn("th", F.xxhash64("id", "text"))
-    base = base.select(F.pmod("th", F.lit(n_groups)).cast("int").alias("g"), "th", "id", "text")
+    base = base.select(F.pmod("th", F.lit(n_groups)).cast("int").alias("g"), "th", "id", "text", *carried)
     prints = base.where("id is not null and octet_length(text) > 0").select("g", "th", "id", F.unhex(F.md5("text")).alias("m"))
     firsts = prints.groupBy("m").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("m", "first")
     copies = prints.join(firsts, "m").where("id > first").groupBy("g").agg(F.array_sort(F.collect_set("th")).alias("ths"))

@@ -6,26 +6,119 @@ table and derives the contract's digest columns from the operator's output.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafac.llm import substring_dedup as sd
+from stratafac.llm import byte_bpe, near_dup, packing, quality, repeats, sharding, substring_dedup, topk, url_filter, warc
+from stratafac.llm.tables import written
+
+# The contract's URL rules.
+URL_RULES = (
+    url_filter.UrlRule("net", "/", "block"),
+    url_filter.UrlRule("example.net", "/en/", "allow"),
+    url_filter.UrlRule("example.com", "/de/", "block"),
+    url_filter.UrlRule("org", "/fr/", "allow"),
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _removed(spans: str):
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda acc, x: acc + x["length"])
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trees are trained on the URLs that the rules decide."""
+    urls = table(spark, sf_dir, "pages").select("page_id", "url")
+    model = url_filter.train(url_filter.labelled_by_rules(urls, URL_RULES))
+    return url_filter.judge(urls, URL_RULES, model).withColumnRenamed("id", "page_id")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sd.substring_dedup(table(spark, sf_dir, "documents"))
+    out = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", _removed("spans").alias("n_removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+def op4_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.archived(table(spark, sf_dir, "pages"))
+    return warc.capture_digests(warc.read_records(spark, path))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), tokenizer, capacity=4096, end_id=1, with_ids=False)
+    packed = packing.pack(written(pieces.drop("ids"), "pieces"), capacity=4096)
+    return packed.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op6_maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeated_bytes(table(spark, sf_dir, "documents"), length=50)
     return out.select(
         F.col("id").alias("doc_id"),
-        "n_words",
-        F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["length"]).alias("n_removed"),
-        F.sha2("kept_text", 256).alias("kept_sha256"),
+        "n_bytes",
+        _removed("spans").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
     )
 
 
+def op7_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    carry = {"size": F.octet_length(text).cast("long") + F.lit(8), "text_crc32": F.crc32(text)}
+    out = sharding.interleaved_shards(table(spark, sf_dir, "documents"), 24, carry=carry)
+    return out.select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source"
+    )
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks)
+    return byte_bpe.digests(encoded, ranks).withColumnRenamed("id", "doc_id")
+
+
+def quality_features(docs: DataFrame) -> DataFrame:
+    """The features of every document, written once."""
+    return written(quality.features(docs.select("doc_id", "text")).drop("text"), "quality-features")
+
+
+#: The contract's base rules, which reject on their own.
+BASE_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
+
+
+def op9_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.weakly_supervised(quality_features(table(spark, sf_dir, "documents")))
+    failed = F.expr(BASE_FAILED)
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        failed.alias("base_failed"), (~failed & F.col("good")).alias("kept"), "votes", "p_good",
+    )
+
+
+def op10_block_pruned_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
+QUERIES = {
+    "op1_url_filter": op1_url_filter,
+    "op2_substring_dedup": op2_substring_dedup,
+    "op3_near_duplicates": op3_near_duplicates,
+    "op4_warc_transactions": op4_warc_transactions,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_maximal_repeats": op6_maximal_repeats,
+    "op7_interleaved_shards": op7_interleaved_shards,
+    "op8_byte_bpe": op8_byte_bpe,
+    "op9_weak_supervision": op9_weak_supervision,
+    "op10_block_pruned_topk": op10_block_pruned_topk,
+}
+
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP2_SQL = f"""
@@ -56,6 +149,108 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words,
 FROM docs d LEFT JOIN kept k USING (doc_id)
 """
 
-QUERIES = {"op2_substring_dedup": op2_substring_dedup}
+# A-Z only: translate() leaves other letters as they are.
+OP3_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+),
+sets AS (
+  SELECT DISTINCT doc_id, g FROM (
+    SELECT doc_id, unnest(CASE
+      WHEN len(w) = 0 THEN []
+      WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))
+    END) AS g FROM docs
+  )
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common
+  FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+),
+links AS (
+  SELECT x, y FROM pairs JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y
+  WHERE 100 * common >= 75 * (s.n + t.n - common)
+),
+arcs AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (
+  SELECT doc_id AS node, doc_id AS seen FROM docs
+  UNION
+  SELECT r.node, a.y FROM reach r JOIN arcs a ON a.x = r.seen
+),
+least AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
+SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, l.component_id, d.doc_id = l.component_id AS kept
+FROM docs d JOIN least l ON l.node = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+"""
+
+OP4_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload, strlen(coalesce(html, '')) AS size FROM pages
+),
+firsts AS (SELECT payload, min(page_id) AS first_id FROM p WHERE size >= 100 GROUP BY payload)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, sha256(payload) AS payload_digest,
+       CASE WHEN first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first_id < page_id THEN first_id END AS refers_to
+FROM p LEFT JOIN firsts USING (payload)
+"""
+
+# Bytes as pairs of hexadecimal digits, so that a string's places are bytes.
+OP6_SQL = """
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+chunks AS (SELECT doc_id, n, h, unnest(range(0, n - 49, 500)) AS c FROM docs WHERE n >= 50),
+parts AS (SELECT doc_id, n, c, substr(h, 2 * c + 1, 1098) AS part FROM chunks),
+starts AS (SELECT doc_id, c, part, unnest(range(0, least(500, n - 49 - c))) AS q FROM parts),
+wins AS (SELECT doc_id, c + q AS p, md5(substr(part, 2 * q + 1, 100)) AS win FROM starts),
+least AS (SELECT win, min(doc_id) AS first_id FROM wins GROUP BY win),
+dup AS (SELECT w.doc_id, w.p FROM wins w JOIN least l USING (win) WHERE l.first_id < w.doc_id),
+marked AS (
+  SELECT doc_id, p, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50
+    OR lag(p) OVER (PARTITION BY doc_id ORDER BY p) IS NULL THEN 1 ELSE 0 END AS fresh FROM dup
+),
+runs AS (
+  SELECT doc_id, min(p) AS s, max(p) + 50 AS e FROM (
+    SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS r FROM marked
+  ) GROUP BY doc_id, r
+),
+edges AS (
+  SELECT doc_id, s, e, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM runs
+),
+pieces AS (
+  SELECT doc_id, before AS a, s AS z FROM edges
+  UNION ALL SELECT doc_id, max(e), any_value(n) FROM runs JOIN docs USING (doc_id) GROUP BY doc_id
+),
+kept AS (
+  SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (z - a)), '' ORDER BY a) AS k
+  FROM pieces JOIN docs USING (doc_id) GROUP BY doc_id
+),
+counts AS (SELECT doc_id, sum(e - s) AS gone, count(*) AS spans FROM runs GROUP BY doc_id)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM docs d LEFT JOIN kept USING (doc_id) LEFT JOIN counts USING (doc_id)
+"""
+
+OP10_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
 
-ORACLE = {"op2_substring_dedup": OP2_SQL}
+ORACLE = {
+    "op2_substring_dedup": OP2_SQL,
+    "op3_near_duplicates": OP3_SQL,
+    "op4_warc_transactions": OP4_SQL,
+    "op6_maximal_repeats": OP6_SQL,
+    "op10_block_pruned_topk": OP10_SQL,
+}

@@ -152,7 +152,7 @@ def least_owner(sent: pa.Table) -> pa.Table:
     return gr.message_table(cols)
 
 
-def remove_words(docs: pa.Table, answers: pa.Table, window: int, n_buckets: int) -> pa.Table:
+def remove_words(docs: pa.Table, answers: pa.Table, window: int, n_buckets: int, spacing: str) -> pa.Table:
     b, off, ids, copy, s, e, doc, first, cand, lo, hi, bkt, order, new = _windows(docs, answers, window, n_buckets)
     n_docs, n_words = len(ids), np.diff(first)
     gone = np.zeros(len(s), bool)
@@ -167,17 +167,7 @@ def remove_words(docs: pa.Table, answers: pa.Table, window: int, n_buckets: int)
         owner[order] = np.repeat(least, size)
         gone |= ke.covered(cand[owner < ids[doc[cand]]], window, len(s))
     gone |= (copy & (n_words >= window))[doc] if len(doc) else gone
-    keep_word = ~gone
-    # a kept word keeps its bytes, and one space unless it is its text's last
-    text = b.copy()
-    d = np.zeros(len(b) + 1, np.int8)
-    d[s[keep_word]] += 1
-    d[e[keep_word]] -= 1
-    keep = np.cumsum(d[:-1], dtype=np.int8).astype(bool)
-    kept, owner = e[keep_word], doc[keep_word]
-    inner = kept[:-1][owner[:-1] == owner[1:]]
-    keep[inner] = True
-    text[inner] = 0x20
+    keep, text = _kept_single(b, s, e, doc, gone) if spacing == "single" else _kept_original(b, off, s, doc, gone)
     sizes = np.concatenate([[0], np.cumsum(keep, dtype=np.int64)])[off]
     lo_run, hi_run = _runs_in_docs(gone, doc, first)
     span_of = np.searchsorted(lo_run, first)
@@ -191,9 +181,36 @@ def remove_words(docs: pa.Table, answers: pa.Table, window: int, n_buckets: int)
         "n_words": pa.array(n_words, pa.int64()),
         "spans": spans,
         "kept_text": ke.binary_column(text[keep], sizes, pa.string()).cast(pa.string()),
+        **{c: docs[c] for c in docs.column_names if c.startswith("carried_")},
     })
 
 
+def _kept_single(b, s, e, doc, gone):
+    """A kept word keeps its bytes, and one space unless it is its text's last."""
+    keep_word = ~gone
+    text = b.copy()
+    d = np.zeros(len(b) + 1, np.int8)
+    d[s[keep_word]] += 1
+    d[e[keep_word]] -= 1
+    keep = np.cumsum(d[:-1], dtype=np.int8).astype(bool)
+    kept, owner = e[keep_word], doc[keep_word]
+    inner = kept[:-1][owner[:-1] == owner[1:]]
+    keep[inner] = True
+    text[inner] = 0x20
+    return keep, text
+
+
+def _kept_original(b, off, s, doc, gone):
+    """All but the removed words, each with the white space that follows it."""
+    till = np.append(s[1:], len(b))
+    last = np.append(doc[1:] != doc[:-1], True) if len(doc) else np.zeros(0, bool)
+    till = np.where(last, off[doc + 1], till) if len(doc) else till[:0]
+    d = np.zeros(len(b) + 1, np.int32)
+    np.add.at(d, s[gone], 1)
+    np.add.at(d, till[gone], -1)
+    return np.cumsum(d[:-1]) == 0, b
+
+
 def _runs_in_docs(mask: np.ndarray, doc: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of True that don't cross texts."""
     if not len(mask):
@@ -206,14 +223,16 @@ def _runs_in_docs(mask: np.ndarray, doc: np.ndarray, first: np.ndarray) -> tuple
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13,
+                    spacing: str = "single", carry: tuple[str, ...] = (),
                     group_bytes: int = gr.GROUP_BYTES, bucket_bytes: int = gr.BUCKET_BYTES) -> DataFrame:
     """Remove every word covered by a ``window``-word window whose word
     sequence also starts in a document with a smaller id.
 
     Words are ``[^\\x20\\x09-\\x0D]+``; windows are judged on the input, not on
     what is left. Returns one row per input row: ``id``, ``n_words``, ``spans``
-    (maximal removed runs, in words) and ``kept_text`` (kept words joined by
-    one space). Memory per task is bounded by ``group_bytes`` and
+    (maximal removed runs, in words), ``kept_text`` (kept words joined by one
+    space, or with ``spacing="original"`` the text without the removed words
+    and the white space behind them) and the columns named in ``carry``. Memory per task is bounded by ``group_bytes`` and
     ``bucket_bytes`` of text and by the longest text.
 
     Defined cases: a null or blank text has no words and an empty kept text;
@@ -224,11 +243,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if window < PERIOD:
         raise ValueError(f"window must be at least {PERIOD} words")
-    gd = gr.grouped(docs, id_col, text_col, group_bytes, bucket_bytes)
+    gd = gr.grouped(docs, id_col, text_col, group_bytes, bucket_bytes, carry)
     nb = gd.n_buckets
     sent = gr.round_of(gd.docs, gd.copies, lambda d, a: send_anchors(d, a, window, nb), gr.MESSAGE)
     shared = gr.exchange(sent, shared_keys)
     known = gd.copies.unionByName(shared)
     sent = gr.round_of(gd.docs, known, lambda d, a: send_windows(d, a, window, nb), gr.MESSAGE)
     known = known.unionByName(gr.exchange(sent, least_owner))
-    return gr.round_of(gd.docs, known, lambda d, a: remove_words(d, a, window, nb), RESULT)
+    kinds = dict(docs.select(*carry).dtypes) if carry else {}
+    schema = RESULT + "".join(f", carried_{i} {kinds[c]}" for i, c in enumerate(carry))
+    out = gr.round_of(gd.docs, known, lambda d, a: remove_words(d, a, window, nb, spacing), schema)
+    return out.withColumnsRenamed({f"carried_{i}": c for i, c in enumerate(carry)})
