@@ -41,6 +41,8 @@ RULES = (
     Rule("length", "n_words >= 50", "n_words < 20"),
     Rule("word_size", "word_chars between 3 * n_words and 10 * n_words", "word_chars < 2 * n_words or word_chars > 14 * n_words"),
     Rule("symbols", "50 * n_symbols <= n_words", "5 * n_symbols > n_words"),
+    Rule("symbol_words", "50 * n_symbol_words <= n_words", "10 * n_symbol_words > n_words"),
+    Rule("letters", "10 * n_letters >= 9 * word_chars", "20 * n_letters < 17 * word_chars"),
     Rule("dup_lines", "n_dup_lines = 0", "10 * n_dup_lines > 3 * n_lines"),
     Rule("repetition", "5 * n_repeat_words <= n_words", "2 * n_repeat_words > n_words"),
     Rule("variety", "5 * n_distinct_words >= n_words", "20 * n_distinct_words < n_words"),
@@ -55,6 +57,7 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     characters of ``[#*$%&|<>]``; ``n_lines``: lines with a word;
     ``n_dup_lines``: of those, lines equal to an earlier one;
     ``n_ended_lines``: of those, lines that end in a sentence mark;
+    ``n_letters``; ``n_symbol_words``: words with such a symbol;
     ``n_distinct_words``; ``n_repeat_words``: words in 3-word windows found
     twice or more in the text, the first included.
 
@@ -72,6 +75,7 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
         lines.alias("_lines"),
         F.length(bare).cast("long").alias("word_chars"),
         (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.regexp_replace("_text", r"\P{L}+", "")).cast("long").alias("n_letters"),
     )
     # 3-word windows as (hash, place), sorted; the text never leaves its row
     df = df.withColumn(
@@ -97,6 +101,8 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.size("_words").cast("long").alias("n_words"),
         "word_chars",
         "n_symbols",
+        "n_letters",
+        F.size(F.filter("_words", lambda w: w.rlike(f"[{SYMBOLS}]"))).cast("long").alias("n_symbol_words"),
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.size(ended).cast("long").alias("n_ended_lines"),
@@ -115,6 +121,11 @@ def votes(df: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return df.withColumn("votes", F.concat(*marks))
 
 
+#: Share of good documents, accuracy on good and on bad ones, to start from.
+START = (0.85, 0.95, 0.5)
+INFORMED = 1.05
+
+
 @dataclass(frozen=True)
 class LabelModel:
     prior: float  # share of good documents
@@ -131,34 +142,35 @@ class LabelModel:
         return 1 / (1 + math.exp(min(700.0, bad - good)))
 
 
-def fit(patterns: dict[str, int], n_rules: int, rounds: int = 50, start: float = 0.8, strength: float = 20.0) -> LabelModel:
+def fit(patterns: dict[str, int], n_rules: int, rounds: int = 100, strength: float = 20.0) -> LabelModel:
     """Expectation-maximisation over pattern counts.
 
-    Starts from accuracies ``start``; ``strength`` pseudo-votes of that
-    accuracy keep a rule that hardly votes near it, and accuracies stay in
-    [0.55, 0.99], so the two classes can't swap. Without documents the start
-    is returned.
+    A bad document need not fail every rule, so the two accuracies of a rule
+    are estimated apart. They start at ``START``; ``strength`` pseudo-votes of
+    that accuracy keep a rule that hardly votes near it. Rules stay better
+    than chance (the accuracies sum to ``INFORMED`` at least) and good
+    documents pass a rule more often than not, so the two classes can't swap.
+    Without documents the start is returned.
     """
-    model = LabelModel(0.7, (start,) * n_rules, (start,) * n_rules)
+    prior, start_good, start_bad = START
+    model = LabelModel(prior, (start_good,) * n_rules, (start_bad,) * n_rules)
     total = sum(patterns.values())
     for _ in range(rounds if total else 0):
         post = {p: model.posterior(p) for p in sorted(patterns)}
         prior = sum(post[p] * n for p, n in sorted(patterns.items())) / total
 
-        def accuracy(mark: str, good: bool, j: int) -> float:
+        def accuracy(mark: str, good: bool, j: int, start: float) -> float:
             hit = all_votes = 0.0
             for p, n in sorted(patterns.items()):
                 if p[j] != "0":
                     w = n * (post[p] if good else 1 - post[p])
                     all_votes += w
                     hit += w * (p[j] == mark)
-            return min(0.99, max(0.55, (hit + strength * start) / (all_votes + strength)))
+            return (hit + strength * start) / (all_votes + strength)
 
-        model = LabelModel(
-            min(0.99, max(0.01, prior)),
-            tuple(accuracy("+", True, j) for j in range(n_rules)),
-            tuple(accuracy("-", False, j) for j in range(n_rules)),
-        )
+        right_good = [min(0.99, max(0.6, accuracy("+", True, j, start_good))) for j in range(n_rules)]
+        right_bad = [min(0.99, max(INFORMED - right_good[j], accuracy("-", False, j, start_bad))) for j in range(n_rules)]
+        model = LabelModel(min(0.99, max(0.01, prior)), tuple(right_good), tuple(right_bad))
     return model
 
 
