@@ -22,6 +22,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TWO_32 = 4294967296.0
+TWO_52 = 4503599627370496.0
 
 KeyPart = Column | str | int
 
@@ -46,6 +47,14 @@ def hash_uniform(seed: int, *parts: KeyPart) -> Column:
     return (hash_bits(seed, *parts).cast("double") + F.lit(0.5)) / F.lit(TWO_32)
 
 
+def hash_index(seed: int, n: Column, *parts: KeyPart) -> Column:
+    """Row number in ``0 .. n - 1`` from the key's first 52 bits, so that every
+    row of a block of up to 2^52 rows can be drawn."""
+    digest = F.md5(hash_key(seed, parts))
+    bits = F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint")
+    return F.floor(bits.cast("double") / F.lit(TWO_52) * n).cast("bigint")
+
+
 def hash_normal(seed: int, *parts: KeyPart) -> Column:
     """Standard normal by Box-Muller from one digest (two 32-bit uniforms)."""
     digest = F.md5(hash_key(seed, parts))
@@ -75,6 +84,12 @@ def sql_hash_uniform(seed: int, *parts: str | int) -> str:
     return f"((CAST({sql_hash_bits(seed, *parts)} AS DOUBLE) + 0.5) / 4294967296.0)"
 
 
+def sql_hash_index(seed: int, n: str, *parts: str | int) -> str:
+    key = ", ".join([f"'s{seed}'"] + [_sql_part(p) for p in parts])
+    bits = f"CAST(('0x' || substr(md5(concat_ws('|', {key})), 1, 13)) AS BIGINT)"
+    return f"CAST(floor(CAST({bits} AS DOUBLE) / {TWO_52} * {n}) AS BIGINT)"
+
+
 def sql_hash_normal(seed: int, *parts: str | int) -> str:
     key = ", ".join([f"'s{seed}'"] + [_sql_part(p) for p in parts])
     digest = f"md5(concat_ws('|', {key}))"

@@ -1,11 +1,9 @@
 """Sampling without replacement by keyed hash.
 
 "Take k of n without replacement" is "keep the k rows with the smallest
-keyed hash (ties by a key column)". For a small k Spark's top-k operator
-(TakeOrderedAndProject) is right: every map task keeps k rows and one task
-merges them. For a large k that merge would hold k rows in one task, so the
-k-th smallest hash is located instead by two small histogram passes over the
-32-bit hash, and the sample is a plain distributed filter.
+keyed hash (ties by a key column)". Merging k rows in one task would not
+scale with k, so the k-th smallest hash is located by two small histogram
+passes over the 32-bit hash, and the sample is a plain distributed filter.
 """
 
 from __future__ import annotations
@@ -15,16 +13,11 @@ from pyspark.sql import functions as F
 
 from stratafac.functions.hashing import hash_bits, hash_uniform
 
-TOPK_MERGE_LIMIT = 100_000  # above this, select by histogram instead of top-k merge
-
-
-def smallest_k(df: DataFrame, hash_col: str, tie_cols: list[str], k: int, merge_limit: int = TOPK_MERGE_LIMIT) -> DataFrame:
+def smallest_k(df: DataFrame, hash_col: str, tie_cols: list[str], k: int) -> DataFrame:
     """Rows with the ``k`` smallest ``(hash_col, *tie_cols)``; ``hash_col`` holds
     unsigned 32-bit values. Result equals ``orderBy(hash, *ties).limit(k)``."""
     if k <= 0:
         return df.limit(0)
-    if k <= merge_limit:
-        return df.orderBy(hash_col, *tie_cols).limit(k)
 
     h = F.col(hash_col)
     # Pass 1: 65,536 coarse buckets (high 16 bits); at most 65,536 counts reach the driver.

@@ -62,21 +62,28 @@ def merge_duplicates(df: DataFrame, how: str = "sum") -> DataFrame:
 def read_dense_matrix(spark: SparkSession, path: str, sep: str = ",", base: int = 0) -> DataFrame:
     """Dense text matrix (one row per user, one column per item, 0 = missing).
 
-    The row number is the user id. Each file is read whole (``wholetext``),
-    its non-blank lines are numbered in place, and files are offset by the
-    line counts of the files before them in name order (one small window over
-    the file list), so part files written in row order keep their numbering.
+    The row number is the user id. Files are split as any text file: non-blank
+    lines are numbered within their split, in reading order, and splits are
+    offset by the line counts of the splits before them in (file name, start)
+    order, so part files written in row order keep their numbering and a
+    single file of any size is read by many tasks. Only one row per split goes
+    through the window that sums the counts.
     """
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("f"), "value")
-    lines = files.select("f", F.posexplode(F.split(F.col("value"), r"\r?\n")).alias("ln", "line")).filter(
-        F.length(F.trim(F.col("line"))) > 0
+    lines = (
+        spark.read.text(path)
+        .select(
+            F.col("_metadata.file_path").alias("f"),
+            F.col("_metadata.file_block_start").alias("s"),
+            F.monotonically_increasing_id().alias("at"),
+            F.col("value").alias("line"),
+        )
+        .filter(F.length(F.trim(F.col("line"))) > 0)
     )
-    numbered = lines.withColumn("i", F.row_number().over(Window.partitionBy("f").orderBy("ln")) - 1)
-    per_file = numbered.groupBy("f").agg(F.count(F.lit(1)).alias("n"))
-    offsets = per_file.withColumn(
-        "off", F.coalesce(F.sum("n").over(Window.orderBy("f").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).select("f", "off")
-    rows = numbered.join(F.broadcast(offsets), "f").select((F.col("off") + F.col("i")).alias("row"), "line")
+    numbered = lines.withColumn("i", F.row_number().over(Window.partitionBy("f", "s").orderBy("at")) - 1)
+    counted = lines.groupBy("f", "s").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("f", "s").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counted.select("f", "s", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
+    rows = numbered.join(offsets, ["f", "s"]).select((F.col("off") + F.col("i")).alias("row"), "line")
     pattern = r"\s+" if sep.isspace() else sep
     cells = rows.select("row", F.posexplode(F.split(F.trim(F.col("line")), pattern)).alias("col", "cell"))
     return dense_cells_to_triples(

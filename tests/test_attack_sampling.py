@@ -22,7 +22,7 @@ def test_hash_matches_python_twin(spark):
 def test_smallest_k_histogram_equals_topk(spark):
     df = spark.range(20000).select(F.col("id").alias("user")).withColumn("_h", hash_bits(3, "t", F.col("user")))
     want = {r.user for r in df.orderBy("_h", "user").limit(1234).collect()}
-    got = {r.user for r in sampling.smallest_k(df, "_h", ["user"], 1234, merge_limit=10).collect()}
+    got = {r.user for r in sampling.smallest_k(df, "_h", ["user"], 1234).collect()}
     assert got == want and len(got) == 1234
 
 
@@ -48,7 +48,7 @@ def test_fillers_distinct_and_partition_independent(spark):
 def test_overlay_target_precedence_and_no_duplicates(spark, tiny_ratings):
     sc = atk.AttackScenario(kind="average", at_size=0.5, fil_size=1.0, target=1, seed=3)
     fake = atk.fake_cells(tiny_ratings, sc)
-    out = atk.overlay(tiny_ratings, fake)
+    out = atk.overlay(tiny_ratings, atk.plan_attack(tiny_ratings, sc))
     keys = [(r.user, r.item) for r in out.collect()]
     assert len(keys) == len(set(keys))
     tgt = {(r.user, r.item): r.rating for r in fake.filter("item = 1").collect()}

@@ -47,11 +47,42 @@ def test_sgld_trainer_snapshots(spark, tmp_path):
     cfg = sgld.SGLDConfig(rounds=3, snapshot_every=1, snapshot_path=str(tmp_path / "snap"), resample_after=0, resample_every=2)
     res = sgld.train_sgld(spark, train, test, cfg)
     assert [m["epoch"] for m in res.metrics] == [0, 1, 2]
-    by_step = {r.step: r.rmse for r in sgld.snapshot_rmse(spark, test, str(tmp_path / "snap"), 10).collect()}
+    by_step = {r.step: (r.rmse, r.n) for r in sgld.snapshot_rmse(spark, test, str(tmp_path / "snap"), cfg).collect()}
     assert sorted(by_step) == [0, 1, 2]
-    # snapshots score known ids only (inner join); the trainer's metric also
-    # scores cold-start cells, so the two agree only roughly
-    assert all(np.isfinite(v) for v in by_step.values())
+    # every test cell is scored, as in the trainer's own metric
+    n = test.count()
+    for m in res.metrics:
+        np.testing.assert_allclose(by_step[m["epoch"]][0], m["rmse"], rtol=1e-9)
+        assert by_step[m["epoch"]][1] == n
+
+
+def _tables(spark):
+    return {t.name for t in spark.catalog.listTables() if t.name.startswith("stratafac_")}
+
+
+def test_tables_of_past_rounds_are_dropped(spark, tiny_ratings):
+    import os
+
+    from stratafac.plans import dsgd
+    from stratafac.session import scratch_path
+
+    folder = os.path.dirname(scratch_path(spark, "x")).removeprefix("file:")
+
+    def state():
+        return _tables(spark), {d for d in os.listdir(folder) if d.startswith("stratafac_")} if os.path.isdir(folder) else set()
+
+    before = state()
+    res = sgld.train_sgld(spark, tiny_ratings, tiny_ratings, sgld.SGLDConfig(rank=3, rounds=4, fraction=0.5))
+    assert res.factors.count() == 9
+    after = state()
+    assert len(after[0] - before[0]) == 1 and len(after[1] - before[1]) == 1  # the result's own table
+    res = dsgd.train_dsgd(spark, tiny_ratings, tiny_ratings, dsgd.DSGDConfig(rank=3, blocks=2, epochs=2, eta0=0.01))
+    assert res.factors.count() == 9
+    now = state()
+    assert len(now[0] - after[0]) == 1 and len(now[1] - after[1]) == 1
+    with pytest.raises(FloatingPointError):
+        dsgd.train_dsgd(spark, tiny_ratings, tiny_ratings, dsgd.DSGDConfig(rank=3, blocks=2, epochs=40, eta0=90.0, schedule="constant"))
+    assert state() == now
 
 
 @pytest.fixture(scope="module")
@@ -80,21 +111,6 @@ def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_snapshot_monitor_stream(spark, tmp_path):
-    from stratafac.sources import sinks
-    from stratafac.streaming.snapshots import monitor_snapshots
-
-    r = spark.createDataFrame([(0, 0, 1.0), (1, 1, 2.0)], "user bigint, item bigint, rating double")
-    f = fac.init_factors(r, 2, "arithmetic")
-    for t in range(2):
-        sinks.write_snapshot(f.select("kind", "id", "v"), str(tmp_path / "snap"), t)
-    q = monitor_snapshots(spark, r, str(tmp_path / "snap"), str(tmp_path / "out"), 2,
-                          checkpoint_location=str(tmp_path / "ck"), available_now=True)
-    q.awaitTermination(120)
-    out = {row.step: row.rmse for row in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert sorted(out) == [0, 1] and out[0] == out[1]
-
-
 def test_sgld_per_row_noise_exact_batches(spark):
     from stratafac.plans.catalog import zscored_split
 

@@ -25,6 +25,33 @@ def test_dense_matrix_text_drops_zeros(spark, tmp_path):
     assert rows(df, "user", "item", "rating") == [(0, 1, 1.5), (1, 0, 2.0), (2, 2, -1.0)]
 
 
+def test_dense_matrix_in_several_splits(spark, tmp_path):
+    rows_in = [[(7 * r + c) % 5 for c in range(6)] for r in range(200)]
+    p = tmp_path / "big"
+    p.mkdir()
+    for k in range(2):
+        part = rows_in[100 * k : 100 * k + 100]
+        (p / f"part-{k}.txt").write_text("".join(",".join(map(str, r)) + "\n" + ("\n" if i % 9 == 0 else "") for i, r in enumerate(part)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        df = src.read_dense_matrix(spark, str(p), sep=",")
+        assert spark.read.text(str(p)).rdd.getNumPartitions() > 10
+        got = rows(df, "user", "item", "rating")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == sorted((r, c, float(v)) for r, x in enumerate(rows_in) for c, v in enumerate(x) if v)
+
+
+def test_snapshot_rerun_replaces_its_step(spark, tmp_path, tiny_ratings):
+    from stratafac.operators import factors as fac
+
+    f = fac.init_factors(tiny_ratings, 2, "constant").select("kind", "id", "v")
+    for t in (0, 1, 1, 0):
+        sinks.write_snapshot(f, str(tmp_path / "snap"), t)
+    assert sinks.read_snapshots(spark, str(tmp_path / "snap")).count() == 2 * f.count()
+
+
 def test_dense_to_triples_one_based(spark):
     df = spark.createDataFrame([(0, [0.0, 2.0]), (1, [3.0, -1.0])], "r bigint, v array<double>")
     out = src.dense_to_triples(df, "r", "v", base=1, zero_below=0.0)
