@@ -31,7 +31,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that fail the base rules, or whose posterior quality
     probability is below one half, go."""
     named = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"), "text")
-    judged = quality.weakly_supervised(written(quality.features(named).drop("text"), "quality-features"))
+    judged = quality.weakly_supervised(written(quality.features(named, ("id", "text_hash")), "quality-features"))
     return _without(docs, judged.where(f"({BASE_FAILED}) or not good"), "quality-rejected")
 
 

@@ -50,8 +50,8 @@ RULES = (
 )
 
 
-def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add the feature columns to ``docs``.
+def features(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """The columns ``keys`` and the features of every row of ``docs``.
 
     ``n_words``; ``word_chars``: code points in words; ``n_symbols``:
     characters of ``[#*$%&|<>]``; ``n_lines``: lines with a word;
@@ -62,10 +62,10 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     twice or more in the text, the first included.
 
     All are long. A null text has no words. Work per document is n log n in
-    its words (one sort of the window hashes).
+    its words (one sort of the window hashes). Other columns are ignored.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    df = docs.select("*", text.alias("_text"))
+    df = docs.select(*(F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)), text.alias("_text"))
     bare = F.translate("_text", " \t\n\x0b\x0c\r", "")
     words = F.filter(F.split("_text", f"[{SPACES}]+"), lambda w: w != F.lit(""))
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(f"[^{SPACES}]"))
@@ -97,7 +97,7 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
     ended = F.filter("_lines", lambda x: x.rlike(f"[.!?:;。\"'”)][{SPACES}]*$"))
     df = df.select(
-        *docs.columns,
+        *(F.col(f"_key_{i}").alias(k) for i, k in enumerate(keys)),
         F.size("_words").cast("long").alias("n_words"),
         "word_chars",
         "n_symbols",

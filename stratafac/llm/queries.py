@@ -86,7 +86,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_features(docs: DataFrame) -> DataFrame:
     """The features of every document, written once."""
-    return written(quality.features(docs.select("doc_id", "text")).drop("text"), "quality-features")
+    return written(quality.features(docs), "quality-features")
 
 
 #: The contract's base rules, which reject on their own.
