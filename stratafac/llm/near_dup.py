@@ -236,6 +236,8 @@ class _Near:
     def stars(self, bands: DataFrame) -> DataFrame:
         """Members of candidate groups, each linked to its group's smallest node."""
         groups = bands.groupBy("band", "key").agg(F.min("node").alias("x"), F.max("node").alias("_last")).where("x < _last").drop("_last")
+        # written: a join of two plain shuffles, which Spark can split at a hot key
+        groups = written(groups, "near-groups")
         return bands.join(groups, ["band", "key"]).where("x < node").select("x", F.col("node").alias("y")).distinct()
 
     def estimated(self, pairs: DataFrame) -> DataFrame:
@@ -254,7 +256,7 @@ class _Near:
             F.min_by("label", "node").alias("first_label"), F.min("node").alias("first"),
             F.min("label").alias("_a"), F.max("label").alias("_z"), F.count("*").alias("size"),
         ).where("_a < _z and size > 2")
-        groups = groups.select("band", "key", "first", "first_label", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+        groups = written(groups.select("band", "key", "first", "first_label", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "near-groups")
         members = labelled.join(groups, ["band", "key"]).where("node <> first")
         block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
         every = F.sequence(F.lit(0), F.col("blocks") - 1)
