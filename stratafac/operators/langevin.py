@@ -42,13 +42,14 @@ def row_gradients(batch: DataFrame, factors: DataFrame, d: int) -> DataFrame:
     )
 
 
+def sides(factors: DataFrame, *cols: str) -> tuple[DataFrame, DataFrame]:
+    """User and item rows of a factor table as ``(id, v, ...)``."""
+    return tuple(factors.filter(F.col("kind") == kind).select("id", "v", *cols) for kind in (USER, ITEM))
+
+
 def batch_gradient_sums(batch: DataFrame, factors: DataFrame, d: int) -> DataFrame:
     """G4 (unscaled): ``Σ e·v`` per user and ``Σ e·u`` per item as ``(kind, id, g)``."""
-    rated = attach_factors(batch, factors).withColumn("e", F.col("rating") - prediction(d))
-    pack = F.array(*[F.col(f"s{k}") for k in range(d)]).alias("g")
-    gu = rated.groupBy(F.col("user").alias("id")).agg(*[F.sum(F.col("e") * elem("p", k)).alias(f"s{k}") for k in range(d)])
-    gv = rated.groupBy(F.col("item").alias("id")).agg(*[F.sum(F.col("e") * elem("q", k)).alias(f"s{k}") for k in range(d)])
-    return gu.select(F.lit(USER).alias("kind"), "id", pack).unionByName(gv.select(F.lit(ITEM).alias("kind"), "id", pack))
+    return side_gradient_sums(batch, *sides(factors), d).withColumnRenamed("gs", "g")
 
 
 def batch_gradients(batch: DataFrame, factors: DataFrame, d: int, m: int | Column) -> DataFrame:
@@ -125,16 +126,18 @@ def sgld_update(
     seed: int = 42,
     noise: str = "shared",
 ) -> DataFrame:
-    """One round. ``factors_h`` is ``(kind, id, blk, v, h)``; same shape out.
+    """One round, as the trainer runs it. ``factors_h`` is
+    ``(kind, id, blk, v, h)``; same shape out.
 
     ``m`` (batch size) and ``n_total`` may be ints or scalar-subquery columns,
     e.g. ``batch.select(count(1)).scalar()``, which keeps the round one plan.
     """
-    sums = batch_gradient_sums(batch, factors_h, d).withColumnRenamed("g", "gs")
-    joined = factors_h.join(sums, ["kind", "id"], "left")
-    lam = [lam_elem(F.col("kind"), lam_u, lam_v, k) for k in range(d)]
-    v = _updated(d, n_total, m, eps, lam, _noise_columns(noise, seed, t, eps, d))
-    return joined.select("kind", "id", "blk", v.alias("v"), "h")
+    users, items = sides(factors_h, "h")
+    sums = side_gradient_sums(batch, users, items, d)
+    args = dict(d=d, n_total=n_total, m=m, eps=eps, t=t, seed=seed, noise=noise)
+    new_u = update_side(users, sums, USER, lam=lam_u, **args).select(F.lit(USER).alias("kind"), "id", F.lit(0).alias("blk"), "v", "h")
+    new_v = update_side(items, sums, ITEM, lam=lam_v, **args).select(F.lit(ITEM).alias("kind"), "id", F.lit(0).alias("blk"), "v", "h")
+    return new_u.unionByName(new_v)
 
 
 def side_gradient_sums(batch: DataFrame, users: DataFrame, items: DataFrame, d: int) -> DataFrame:
@@ -165,7 +168,7 @@ def update_side(
     seed: int = 42,
     noise: str = "shared",
 ) -> DataFrame:
-    """G7 on one side ``(id, v, h)``; the same update as ``sgld_update``."""
+    """G7 on one side ``(id, v, h)``."""
     g = sums.filter(F.col("kind") == kind).select("id", "gs")
     joined = side.join(g, "id", "left").withColumn("kind", F.lit(kind))
     v = _updated(d, n_total, m, eps, [F.lit(float(x)) for x in lam], _noise_columns(noise, seed, t, eps, d))

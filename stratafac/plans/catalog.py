@@ -96,6 +96,17 @@ def q_ratings_dup_sum(spark, sf_dir):
     return src.ratings_from_tables(spark, sf_dir, dup="sum")
 
 
+@register(
+    "ratings_dup_last",
+    TRIPLE,
+    'SELECT o_custkey AS "user", l_partkey AS item, CAST(arg_max(l_quantity, (o_orderkey, l_quantity)) AS DOUBLE) AS rating '
+    "FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, l_partkey",
+)
+def q_ratings_dup_last(spark, sf_dir):
+    """A2: of repeated cells the one of the latest order, as an overwriting assignment does."""
+    return src.ratings_from_tables(spark, sf_dir, dup="last")
+
+
 @register(
     "dense_to_triples",
     TRIPLE,
@@ -118,6 +129,13 @@ def _scratch(spark, name: str) -> str:
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """Computed once, in the shared folder, for the plans that read it often."""
+    path = _scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 @register("text_ratings", TRIPLE, with_ratings("SELECT * FROM r"))
 def q_text_ratings(spark, sf_dir):
     """A1: ratings written as 1-based whitespace text ("user item rating ts"), read back."""
@@ -769,6 +787,121 @@ def q_attack_size_summary(spark, sf_dir):
     return out
 
 
+# --- A8-A11, E8-E10. written and read back; step sizes ------------------------
+
+
+@register("factor_sink", FACTOR_LONG, with_ratings(_long_sql(fac.sql_arithmetic("id", "k"))))
+def q_factor_sink(spark, sf_dir):
+    """Factors written as text, one line per id, and read back."""
+    from stratafac.sources import sinks
+
+    path = _scratch(spark, "factors")
+    sinks.write_factors(arith_factors(ratings(spark, sf_dir)), path, "csv")
+    return fac.long_form(sinks.read_factors(spark, path, "csv"))
+
+
+@register(
+    "dense_factor_sink",
+    FACTOR_LONG,
+    with_ratings(
+        f"SELECT w.kind, w.id, k, CASE WHEN ids.id IS NULL THEN 0.0 ELSE {fac.sql_arithmetic('w.id', 'k')} END AS val FROM ("
+        f"SELECT 'U' AS kind, unnest(range(0, (SELECT max({chr(34)}user{chr(34)}) + 1 FROM r))) AS id "
+        "UNION ALL SELECT 'V' AS kind, unnest(range(0, (SELECT max(item) + 1 FROM r))) AS id) w "
+        f"LEFT JOIN ({_ids_sql()}) ids ON ids.kind = w.kind AND ids.id = w.id, (SELECT range AS k FROM range({RANK})) kk"
+    ),
+)
+def q_dense_factor_sink(spark, sf_dir):
+    """Factors written as two dense matrices (P: C x items, Q: users x C) and read back."""
+    from stratafac.sources import sinks
+
+    p, q = _scratch(spark, "P"), _scratch(spark, "Q")
+    sinks.write_dense_factors(arith_factors(ratings(spark, sf_dir)), p, q)
+    return fac.long_form(sinks.read_dense_factors(spark, p, q))
+
+
+@register("attacked_sink", TRIPLE, with_ratings("SELECT * FROM atk", _attack_ctes(ATTACK)))
+def q_attacked_sink(spark, sf_dir):
+    """The attacked table written under its scenario (twice: a rerun replaces it) and read back."""
+    from stratafac.sources import sinks
+
+    path = _scratch(spark, "attacked")
+    r = ratings(spark, sf_dir)
+    sinks.write_attacked(r, path, ATTACK.name)
+    sinks.write_attacked(atk.attack(r, ATTACK), path, ATTACK.name)
+    return sinks.read_attacked(spark, path, ATTACK.name)
+
+
+@register(
+    "metrics_sink",
+    [("scenario", "s"), ("model", "s"), ("epoch", "l"), ("rmse", "d"), ("objective", "d")],
+    with_ratings(
+        "SELECT 'clean' AS scenario, 'arithmetic' AS model, 0 AS epoch, "
+        f"(SELECT sqrt(avg(pow(t.rating - ({_ALIGNED_PRED}), 2))) FROM {_ALIGNED_FROM}) AS rmse, "
+        f"(SELECT sum(e * e / 2.0 + pen) FROM (SELECT rating - ({_sql_dot()}) AS e, {model.RHO_R1 / 2.0}::DOUBLE * "
+        f"(({_sql_sqnorm(U)}) + ({_sql_sqnorm('item')})) AS pen FROM train) x) AS objective",
+        _SPLIT_CTE,
+    ),
+)
+def q_metrics_sink(spark, sf_dir):
+    """A10: a metric row (held-out RMSE, training objective) written and read back."""
+    from stratafac.sources import sinks
+
+    train, test, f = split_arith(spark, sf_dir)
+    objective = model.objectives(model.attach_factors(train, f), RANK, model.RHO_R1).first()["obj_l2"]
+    row = {"scenario": "clean", "model": "arithmetic", "epoch": 0, "rmse": evaluate.rmse_value(test, f, RANK), "objective": float(objective), "elapsed_s": 0.0}
+    path = _scratch(spark, "metrics")
+    sinks.write_metrics(spark, [row], path)
+    return spark.read.parquet(path)
+
+
+@register(
+    "snapshot_sink",
+    [("step", "l")] + FACTOR_LONG,
+    with_ratings(
+        f"SELECT st.range AS step, kind, id, k, {fac.sql_arithmetic('id', 'k', 'st.range')} AS val FROM ({_ids_sql()}) ids, "
+        f"(SELECT range AS k FROM range({RANK})) kk, range({SNAPSHOT_STEPS}) st"
+    ),
+)
+def q_snapshot_sink(spark, sf_dir):
+    """A snapshot per step (step 0 twice: a rerun replaces it), read back."""
+    from stratafac.sources import sinks
+
+    path = _scratch(spark, "snapshots")
+    ids = arith_factors(ratings(spark, sf_dir)).select("kind", "id")
+    for step in (*range(SNAPSHOT_STEPS), 0):
+        sinks.write_snapshot(ids.select("kind", "id", fac.arithmetic_vector(F.col("id"), RANK, step).alias("v")), path, step)
+    return sinks.read_snapshots(spark, path).select("step", "kind", "id", F.posexplode("v").alias("k", "val"))
+
+
+SCHEDULE_ETA0 = 0.9
+SCHEDULE_STRIDE = 997  # step index = this many times a user's rating count
+_SCHEDULES = {
+    "harmonic": "{e} / (i + 1.0)",
+    "linear": "CASE WHEN i < 50000 THEN {e} * (1.0 - i / 50000.0::DOUBLE) + i / 50000.0::DOUBLE * 0.01 * {e} ELSE 0.01 * {e} END",
+    "polynomial": "{e} * pow(1.0 + i / 500.0::DOUBLE, -0.51)",
+    "halving": "{e} / pow(2.0, floor(i / 10000.0::DOUBLE))",
+    "power": "{e} * pow(1.0 + i, -0.5)",
+    "geometric": "{e} * pow(0.96, i)",
+}
+
+
+@register(
+    "schedules",
+    [("schedule", "s"), ("user", "l"), ("i", "l"), ("eta", "d")],
+    with_ratings(
+        " UNION ALL ".join(f"SELECT '{n}' AS schedule, {U}, i, {x.format(e=f'{SCHEDULE_ETA0}::DOUBLE')} AS eta FROM x" for n, x in _SCHEDULES.items()),
+        f"x AS (SELECT {U}, CAST(count(*) * {SCHEDULE_STRIDE} AS BIGINT) AS i FROM r GROUP BY {U})",
+    ),
+)
+def q_schedules(spark, sf_dir):
+    """Step sizes at an index taken from every user's rating count."""
+    from stratafac.functions.schedules import step_column
+
+    index = stats.counts(ratings(spark, sf_dir), "user").select("user", (F.col("n") * SCHEDULE_STRIDE).alias("i"))
+    named = F.array(*[F.struct(F.lit(n).alias("schedule"), step_column(n, SCHEDULE_ETA0, F.col("i")).alias("eta")) for n in _SCHEDULES])
+    return index.select("user", "i", F.explode(named).alias("s")).select("s.schedule", "user", "i", "s.eta")
+
+
 # --- F1-F4, E7. block grid (B = 4) ------------------------------------------
 
 
@@ -887,10 +1020,10 @@ PRIOR = fac.PRIOR_PRECISION
 def _sgld_base(spark, sf_dir):
     from stratafac.operators import langevin
 
-    r = ratings(spark, sf_dir)
+    r = _written(ratings(spark, sf_dir), "sgld-ratings")
     f = arith_factors(r)
     n_total = r.count()
-    batch = sampling.minibatch(r, BATCH_FRACTION, SEED, 0, "threshold")
+    batch = _written(sampling.minibatch(r, BATCH_FRACTION, SEED, 0, "threshold"), "sgld-batch")
     m = batch.count()
     fh = langevin.with_inclusion(
         f, stats.inclusion_prob(r, "user", BATCH_FRACTION), stats.inclusion_prob(r, "item", BATCH_FRACTION)
@@ -1076,7 +1209,7 @@ def q_sgd_linear_train(spark, sf_dir):
     return _metrics_df(spark, dsgd.train_dsgd(spark, train, test, cfg, "clean", "sgd_linear").metrics)
 
 
-@register("r1_train", METRIC_SPEC)
+@register("r1_train", METRIC_SPEC + [("objective", "d")])
 def q_r1_train(spark, sf_dir):
     """one R1 draw per rating (rho 0.5, eta0 0.001, constant 0.5 start), RMSE per sub-epoch."""
     from stratafac.plans import dsgd

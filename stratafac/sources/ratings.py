@@ -40,8 +40,8 @@ def ratings_from_tables(spark: SparkSession, sf_dir: str, dup: str = "avg") -> D
     """Driver-table adapter: customers rate parts by the quantity they order.
 
     orders ⋈ lineitem on the order key, one rating per (customer, part);
-    repeated pairs are merged by ``dup`` (``avg``, or ``sum`` as a sparse
-    matrix constructor would do). Only three columns reach the scans.
+    repeated pairs are merged by ``dup`` (``avg``, ``sum`` as a sparse matrix
+    constructor would do, or ``last`` by order key). Only three columns reach the scans.
     """
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
@@ -49,20 +49,35 @@ def ratings_from_tables(spark: SparkSession, sf_dir: str, dup: str = "avg") -> D
         F.col("o_custkey").alias("user"),
         F.col("l_partkey").alias("item"),
         F.col("l_quantity").cast("double").alias("rating"),
+        F.col("o_orderkey").alias("at"),
     )
-    return merge_duplicates(joined, dup)
+    return merge_duplicates(joined, dup, "at")
 
 
-def merge_duplicates(df: DataFrame, how: str = "sum") -> DataFrame:
-    """Collapse repeated (user, item) cells; partial aggregation runs map-side."""
+def merge_duplicates(df: DataFrame, how: str = "sum", order_col: str | None = None) -> DataFrame:
+    """Collapse repeated (user, item) cells; partial aggregation runs map-side.
+
+    ``last`` keeps the rating with the largest ``order_col`` (ties: the largest
+    rating), as an overwriting matrix assignment does.
+    """
+    if how == "last":
+        if order_col is None:
+            raise ValueError("dup='last' needs a column that orders the ratings")
+        last = F.max_by("rating", F.struct(order_col, "rating"))
+        return df.groupBy("user", "item").agg(last.cast("double").alias("rating"))
     agg = {"sum": F.sum, "avg": F.avg, "max": F.max, "min": F.min}[how]
     return df.groupBy("user", "item").agg(agg("rating").cast("double").alias("rating"))
 
 
 def read_dense_matrix(spark: SparkSession, path: str, sep: str = ",", base: int = 0) -> DataFrame:
-    """Dense text matrix (one row per user, one column per item, 0 = missing).
+    """Dense text matrix (one row per user, one column per item, 0 = missing) as triples."""
+    return dense_cells_to_triples(read_dense_cells(spark, path, sep), base=base)
+
 
-    The row number is the user id. Files are split as any text file: non-blank
+def read_dense_cells(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+    """All cells ``(row, col, value)`` of a dense text matrix, from 0.
+
+    Files are split as any text file: non-blank
     lines are numbered within their split, in reading order, and splits are
     offset by the line counts of the splits before them in (file name, start)
     order, so part files written in row order keep their numbering and a
@@ -86,9 +101,7 @@ def read_dense_matrix(spark: SparkSession, path: str, sep: str = ",", base: int
     rows = numbered.join(offsets, ["f", "s"]).select((F.col("off") + F.col("i")).alias("row"), "line")
     pattern = r"\s+" if sep.isspace() else sep
     cells = rows.select("row", F.posexplode(F.split(F.trim(F.col("line")), pattern)).alias("col", "cell"))
-    return dense_cells_to_triples(
-        cells.select("row", "col", F.col("cell").cast("double").alias("value")), base=base
-    )
+    return cells.select("row", "col", F.col("cell").cast("double").alias("value"))
 
 
 def dense_cells_to_triples(cells: DataFrame, base: int = 0) -> DataFrame:
