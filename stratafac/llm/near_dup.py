@@ -4,20 +4,21 @@ A document's set of 5-word shingles is split by hash into ``REGISTERS``
 buckets; of the smallest hash of a bucket the sketch stores the leading-zero
 count and ``MANTISSA`` bits behind it, 16 bits per register (empty buckets
 borrow from another by a fixed random order). Documents with equal sets are
-one class, named by its smallest id. Then, over classes:
+one node, named by a hash of the set. Then, over nodes:
 
 1. Bands of ``ROWS`` compressed registers are the keys of candidate groups.
-   Every member of a group is linked to the group's smallest id (a star, not
-   all pairs).
-2. A link goes on if the Jaccard similarity estimated from the registers,
-   corrected for chance collisions, is not clearly below the threshold; then
-   it is verified on the full shingle sets.
-3. Verified links give components. In groups that still span several
-   components, members outside the smallest id's component are compared with
-   all members of other components, block by block on sketches; what passes is
-   verified like the rest. After that no candidate pair of any group between
-   different components is unchecked, so components equal those of all
-   candidate pairs.
+   A candidate pair shares a group and its Jaccard similarity, estimated from
+   the registers and corrected for chance collisions, is not clearly below the
+   threshold. Families are the components of the graph of candidate pairs: every
+   member of a group is first held against the group's smallest node (a star, not
+   all pairs); then members of different families are compared block by block on
+   sketches, and one pair is emitted for two families that meet.
+2. Within a family, links are decided on the full shingle sets, in blocks of
+   ``BLOCK`` nodes: all nodes against one block of pivots, then those outside the
+   family's largest component against all. A block emits a spanning forest of its
+   links, never the links themselves.
+3. The components of these edges are the result. No cap is set anywhere: pairs
+   that share no band but a family are compared as well.
 
 A pair at similarity 0.75 shares no band with probability (1 - 0.75^4)^32,
 about 5e-6; above it, less.
@@ -42,9 +43,10 @@ REGISTERS = 1 << BITS
 MANTISSA = 10
 ROWS = 4
 #: Sketch estimates this many standard errors below the threshold are dropped.
-MARGIN = 5.0
-#: Members compared with each other at a time in a group of several components.
+MARGIN = 6.0
+#: Nodes compared with each other at a time, and bytes of shingles per task.
 BLOCK = 512
+TASK_BYTES = 16 << 20
 SLICE = 2 << 20
 
 SKETCH = "id long, text_hash long, n_shingles long, set_lo long, set_hi long, registers binary"
@@ -141,11 +143,11 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
     return np.clip((same - c) / (1 - c), 0.0, 1.0)
 
 
-def least_estimate(n: np.ndarray, m: np.ndarray, threshold: float) -> np.ndarray:
-    """Estimates below this are clearly below the threshold; small sets fill
-    fewer independent registers."""
-    independent = np.minimum(np.minimum(n, m), REGISTERS)
-    return threshold - MARGIN * np.sqrt(threshold * (1 - threshold) / independent)
+def least_estimate(threshold: float) -> float:
+    """Estimates below this are clearly below the threshold. A register is a
+    random draw from the union, also if it was borrowed, so the standard error
+    doesn't depend on the sets' sizes."""
+    return threshold - MARGIN * np.sqrt(threshold * (1 - threshold) / REGISTERS)
 
 
 def _passing(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -156,7 +158,7 @@ def _passing(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa
         a, b = (np.frombuffer(b"".join(t[c].to_pylist()), np.uint16).reshape(len(t), REGISTERS) for c in ("x_registers", "y_registers"))
         n, m = (t[c].to_numpy().astype(np.float64) for c in ("x_n", "y_n"))
         possible = np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9
-        keep = possible & (estimate(a, b, n, m) >= least_estimate(n, m, threshold))
+        keep = possible & (estimate(a, b, n, m) >= least_estimate(threshold))
         yield from t.select(["x", "y"]).filter(pa.array(keep)).to_batches()
 
 
@@ -183,8 +185,8 @@ def _text_sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.R
 
 
 def _compare(rows: pa.Table, threshold: float) -> pa.Table:
-    """Cells of candidate groups: every row marked ``from_r`` against the
-    other rows of its cell; pairs of different components that pass."""
+    """Cells of candidate groups: every row marked ``from_r`` against the other
+    rows of its cell; of the pairs that pass, one for every two families."""
     rows = rows.sort_by([("band", "ascending"), ("key", "ascending"), ("i", "ascending"), ("j", "ascending")])
     cell = np.stack([rows[c].to_numpy().astype(np.int64) for c in ("band", "key", "i", "j")], axis=1)
     node, label, n = (rows[c].to_numpy() for c in ("node", "label", "n_shingles"))
@@ -202,13 +204,80 @@ def _compare(rows: pa.Table, threshold: float) -> pa.Table:
             ok = np.minimum(nx, ny) >= threshold * np.maximum(nx, ny) - 1e-9
             x, y, nx, ny = x[ok], y[ok], nx[ok], ny[ok]
             if len(x):
-                ok = estimate(regs[x], regs[y], nx, ny) >= least_estimate(nx, ny, threshold)
-                out_x.append(node[x[ok]])
-                out_y.append(node[y[ok]])
+                ok = estimate(regs[x], regs[y], nx, ny) >= least_estimate(threshold)
+                x, y = x[ok], y[ok]
+                lo, hi = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+                order, new = ke.unique_rows(lo, hi)
+                out_x.append(node[x[order[new]]])
+                out_y.append(node[y[order[new]]])
     x, y = np.concatenate(out_x), np.concatenate(out_y)
     return pa.table({"x": pa.array(np.minimum(x, y), pa.int64()), "y": pa.array(np.maximum(x, y), pa.int64())})
 
 
+def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of every left with every right set."""
+    if len(left) * len(right) <= 64:
+        return np.array([[len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for j in right] for i in left], np.int64)
+    size = np.array([len(x) for x in sets])
+    u, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    shared = count[place] > 1
+    column = (np.cumsum(count > 1) - 1)[place[shared]]
+    owner = owner[shared]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    out = np.zeros((len(left), len(right)), np.float64)
+    width = 4096
+    for s in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        i, j = np.searchsorted(column, (s, s + width))
+        m = np.zeros((len(sets), width), np.float32)
+        m[owner[i:j], column[i:j] - s] = 1
+        out += m[left] @ m[right].T
+    return np.rint(out).astype(np.int64)
+
+
+def _forest(node: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (root, node) that connect what the links between ``left`` and
+    ``right`` connect."""
+    size = np.array([len(x) for x in sets])
+    both = _common(sets, left, right)
+    linked = 100 * both >= threshold * (size[left][:, None] + size[right][None, :] - both)
+    i, j = np.nonzero(linked)
+    i, j = left[i], right[j]
+    root = np.arange(len(node))
+    while True:
+        low = root.copy()
+        np.minimum.at(low, i, root[j])
+        np.minimum.at(low, j, root[i])
+        low = low[low]
+        if np.array_equal(low, root):
+            break
+        root = low
+    moved = np.flatnonzero(root != np.arange(len(node)))
+    return node[root[moved]], node[moved]
+
+
+def _link(rows: pa.Table, threshold: int) -> pa.Table:
+    """Cells of families: the rows marked ``pivot`` against the other rows."""
+    rows = rows.sort_by([("label", "ascending"), ("i", "ascending"), ("j", "ascending")])
+    cell = np.stack([rows[c].to_numpy().astype(np.int64) for c in ("label", "i", "j")], axis=1)
+    node, pivot = rows["node"].to_numpy(), rows["pivot"].to_numpy(zero_copy_only=False).astype(bool)
+    lists = rows["shingles"].combine_chunks()
+    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+    flat, off = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+    cut = np.flatnonzero(np.concatenate([[True], np.any(cell[1:] != cell[:-1], axis=1)]))
+    out_x, out_y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for s, e in zip(cut, np.append(cut[1:], len(cell))):
+        names, first, inverse = np.unique(node[s:e], return_index=True, return_inverse=True)
+        sets = [flat[off[k] : off[k + 1]] for k in s + first]
+        left, right = np.unique(inverse[pivot[s:e]]), np.unique(inverse[~pivot[s:e]])
+        if len(left) and len(right):
+            x, y = _forest(names, sets, left, right, threshold)
+            out_x.append(x)
+            out_y.append(y)
+    return pa.table({"x": pa.array(np.concatenate(out_x), pa.int64()), "y": pa.array(np.concatenate(out_y), pa.int64())})
+
+
 class _Near:
     """One run over one table of documents. Nodes of its graph are the
     distinct shingle sets, named by a hash of their prints."""
@@ -231,7 +300,7 @@ class _Near:
             F.sequence(F.lit(0), F.lit(REGISTERS // ROWS - 1)),
             lambda i: F.struct(i.alias("band"), F.conv(F.substring(F.hex("registers"), i * width + 1, F.lit(width)), 16, -10).cast("long").alias("key")),
         )
-        return self.nodes.select("node", F.explode(keys).alias("b")).select("node", "b.band", "b.key")
+        return written(self.nodes.select("node", F.explode(keys).alias("b")).select("node", "b.band", "b.key"), "near-bands")
 
     def stars(self, bands: DataFrame) -> DataFrame:
         """Members of candidate groups, each linked to its group's smallest node."""
@@ -248,7 +317,8 @@ class _Near:
         return both.mapInArrow(lambda it: _passing(it, t), "x long, y long")
 
     def unresolved(self, bands: DataFrame, labels: DataFrame) -> DataFrame:
-        """Candidate pairs between different components that no star has checked."""
+        """Of the candidate pairs between different families, one for every two
+        families that meet in a cell; after joining these, none is left."""
         t = self.threshold / 100
         labelled = bands.join(labels.withColumnRenamed("node", "l_node"), F.col("node") == F.col("l_node"), "left")
         labelled = labelled.select("node", "band", "key", F.coalesce("label", "node").alias("label"))
@@ -269,31 +339,66 @@ class _Near:
         found = with_registers.groupBy("task").applyInArrow(lambda rows: _compare(rows, t), "x long, y long")
         return found.where("x <> y").distinct()
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Keep the pairs whose full shingle sets reach the threshold."""
+    def families(self) -> DataFrame:
+        """(node, label) of the nodes that are in a candidate pair."""
+        bands = self.bands()
+        pairs = written(self.estimated(self.stars(bands)), "near-candidates")
+        labels = components(pairs, "near")
+        more = written(self.unresolved(bands, labels), "near-bridges")
+        return labels if more.isEmpty() else components(pairs.union(more), "near")
+
+    def cells(self, left: DataFrame, right: DataFrame, n_bytes: int) -> DataFrame:
+        """Edges from cells (label, i, j) of (node, shingles), ``left`` against ``right``."""
+        tasks = n_bytes // TASK_BYTES + 1
+        threshold = self.threshold
+        rows = left.withColumn("pivot", F.lit(True)).unionByName(right.withColumn("pivot", F.lit(False)))
+        rows = rows.withColumn("task", F.pmod(F.xxhash64("label", "i", "j"), F.lit(tasks)))
+        return rows.groupBy("task").applyInArrow(lambda t: _link(t, threshold), "x long, y long")
+
+    def edges(self, families: DataFrame) -> DataFrame:
+        """Edges that connect the nodes of a family as its links do."""
         shingle = self.shingle
-        ends = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
-        wanted = written(ends.join(self.nodes.select("node", "rep"), "node").select(F.col("rep").alias("wanted")).distinct(), "near-wanted")
+        sizes = families.groupBy("label").agg(F.count("*").alias("size"))
+        sizes = written(sizes.select(F.col("label").alias("s_label"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "near-families")
+        placed = families.join(sizes, F.col("label") == F.col("s_label")).join(self.nodes.withColumnRenamed("node", "n_node"), F.col("node") == F.col("n_node"))
+        placed = placed.select("node", "label", "blocks", "rep", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+        placed = written(placed, "near-members")
+        wanted = written(placed.select(F.col("rep").alias("wanted")).distinct(), "near-wanted")
         texts = self.docs.join(wanted.hint("shuffle_hash"), F.col("id") == F.col("wanted")).select("text")
         sets = texts.mapInArrow(lambda it: _text_sets(it, shingle), "n_shingles long, set_lo long, set_hi long, shingles array<long>")
-        sets = sets.select(F.xxhash64(*self.SET).alias("node"), "shingles")
-        x = sets.select(F.col("node").alias("x"), F.col("shingles").alias("x_set"))
-        y = sets.select(F.col("node").alias("y"), F.col("shingles").alias("y_set"))
-        both = F.size(F.array_intersect("x_set", "y_set"))
-        joined = pairs.join(x, "x").join(y, "y").withColumn("both", both)
-        either = F.size("x_set") + F.size("y_set") - F.col("both")
-        return joined.where(100 * F.col("both") >= self.threshold * either).select("x", "y").distinct()
+        sets = sets.select(F.xxhash64(*self.SET).alias("s_node"), "shingles")
+        members = written(placed.join(sets, F.col("node") == F.col("s_node")).select("node", "label", "blocks", "block", "shingles"), "near-sets")
+        n_bytes = (members.agg(F.sum(F.size("shingles").cast("long"))).first()[0] or 0) * 8
+        # all nodes against the first block
+        every = F.sequence(F.lit(0), F.col("blocks") - 1)
+        zero = F.lit(0).alias("i")
+        left = members.where("block = 0").select("node", "label", "shingles", zero, F.explode(every).alias("j"))
+        right = members.select("node", "label", "shingles", zero, F.col("block").alias("j"))
+        edges = written(self.cells(left, right, 2 * n_bytes), "near-links")
+        # in families of several blocks: who is outside the largest component, against all
+        large = members.where("blocks > 1")
+        if large.isEmpty():
+            return edges
+        known = components(edges, "near").select(F.col("node").alias("k_node"), F.col("label").alias("part"))
+        parts = large.select("node", "label").join(known, F.col("node") == F.col("k_node"), "left").select("node", "label", F.coalesce("part", "node").alias("part"))
+        most = parts.groupBy("label", "part").agg(F.count("*").alias("n")).groupBy("label").agg(F.max_by("part", F.struct("n", "part")).alias("most"))
+        outside = parts.join(written(most.withColumnRenamed("label", "m_label"), "near-largest"), F.col("label") == F.col("m_label")).where("part <> most").select("node", "label")
+        outside = written(outside, "near-outside")
+        groups = outside.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("groups"))
+        groups = written(groups.withColumnRenamed("label", "g_label"), "near-outside-sizes")
+        mine = large.join(groups, F.col("label") == F.col("g_label"))
+        group = F.pmod(F.xxhash64("node"), F.col("groups")).cast("int")
+        left = mine.join(outside.select(F.col("node").alias("o_node")), F.col("node") == F.col("o_node"), "left_semi")
+        left = left.select("node", "label", "shingles", group.alias("i"), F.explode(every).alias("j"))
+        right = mine.select("node", "label", "shingles", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("i"), F.col("block").alias("j"))
+        copies = outside.join(groups, F.col("label") == F.col("g_label")).agg(F.max("groups")).first()[0] or 0
+        return edges.union(written(self.cells(left, right, 2 * n_bytes * (1 + copies)), "near-links"))
 
     def classes(self) -> DataFrame:
-        bands = self.bands()
-        links = written(self.verified(written(self.estimated(self.stars(bands)), "near-candidates")), "near-links")
-        labels = components(links, "near")
-        more = written(self.unresolved(bands, labels), "near-candidates")
-        if not more.isEmpty():
-            links = links.union(self.verified(more))
-            labels = components(links, "near")
-        named = self.nodes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
-        least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
+        labels = components(self.edges(self.families()), "near")
+        named = self.nodes.select("node", "rep").join(labels.withColumnRenamed("node", "l_node"), F.col("node") == F.col("l_node"), "left")
+        named = written(named.select("node", "rep", F.coalesce("label", "node").alias("label")), "near-named")
+        least = written(named.groupBy("label").agg(F.min("rep").alias("component_id")), "near-least")
         return named.join(least, "label").select(F.col("node").alias("c_node"), "component_id")
 
 
