@@ -98,32 +98,50 @@ def test_near_chain_through_unlinked_ends(make_docs):
     assert out == near_components(rows)
 
 
-def test_unresolved_groups_are_compared(spark, make_docs):
-    """Members that their group's smallest node rejects still find each other."""
+def test_families_of_many_blocks(make_docs, monkeypatch):
+    """A family with chains, outsiders and several blocks equals brute force."""
+    monkeypatch.setattr(near_dup, "BLOCK", 4)
     rng = random.Random(1)
+    base = [f"w{i}" for i in range(80)]
     rows = []
-    for f in range(6):
-        w = [f"{f}-{i}" for i in range(60)]
-        common = [f"c{i}" for i in range(100)]
-        for k in range(4):
-            x = list(w)
-            x[rng.randrange(60)] = f"e{k}"
-            rows.append((f * 10 + k, " ".join(common + x)))
-    near = near_dup._Near(make_docs(rows).selectExpr("doc_id as id", "text"), 5, 75)
-    bands = near.bands()
-    # no star link is known: every pair of a group but those of its smallest node must come back
-    empty = spark.createDataFrame([], "node long, label long")
-    found = {(r["x"], r["y"]) for r in near.unresolved(bands, empty).collect()}
-    groups = {}
-    for r in bands.collect():
-        groups.setdefault((r["band"], r["key"]), set()).add(r["node"])
-    sets = {r["node"]: shingle_set(dict(rows)[r["rep"]]) for r in near.nodes.collect()}
-    for g in groups.values():
-        rest = sorted(g)[1:]
-        for a in rest:
-            for b in rest:
-                if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
-                    assert (a, b) in found
+    for i in range(60):
+        w = list(base)
+        for k in range(rng.choice([1, 2, 3, 4, 6])):
+            w[rng.randrange(80)] = f"e{i}-{k}"
+        rows.append((i, " ".join(w)))
+    rows += [(100 + i, " ".join(f"x{rng.randrange(9)}" for _ in range(rng.randint(1, 12)))) for i in range(60)]
+    want = near_components(rows)
+    assert len(set(want.values())) > 10
+    out = {r["id"]: r["component_id"] for r in near_dup.near_duplicates(make_docs(rows)).collect()}
+    assert out == want
+
+
+def test_forest_connects_what_links_connect():
+    rng = np.random.default_rng(2)
+    pool = np.unique(rng.integers(0, 2**63, 60).astype(np.uint64))
+    sets = [np.sort(rng.choice(pool, rng.integers(25, 40), replace=False)) for _ in range(30)]
+    node = np.arange(100, 130)
+    left, right = np.arange(12), np.arange(5, 30)
+    both = near_dup._common(sets, left, right)
+    assert all(both[a, b] == len(np.intersect1d(sets[i], sets[j])) for a, i in enumerate(left) for b, j in enumerate(right))
+    x, y = near_dup._forest(node, sets, left, right, 45)
+
+    def parts(edges):
+        root = {int(n): int(n) for n in node}
+
+        def find(v):
+            while root[v] != v:
+                v = root[v]
+            return v
+
+        for a, b in edges:
+            a, b = sorted((find(int(a)), find(int(b))))
+            root[b] = a
+        return {n: find(n) for n in root}
+
+    links = [(node[i], node[j]) for a, i in enumerate(left) for b, j in enumerate(right) if 100 * both[a, b] >= 45 * (len(sets[i]) + len(sets[j]) - both[a, b])]
+    assert 0 < len(set(parts(links).values())) < 30
+    assert parts(zip(x, y)) == parts(links) and len(x) < len(node)
 
 
 def test_sketch_estimate_is_close():
