@@ -302,12 +302,17 @@ class _Near:
         )
         return written(self.nodes.select("node", F.explode(keys).alias("b")).select("node", "b.band", "b.key"), "near-bands")
 
-    def stars(self, bands: DataFrame) -> DataFrame:
-        """Members of candidate groups, each linked to its group's smallest node."""
-        groups = bands.groupBy("band", "key").agg(F.min("node").alias("x"), F.max("node").alias("_last")).where("x < _last").drop("_last")
+    def shared(self, bands: DataFrame) -> DataFrame:
+        """(band, key, first, node): the bands' rows whose key two nodes have,
+        with the group's smallest node. Most keys have one node and end here."""
+        groups = bands.groupBy("band", "key").agg(F.min("node").alias("first"), F.max("node").alias("_last")).where("first < _last").drop("_last")
         # written: a join of two plain shuffles, which Spark can split at a hot key
         groups = written(groups, "near-groups")
-        return bands.join(groups, ["band", "key"]).where("x < node").select("x", F.col("node").alias("y")).distinct()
+        return written(bands.join(groups, ["band", "key"]), "near-shared")
+
+    def stars(self, shared: DataFrame) -> DataFrame:
+        """Members of candidate groups, each linked to its group's smallest node."""
+        return shared.where("first < node").select(F.col("first").alias("x"), F.col("node").alias("y")).distinct()
 
     def estimated(self, pairs: DataFrame) -> DataFrame:
         """Keep the pairs (x, y) whose sketches don't rule them out."""
@@ -316,12 +321,12 @@ class _Near:
         both = pairs.join(part("x"), "x").join(part("y"), "y").select("x", "y", "x_n", "y_n", "x_registers", "y_registers")
         return both.mapInArrow(lambda it: _passing(it, t), "x long, y long")
 
-    def unresolved(self, bands: DataFrame, labels: DataFrame) -> DataFrame:
+    def unresolved(self, shared: DataFrame, labels: DataFrame) -> DataFrame:
         """Of the candidate pairs between different families, one for every two
         families that meet in a cell; after joining these, none is left."""
         t = self.threshold / 100
-        labelled = bands.join(labels.withColumnRenamed("node", "l_node"), F.col("node") == F.col("l_node"), "left")
-        labelled = labelled.select("node", "band", "key", F.coalesce("label", "node").alias("label"))
+        labelled = shared.join(labels.withColumnRenamed("node", "l_node"), F.col("node") == F.col("l_node"), "left")
+        labelled = written(labelled.select("node", "band", "key", F.coalesce("label", "node").alias("label")), "near-labelled")
         groups = labelled.groupBy("band", "key").agg(
             F.min_by("label", "node").alias("first_label"), F.min("node").alias("first"),
             F.min("label").alias("_a"), F.max("label").alias("_z"), F.count("*").alias("size"),
@@ -341,10 +346,10 @@ class _Near:
 
     def families(self) -> DataFrame:
         """(node, label) of the nodes that are in a candidate pair."""
-        bands = self.bands()
-        pairs = written(self.estimated(self.stars(bands)), "near-candidates")
+        shared = self.shared(self.bands())
+        pairs = written(self.estimated(self.stars(shared)), "near-candidates")
         labels = components(pairs, "near")
-        more = written(self.unresolved(bands, labels), "near-bridges")
+        more = written(self.unresolved(shared, labels), "near-bridges")
         return labels if more.isEmpty() else components(pairs.union(more), "near")
 
     def cells(self, left: DataFrame, right: DataFrame, n_bytes: int) -> DataFrame:
