@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratafac.llm.tables import written
+
 #: Bytes of text in a group and, before pre-aggregation, behind a bucket.
 GROUP_BYTES = 4 << 20
 BUCKET_BYTES = 8 << 20
@@ -50,6 +52,8 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, group_bytes: int = GROU
     base = base.select(F.pmod("th", F.lit(n_groups)).cast("int").alias("g"), "th", "id", "text", *carried)
     prints = base.where("id is not null and octet_length(text) > 0").select("g", "th", "id", F.unhex(F.md5("text")).alias("m"))
     firsts = prints.groupBy("m").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("m", "first")
+    # written: a join of two plain shuffles, which Spark can split at a hot digest
+    firsts = written(firsts, "copies")
     copies = prints.join(firsts, "m").where("id > first").groupBy("g").agg(F.array_sort(F.collect_set("th")).alias("ths"))
     empty = F.lit(None).cast("binary")
     copies = copies.select(
