@@ -100,7 +100,7 @@ def _norm(pdf):
     return cols, sorted(tuple(repr(v) for v in r) for r in pdf[cols].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(entry.catalog.ORACLE))
 def test_query_matches_oracle(spark, duck, name):
     got = entry.queries()[name](spark, SF_SMALL).toPandas()
     want = duck.execute(entry.oracle_sql()[name]).fetchdf()
