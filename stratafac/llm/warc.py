@@ -251,12 +251,10 @@ def capture_digests(records: DataFrame) -> DataFrame:
     targets = captures.where("record_type = 'response'").select(
         F.col("capture_id").alias("target"), F.col("page_id").alias("refers_to"), F.col("size").alias("t_size"), F.col("digest").alias("t_digest")
     )
-    out = captures.join(targets, F.col("to") == F.col("target"), "left")
+    # only revisits are joined: the others' null reference would be one hot key
     again = F.col("record_type") == "revisit"
-    return out.select(
-        "page_id",
-        F.when(again, F.col("t_size")).otherwise(F.col("size")).alias("payload_bytes"),
-        F.when(again, F.col("t_digest")).otherwise(F.col("digest")).alias("payload_digest"),
-        "record_type",
-        "refers_to",
-    )
+    revisits = captures.where(again).join(targets, F.col("to") == F.col("target"), "left")
+    revisits = revisits.select("page_id", F.col("t_size").alias("payload_bytes"), F.col("t_digest").alias("payload_digest"), "record_type", "refers_to")
+    others = captures.where(~F.coalesce(again, F.lit(False)))
+    others = others.select("page_id", F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
+    return others.unionByName(revisits)
