@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows per range of a sort key, on average.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 4_000
 
 
 def _numbered(df: DataFrame, groups: list[str], range_col: str, order: list, name: str) -> DataFrame:
