@@ -213,7 +213,7 @@ def _ranked(pieces: DataFrame, salts: int) -> DataFrame:
     return out.withColumn("rank", F.col("_before") + F.col("_local") - 1).drop("_salt", "_length", "_part", "_before", "_local")
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, rows_per_part: int = 50_000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 4096, rows_per_part: int = 4_000) -> DataFrame:
     """Give every row of ``pieces`` (with ``id``, ``piece``, ``length``,
     ``ids_crc32``) a ``sequence_id`` and a gapless ``offset`` in it.
 
