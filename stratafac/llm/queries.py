@@ -31,7 +31,7 @@ def _removed(spans: str):
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The trees are trained on the URLs as the rules label them."""
+    """The trees are trained on what the rules decide, with all other URLs as unlabelled."""
     urls = table(spark, sf_dir, "pages").select("page_id", "url")
     model = url_filter.train(url_filter.labelled_by_rules(urls, URL_RULES))
     return url_filter.judge(urls, URL_RULES, model).withColumnRenamed("id", "page_id")

@@ -101,6 +101,40 @@ def test_url_trees_held_out_accuracy(spark):
     assert abs(data.where("url like 'https%'").agg(F.avg("depth")).first()[0] - 2) < 1e-9
 
 
+def test_url_undecided_are_no_allow_labels(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(2400):  # spam hosts: a third is listed (by /de/), the rest is undecided
+        if i % 2:
+            rows.append((i, f"http://win-{rng.randint(10**6, 10**8)}-bet.example.com/{rng.choice(['de', 'en', 'es'])}/{rng.randint(1, 999)}", True))
+        else:
+            rows.append((i, f"http://{''.join(rng.choice('abcdefgh') for _ in range(8))}.example.com/{rng.choice(['fr', 'en', 'es'])}/{rng.randint(1, 999)}", False))
+    urls = spark.createDataFrame(rows, "page_id long, url string, spam boolean")
+    labelled = url_filter.labelled_by_rules(urls, queries.URL_RULES)
+    undecided = sum("/de/" not in u for _, u, _ in rows)
+    assert labelled.where("label is null").count() == undecided
+    out = url_filter.judge(urls, queries.URL_RULES, url_filter.train(labelled)).join(urls.withColumnRenamed("page_id", "id"), "id").where("rule is null")
+    got = {(r["spam"], r["verdict"]): r["count"] for r in out.groupBy("spam", "verdict").count().collect()}
+    assert sum(got.values()) == undecided
+    assert got.get((True, "block"), 0) >= 0.7 * (got.get((True, "block"), 0) + got.get((True, "allow"), 0))
+    assert got[False, "allow"] >= 0.95 * (got[False, "allow"] + got.get((False, "block"), 0))
+
+
+def test_url_cut():
+    unlabelled = [(0.05, None)] * 20
+    assert url_filter._cut([(0.4, 1.0), (0.2, 1.0), *unlabelled]) == pytest.approx(0.15)
+    cut = url_filter._cut([(0.4, 1.0), (0.2, 1.0), (0.2, 0.0), (0.3, 0.0), (0.3, 0.0), *unlabelled])
+    assert 0.3 < cut < 0.4
+    assert url_filter._cut([(0.1, 1.0), (0.3, 0.0)]) == url_filter._cut([(0.1, None)]) == 0.5
+
+
+def test_url_folds_of_one_class(spark):
+    one_host = [(i, f"http://a.example.com/{x}/{i}") for i, x in enumerate(["de", "en"] * 20)]
+    urls = spark.createDataFrame(one_host, "page_id long, url string")
+    model = url_filter.train(url_filter.labelled_by_rules(urls, queries.URL_RULES))
+    assert url_filter.judge(urls, queries.URL_RULES, model).where("rule is null").count() == 20
+
+
 def test_url_training_degenerate(spark):
     one = url_filter.lexical(url_filter.with_parts(spark.createDataFrame([("http://a.b/", 1.0)], "url string, label double")))
     assert url_filter.train(one).rate == 1.0
