@@ -127,3 +127,21 @@ def test_sgld_random_start(spark, tiny_ratings):
     vs = [list(r.v) for r in res.factors.collect()]
     assert len({tuple(v) for v in vs}) > 1  # not all rows identical
     assert all(np.isfinite(m["rmse"]) for m in res.metrics)
+
+
+def test_grid_trains_in_full(monkeypatch):
+    from stratafac.plans import catalog, experiments
+
+    seen = []
+
+    def run_grid(spark, ratings, cfg):
+        seen.append(cfg)
+        raise InterruptedError
+
+    monkeypatch.setattr(catalog, "ratings", lambda spark, sf_dir: None)
+    monkeypatch.setattr(experiments, "run_grid", run_grid)
+    with pytest.raises(InterruptedError):
+        catalog.QUERIES["robustness_grid"](None, "")
+    models = {m.name: m for m in seen[0].models}
+    assert models["dsgd"].dsgd_cfg.epochs == 50
+    assert models["sgld"].sgld_cfg.rounds == 400
