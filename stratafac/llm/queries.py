@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafac.llm import byte_bpe, near_dup, packing, quality, repeats, sharding, substring_dedup, topk, url_filter, warc
+from stratafac.llm import byte_bpe, conversations, filter_audit, near_dup, packing, pitman_yor, quality, repeats, sharding, substring_dedup, topk, url_filter, warc
 from stratafac.llm.tables import written
 
 # The contract's URL rules.
@@ -106,6 +106,19 @@ def op10_block_pruned_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversations.damaged(table(spark, sf_dir, "conversations"))
+    return conversations.repair(damaged)
+
+
+def op12_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_substring_dedup": op2_substring_dedup,
@@ -117,6 +130,9 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_weak_supervision": op9_weak_supervision,
     "op10_block_pruned_topk": op10_block_pruned_topk,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_pitman_yor_scores": op12_pitman_yor_scores,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -247,10 +263,126 @@ ranked AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+# One row of the DP at a time; in front of a row up to three inserted rows.
+OP11_SQL = r"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS txt,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations
+),
+kinds AS (
+  SELECT *, (SELECT list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, strlen(key)), lambda p: CAST(ascii(substr(key, p + 1, 1)) AS BIGINT))),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), [CAST(k AS BIGINT) for k in range(0, 8)]), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, CAST(3988292384 AS BIGINT)) ELSE c // 2 END))) AS crc
+  FROM keyed
+),
+hit AS (SELECT conv_id, turn, role, txt, xor(crc, CAST(4294967295 AS BIGINT)) % 20 AS kind FROM kinds),
+after AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(txt, '.!?', '') ELSE txt END AS txt,
+         unnest(range(0, CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM hit
+),
+numbered AS (
+  SELECT conv_id, turn, role, txt, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, txt, copy) AS i FROM after
+),
+judged AS (
+  SELECT *, regexp_extract(txt, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS final_char,
+         row_number() OVER (PARTITION BY conv_id, role, txt ORDER BY i) > 1 AS seen,
+         lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before
+  FROM numbered
+),
+rows_ AS (
+  SELECT conv_id, turn, role, txt, i, before, substr(role, 1, 1) AS r, final_char = '' AS blank, final_char <> '' AND seen AS dup,
+         final_char <> '' AND NOT seen AND final_char NOT IN ('.', '!', '?') AS trunc
+  FROM judged
+),
+stats AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         sum(CAST(blank AS BIGINT)) AS blank, sum(CAST(dup AS BIGINT)) AS duplicate, sum(CAST(trunc AS BIGINT)) AS truncated,
+         sum(CASE WHEN before IS NOT NULL AND before || r NOT IN ('su', 'ua', 'au') THEN 1 ELSE 0 END) AS illegal
+  FROM rows_ GROUP BY conv_id
+),
+ways(s, j, t, put) AS (
+  VALUES (0, 0, 0, CAST([] AS VARCHAR[])), (0, 1, 2, ['user:']), (0, 2, 3, ['user:', 'assistant:']), (0, 3, 2, ['user:', 'assistant:', 'user:']),
+         (1, 0, 1, []), (1, 1, 2, ['user:']), (1, 2, 3, ['user:', 'assistant:']), (1, 3, 2, ['user:', 'assistant:', 'user:']),
+         (2, 0, 2, []), (2, 1, 3, ['assistant:']), (2, 2, 2, ['assistant:', 'user:']), (2, 3, 3, ['assistant:', 'user:', 'assistant:']),
+         (3, 0, 3, []), (3, 1, 2, ['user:']), (3, 2, 3, ['user:', 'assistant:']), (3, 3, 2, ['user:', 'assistant:', 'user:'])
+),
+moves(t, edit, e) AS (VALUES (0, 'D', 0), (1, 'D', 1), (2, 'D', 2), (3, 'D', 3), (0, 'K', 1), (0, 'K', 2), (1, 'K', 2), (2, 'K', 3), (3, 'K', 2), (0, 'R', 2), (1, 'R', 2), (2, 'R', 3), (3, 'R', 2)),
+dp AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS s, {'cost': CAST(0 AS BIGINT), 'audit': '', 'rep': CAST([] AS VARCHAR[])} AS best FROM stats
+  UNION ALL
+  SELECT d.conv_id, w.i, m.e, min({
+    'cost': d.best.cost + 5 * y.j + CASE m.edit WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END + CASE WHEN w.trunc AND m.edit <> 'D' THEN 5 ELSE 0 END,
+    'audit': d.best.audit || repeat('I', y.j) || m.edit,
+    'rep': list_concat(list_concat(d.best.rep, y.put), CASE m.edit WHEN 'D' THEN CAST([] AS VARCHAR[]) WHEN 'K' THEN [w.role || ':' || w.txt]
+      ELSE [CASE WHEN m.e = 2 THEN 'user:' ELSE 'assistant:' END || w.txt] END)})
+  FROM dp d JOIN rows_ w ON w.conv_id IS NOT DISTINCT FROM d.conv_id AND w.i = d.i + 1
+  JOIN ways y ON y.s = d.s JOIN moves m ON m.t = y.t
+  WHERE m.edit = 'D' OR (NOT w.blank AND NOT w.dup AND (m.edit = 'R' OR w.r = CASE m.e WHEN 1 THEN 's' WHEN 2 THEN 'u' ELSE 'a' END))
+  GROUP BY d.conv_id, w.i, m.e
+),
+ended AS (
+  SELECT d.conv_id, min({'cost': d.best.cost + 5 * y.j, 'audit': d.best.audit || repeat('I', y.j), 'rep': list_concat(d.best.rep, y.put)}) AS best
+  FROM dp d JOIN stats z ON z.conv_id IS NOT DISTINCT FROM d.conv_id AND z.n = d.i JOIN ways y ON y.s = d.s WHERE y.t IN (0, 3) GROUP BY d.conv_id
+)
+SELECT c.conv_id, CAST(coalesce(z.gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(z.blank, 0) AS BIGINT) AS blank, CAST(coalesce(z.duplicate, 0) AS BIGINT) AS duplicate,
+       CAST(coalesce(z.truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(z.illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(e.best.cost, 0) AS BIGINT) AS cost,
+       coalesce(e.best.audit, '') AS audit, sha256(coalesce(array_to_string(e.best.rep, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN stats z ON z.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+OP13_SQL = r"""
+WITH RECURSIVE lab AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY doc_id
+),
+texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS txt,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+judged AS (
+  SELECT t.part, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic,
+         [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+          100 * (length(txt) - length(translate(txt, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 3 * length(txt),
+          length(translate(txt, '#$%&*|', '')) < length(txt),
+          coalesce(t.doc_id > min(t.doc_id) OVER (PARTITION BY txt), false)] AS fails
+  FROM texts t LEFT JOIN lab l USING (doc_id)
+),
+cells AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM judged GROUP BY ALL),
+orders AS (
+  SELECT '' AS o UNION ALL
+  SELECT o || f FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f) WHERE len(o) < 5 AND NOT contains(o, f)
+),
+steps AS (SELECT o, s, ascii(substr(o, s, 1)) - 64 AS f FROM orders, (SELECT unnest(range(1, 6)) AS s) WHERE len(o) = 5),
+joined AS (
+  SELECT part, o, s, f, n, good, toxic, fails[f] AS bad,
+         len(list_filter(range(1, s), lambda k: fails[ascii(substr(o, k, 1)) - 64])) > 0 AS gone,
+         len(list_filter(fails, lambda x: x)) = 1 AS alone
+  FROM cells, steps
+),
+audit AS (
+  SELECT part, o, s, f,
+         sum(CASE WHEN NOT gone AND NOT bad THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN NOT gone AND bad THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN gone AND bad THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN bad AND alone THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN NOT gone AND bad THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN NOT gone AND bad THEN toxic ELSE 0 END) AS toxic_lost
+  FROM joined GROUP BY part, o, s, f
+)
+SELECT part, o AS filter_order, CAST(s AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM audit
+"""
+
 ORACLE = {
     "op2_substring_dedup": OP2_SQL,
     "op3_near_duplicates": OP3_SQL,
     "op4_warc_transactions": OP4_SQL,
     "op6_maximal_repeats": OP6_SQL,
     "op10_block_pruned_topk": OP10_SQL,
+    "op11_conversation_repair": OP11_SQL,
+    "op13_filter_audit": OP13_SQL,
 }
