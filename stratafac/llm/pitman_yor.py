@@ -224,33 +224,34 @@ class Counts:
 def _pairs(row: dict, counts: Counts, model: Model) -> dict[str, np.ndarray]:
     """Distinct pairs of a group in order of (bucket, context, word), with the
     place of each token's pair among them."""
-    codes, sizes = unpack(row["codes"], np.int32).astype(np.int64), np.array(row["sizes"])
+    codes, sizes = unpack(row["codes"], np.int32), np.array(row["sizes"])
     ids, known = unpack(row["word_ids"]), unpack(row["word_counts"])
-    # unknown words are one
-    unknown = np.flatnonzero(ids == UNKNOWN)
-    same = np.arange(len(ids))
-    if len(unknown):
-        same[unknown] = unknown[0]
-    word = same[codes]
-    begin = len(ids)
+    # words by their rank among the ids; the unknown ones share one, and the start has its own
+    every, rank = np.unique(np.append(ids, [UNKNOWN, BEGIN]), return_inverse=True)
+    count = np.zeros(len(every), np.int64)
+    count[rank[: len(ids)]] = known
+    word = rank[codes]
     before = np.empty_like(word)
     before[1:] = word[:-1]
     starts = np.cumsum(sizes) - sizes
-    before[starts] = begin
-    key, inverse = np.unique(before * (begin + 1) + word, return_inverse=True)
+    before[starts] = rank[-1]
+    key, inverse = np.unique(before * len(every) + word, return_inverse=True)
     trained = np.repeat(~np.array(row["held"]), sizes)
-    all_ids, all_counts = np.append(ids, BEGIN), np.append(known, counts.texts)
-    at, w = np.divmod(key, begin + 1)
-    u_count, u, w = all_counts[at], all_ids[at], ids[w]
+    u, w = np.divmod(key, len(every))
     limit = max(1, model.bucket_tokens // 4)
-    ways = np.where(u == UNKNOWN, counts.n_buckets, -(-u_count // limit))
-    spread = (ke.mix(w.astype(np.uint64) + np.uint64(1)) % np.maximum(ways, 1).astype(np.uint64)).astype(np.uint64)
-    bucket = (ke.mix(ke.mix(u.astype(np.uint64)) + spread) % np.uint64(counts.n_buckets)).astype(np.int64)
-    order = np.lexsort((w, u, bucket))
+    context_count = count.copy()
+    context_count[rank[-1]] = counts.texts
+    ways = np.maximum(-(-context_count // limit), 1)
+    ways[rank[-2]] = counts.n_buckets
+    mixed = ke.mix(every.astype(np.uint64))
+    spread = mixed[w] % ways[u].astype(np.uint64)
+    bucket = (ke.mix(mixed[u] + spread) % np.uint64(counts.n_buckets)).astype(np.uint16 if counts.n_buckets < 1 << 16 else np.int64)
+    order = np.argsort(bucket, kind="stable")
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     n = np.bincount(inverse[trained], minlength=len(key))
-    return {"bucket": bucket[order], "u": u[order], "w": w[order], "n": n[order], "split": (ways > 1)[order], "place": place[inverse], "count": known[codes], "starts": starts}
+    u, w = u[order], w[order]
+    return {"bucket": bucket[order], "u": every[u], "w": every[w], "n": n[order], "split": ways[u] > 1, "place": place[inverse], "count": known[codes], "starts": starts}
 
 
 _REQUEST = "bucket int, g long, u binary, w binary, n binary, split binary"
@@ -258,7 +259,8 @@ _REQUEST = "bucket int, g long, u binary, w binary, n binary, split binary"
 
 def _requests(batches: Iterator[pa.RecordBatch], counts: Counts, model: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
             p = _pairs(row, counts, model)
             cut = np.flatnonzero(np.append(True, p["bucket"][1:] != p["bucket"][:-1])) if len(p["bucket"]) else []
             out = []
@@ -365,13 +367,21 @@ class Root:
         return (weight + rest) / (model.parent_strength + self.customers)
 
 
+def _unique_pairs(u: np.ndarray, w: np.ndarray, n_ids: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order by (u, w) and where each distinct pair begins. The requests are
+    sorted runs, which a stable sort of one key merges."""
+    if n_ids >= 1 << 31:
+        return ke.unique_rows(u, w)
+    return ke.unique_rows(u * n_ids + w)
+
+
 def _merged(batch: pa.Table, counts: Counts) -> pa.Table:
     """The pairs of a bucket from the requests of all groups, each with one table."""
     rows = sorted(batch.to_pylist(), key=lambda r: r["g"])
     us, ws, ns = ([f(unpack(r[k])) for r in rows] for k, f in (("u", np.cumsum), ("w", np.asarray), ("n", np.asarray)))
     split = np.unique(np.concatenate([unpack(r["split"]) for r in rows]))
     u, w, n = np.concatenate(us), np.concatenate(ws), np.concatenate(ns)
-    order, firsts = ke.unique_rows(u, w)
+    order, firsts = _unique_pairs(u, w, counts.words + FIRST_ID)
     number = np.empty(len(order), np.int64)
     new = np.zeros(len(order), np.int64)
     new[firsts] = 1
@@ -460,10 +470,18 @@ def _word_table(scratch: Scratch, encoded: DataFrame) -> tuple[DataFrame, int, i
     the numbers of training tokens, words and texts."""
     each = encoded.select(F.explode(F.arrays_zip("words", "trained")).alias("x"))
     sums = each.groupBy(F.col("x.words").alias("word")).agg(F.sum("x.trained").alias("c")).where("c > 0")
-    # frequent words get small numbers, which pack well
-    words = scratch.write(sums.sortWithinPartitions(F.desc("c"), "word").withColumn("id", F.monotonically_increasing_id() + F.lit(FIRST_ID)), "lm-words")
-    n = words.agg(F.sum("c"), F.count("*"), F.sum(F.when(F.col("word") == F.lit(END), F.col("c")))).first()
-    return words, n[0] or 0, n[1], n[2] or 0
+    # within a partition frequent words get small numbers, which pack well
+    written = scratch.write(sums.sortWithinPartitions(F.desc("c"), "word").select("word", "c", F.monotonically_increasing_id().alias("row")), "lm-words")
+    part = F.shiftright("row", 33)
+    found = written.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.sum("c").alias("c"), F.sum(F.when(F.col("word") == F.lit(END), F.col("c"))).alias("texts")).orderBy("part").collect()
+    firsts, first = [], FIRST_ID
+    for r in found:
+        firsts.append((r["part"], first))
+        first += r["n"]
+    # one row per partition of the word table
+    offsets = F.broadcast(encoded.sparkSession.createDataFrame(firsts, "part long, first long"))
+    words = written.join(offsets, part == F.col("part")).select("word", "c", (F.col("first") + F.col("row").bitwiseAND(F.lit((1 << 33) - 1))).alias("id"))
+    return words, sum(r["c"] for r in found), first - FIRST_ID, sum(r["texts"] or 0 for r in found)
 
 
 _TOKENS = "g long, ids array<long>, held array<boolean>, sizes array<long>, codes binary, word_ids binary, word_counts binary"
@@ -471,23 +489,25 @@ _TOKENS = "g long, ids array<long>, held array<boolean>, sizes array<long>, code
 
 def _with_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for r in batch.to_pylist():
-            ids, counts = np.zeros(r["n_words"], np.int64), np.zeros(r["n_words"], np.int64)
-            at = np.array([x["pos"] for x in r["found"] or ()], np.int64)
-            ids[at] = [x["id"] for x in r["found"] or ()]
-            counts[at] = [x["c"] for x in r["found"] or ()]
-            out.append({k: r[k] for k in ("g", "ids", "held", "sizes", "codes")} | {"word_ids": pack(ids), "word_counts": pack(counts)})
-        flat = {"g": pa.int64(), "ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "sizes": pa.list_(pa.int64()), "codes": pa.binary(), "word_ids": pa.binary(), "word_counts": pa.binary()}
-        yield pa.RecordBatch.from_pylist(out, pa.schema(list(flat.items())))
+        columns = dict(zip(batch.schema.names, batch.columns))
+        packed: list[tuple[bytes, bytes]] = []
+        for i in range(batch.num_rows):
+            ids, counts = np.zeros((2, columns["n_words"][i].as_py()), np.int64)
+            if columns["pos"][i].is_valid:
+                at = columns["pos"][i].values.to_numpy()
+                ids[at], counts[at] = columns["id"][i].values.to_numpy(), columns["c"][i].values.to_numpy()
+            packed.append((pack(ids), pack(counts)))
+        kept = [columns[k] for k in ("g", "ids", "held", "sizes", "codes")]
+        yield pa.RecordBatch.from_arrays([*kept, *(pa.array(x, pa.binary()) for x in zip(*packed))] if packed else [*kept, *[pa.array([], pa.binary())] * 2], [x.split()[0] for x in _TOKENS.split(", ")])
 
 
 def _tokens(encoded: DataFrame, words: DataFrame) -> DataFrame:
     """The groups with the numbers and counts of their words instead of the words."""
     asked = encoded.select("g", F.posexplode("words").alias("pos", "a_word"))
-    found = asked.join(words, asked["a_word"] == words["word"]).groupBy("g").agg(F.collect_list(F.struct("pos", "id", "c")).alias("found"))
-    joined = encoded.select("g", "ids", "held", "sizes", "codes", F.size("words").alias("n_words")).join(found.withColumnRenamed("g", "f_g"), F.col("g") == F.col("f_g"), "left").drop("f_g")
-    return joined.mapInArrow(_with_ids, _TOKENS)
+    found = asked.join(words, asked["a_word"] == words["word"]).groupBy(F.col("g").alias("f_g")).agg(F.collect_list(F.struct("pos", "id", "c")).alias("found"))
+    joined = encoded.select("g", "ids", "held", "sizes", "codes", F.size("words").alias("n_words")).join(found, F.col("g") == F.col("f_g"), "left")
+    flat = joined.select("g", "ids", "held", "sizes", "codes", "n_words", F.col("found.pos").alias("pos"), F.col("found.id").alias("id"), F.col("found.c").alias("c"))
+    return flat.mapInArrow(_with_ids, _TOKENS)
 
 
 def _split_totals(tables: DataFrame) -> DataFrame:
@@ -513,7 +533,8 @@ _SCORED = "id long, held_out boolean, n_tokens long, n_known long, train_tokens
 
 def _scored(groups: pa.Table, answers: pa.Table, counts: Counts, model: Model) -> pa.Table:
     out = []
-    for row in groups.to_pylist():
+    for i in range(groups.num_rows):
+        row = groups.slice(i, 1).to_pylist()[0]
         p = _pairs(row, counts, model)
         got = sorted(answers.to_pylist(), key=lambda r: r["bucket"])
         logs = np.concatenate([unpack(r["a"], np.float32) for r in got]).astype(np.float64)[p["place"]]
@@ -549,7 +570,7 @@ def score(docs: DataFrame, model: Model = Model(), id_col: str = "doc_id", text_
     all_tokens = encoded.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     counts = Counts(n_tokens, n_words, n_texts, max(1, math.ceil(all_tokens / model.bucket_tokens)), max(1, math.ceil(n_words / model.part_words)))
     tokens = scratch.write(_tokens(encoded, words), "lm-tokens")
-    scratch.drop(encoded, words)
+    scratch.drop(encoded)
 
     asked = tokens.mapInArrow(lambda it: _requests(it, counts, model), _REQUEST)
     merged = asked.groupBy("bucket").applyInArrow(lambda t: _merged(t, counts), _BUCKET)
