@@ -28,6 +28,7 @@ the rounds after the burn-in are averaged.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,14 +41,13 @@ from pyspark.sql import functions as F
 from stratafac.llm import kernels as ke
 from stratafac.llm.tables import Scratch
 
-UNKNOWN, BEGIN, FIRST_ID = 0, 1, 2
-#: The end token's entry among the words; no word is empty.
-END = b""
+UNKNOWN, BEGIN, END_ID = 0, 1, 2
+#: The end token's code in a group until its words are counted.
+END = -1
 
 # Sizes that bound a task's memory.
 GROUP_BYTES = 8 << 20
 BUCKET_TOKENS = 2_000_000
-PART_WORDS = 250_000
 
 
 @dataclass(frozen=True)
@@ -64,7 +64,6 @@ class Model:
     seed: int = 42
     group_bytes: int = GROUP_BYTES
     bucket_tokens: int = BUCKET_TOKENS
-    part_words: int = PART_WORDS
 
 
 # --- packed arrays -----------------------------------------------------------
@@ -168,7 +167,10 @@ def seat(rng: np.random.Generator, p: np.ndarray, customers: np.ndarray, context
 
 # --- texts -------------------------------------------------------------------
 
-_ENCODED = "g long, ids array<long>, held array<boolean>, sizes array<long>, codes binary, words array<binary>, trained array<long>"
+#: kinds: texts (ids, held, sizes, a: codes of all tokens), words (part, a: the
+#: group's words of a part in order, b: their training tokens). A word's code is
+#: its place in all of the group's words by part; the end token follows them.
+_ENCODED = "kind string, g long, part int, ids array<long>, held array<boolean>, sizes array<long>, a binary, b binary"
 
 
 class _Codes(dict):
@@ -177,27 +179,38 @@ class _Codes(dict):
         return n
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], group_bytes: int) -> Iterator[pa.RecordBatch]:
+def _encoded(batches: Iterator[pa.RecordBatch], group_bytes: int, n_parts: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     g = TaskContext.get().partitionId() << 32
-    schema = pa.schema([("g", pa.int64()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("codes", pa.binary()), ("words", pa.list_(pa.binary())), ("trained", pa.list_(pa.int64()))])
+    schema = pa.schema([("kind", pa.string()), ("g", pa.int64()), ("part", pa.int32()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("a", pa.binary()), ("b", pa.binary())])
     known, ids, held, parts, size = _Codes(), [], [], [], 0
 
     def close():
         nonlocal g, known, ids, held, parts, size
-        codes = np.concatenate(parts)
+        words = list(known)
+        part = np.fromiter((zlib.crc32(w) % n_parts for w in words), np.int64, len(words))
+        place = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+        place = place[np.argsort(part[place], kind="stable")]
+        number = np.empty(len(words) + 1, np.int32)
+        number[place], number[-1] = np.arange(len(words)), len(words)
+        codes = number[np.concatenate(parts)]
         sizes = np.array([len(x) for x in parts])
-        trained = np.bincount(codes[np.repeat(~np.array(held), sizes)], minlength=len(known))
-        row = {"g": g, "ids": ids, "held": held, "sizes": sizes.tolist(), "codes": pack(codes), "words": list(known), "trained": trained.tolist()}
+        trained = np.bincount(codes[np.repeat(~np.array(held), sizes)], minlength=len(words))
+        row = dict.fromkeys(schema.names)
+        out = [row | {"kind": "texts", "g": g, "ids": ids, "held": held, "sizes": sizes.tolist(), "a": pack(codes)}]
+        for k, (x, z) in _runs(part[place]):
+            joined = zstandard.ZstdCompressor(level=1).compress(b" ".join([words[i] for i in place[x:z]]))
+            out.append(row | {"kind": "words", "g": g, "part": k, "a": joined, "b": pack(trained[x:z])})
         g, known, ids, held, parts, size = g + 1, _Codes(), [], [], [], 0
-        return pa.RecordBatch.from_pylist([row], schema)
+        return pa.RecordBatch.from_pylist(out, schema)
 
     for batch in batches:
         for i, held_out, text in zip(*batch.columns):
             words = text.as_py().lower().split()  # of bytes: A-Z only, and x20 and x09 to x0D
-            words.append(END)
-            parts.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
+            codes = np.empty(len(words) + 1, np.int32)
+            codes[:-1], codes[-1] = np.fromiter(map(known.__getitem__, words), np.int32, len(words)), END
+            parts.append(codes)
             ids.append(i.as_py())
             held.append(held_out.as_py())
             size += len(text.as_buffer()) + 64
@@ -207,9 +220,40 @@ def _encoded(batches: Iterator[pa.RecordBatch], group_bytes: int) -> Iterator[pa
         yield close()
 
 
+def _runs(x: np.ndarray) -> Iterator[tuple[int, tuple[int, int]]]:
+    """Values of a sorted array and where each begins and ends."""
+    if len(x):
+        cut = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+        yield from zip(x[cut].tolist(), zip(cut.tolist(), np.append(cut[1:], len(x)).tolist()))
+
+
+#: Replies to the groups; a part's totals stand in its first one.
+_IDS = "kind string, g long, part int, a binary, b binary, tokens long, words long"
+
+
+def _numbered(batch: pa.Table, n_parts: int) -> pa.Table:
+    """Numbers and training tokens of a part's words for every group that has them.
+    Frequent words get small numbers, which pack well."""
+    rows = sorted(batch.to_pylist(), key=lambda r: r["g"])
+    lists = [zstandard.ZstdDecompressor().decompress(r["a"]).split(b" ") for r in rows]
+    coded = pa.chunked_array([pa.array(x, pa.binary()) for x in lists]).combine_chunks().dictionary_encode()
+    at = coded.indices.to_numpy()
+    c = np.bincount(at, np.concatenate([unpack(r["b"]) for r in rows]), len(coded.dictionary)).astype(np.int64)
+    known = np.flatnonzero(c)
+    ids = np.zeros(len(c), np.int64)
+    ids[known[np.argsort(-c[known], kind="stable")]] = END_ID + rows[0]["part"] + n_parts * np.arange(1, len(known) + 1)
+    out, first = [], 0
+    for i, (r, x) in enumerate(zip(rows, lists)):
+        mine = at[first : first + len(x)]
+        first += len(x)
+        out.append({"kind": "ids", "g": r["g"], "part": r["part"], "a": pack(ids[mine]), "b": pack(c[mine]), "tokens": 0 if i else int(c.sum()), "words": 0 if i else len(known)})
+    return pa.Table.from_pylist(out, _schema(_IDS))
+
+
 @dataclass(frozen=True)
 class Counts:
-    """Of the training tokens: their number, distinct ones, and texts."""
+    """Of the training tokens: their number, distinct ones, and texts; buckets
+    of pairs, and parts of the words (a word's is that of its number)."""
 
     tokens: int
     words: int
@@ -221,11 +265,13 @@ class Counts:
 # --- pairs of a group ----------------------------------------------------------
 
 
-def _pairs(row: dict, counts: Counts, model: Model) -> dict[str, np.ndarray]:
+def _pairs(row: dict, replies: list[dict], counts: Counts, model: Model) -> dict[str, np.ndarray]:
     """Distinct pairs of a group in order of (bucket, context, word), with the
     place of each token's pair among them."""
-    codes, sizes = unpack(row["codes"], np.int32), np.array(row["sizes"])
-    ids, known = unpack(row["word_ids"]), unpack(row["word_counts"])
+    codes, sizes = unpack(row["a"], np.int32), np.array(row["sizes"])
+    replies = sorted((r for r in replies if r["kind"] == "ids"), key=lambda r: r["part"])
+    ids = np.concatenate([*(unpack(r["a"]) for r in replies), [END_ID if counts.texts else UNKNOWN]])
+    known = np.concatenate([*(unpack(r["b"]) for r in replies), [counts.texts]])
     # words by their rank among the ids; the unknown ones share one, and the start has its own
     every, rank = np.unique(np.append(ids, [UNKNOWN, BEGIN]), return_inverse=True)
     count = np.zeros(len(every), np.int64)
@@ -257,20 +303,17 @@ def _pairs(row: dict, counts: Counts, model: Model) -> dict[str, np.ndarray]:
 _REQUEST = "bucket int, g long, u binary, w binary, n binary, split binary"
 
 
-def _requests(batches: Iterator[pa.RecordBatch], counts: Counts, model: Model) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = batch.slice(i, 1).to_pylist()[0]
-            p = _pairs(row, counts, model)
-            cut = np.flatnonzero(np.append(True, p["bucket"][1:] != p["bucket"][:-1])) if len(p["bucket"]) else []
-            out = []
-            for a, z in zip(cut, np.append(cut[1:], len(p["bucket"])) if len(cut) else []):
-                u = p["u"][a:z]
-                out.append({
-                    "bucket": int(p["bucket"][a]), "g": row["g"], "u": pack(np.diff(u, prepend=0)), "w": pack(p["w"][a:z]), "n": pack(p["n"][a:z]),
-                    "split": pack(np.unique(u[p["split"][a:z]])),
-                })
-            yield pa.RecordBatch.from_pylist(out, _schema(_REQUEST))
+def _requests(groups: pa.Table, replies: pa.Table, counts: Counts, model: Model) -> pa.Table:
+    out = []
+    for row in groups.to_pylist():
+        p = _pairs(row, replies.to_pylist(), counts, model)
+        for bucket, (a, z) in _runs(p["bucket"]):
+            u = p["u"][a:z]
+            out.append({
+                "bucket": bucket, "g": row["g"], "u": pack(np.diff(u, prepend=0)), "w": pack(p["w"][a:z]), "n": pack(p["n"][a:z]),
+                "split": pack(np.unique(u[p["split"][a:z]])),
+            })
+    return pa.Table.from_pylist(out, _schema(_REQUEST))
 
 
 def _schema(text: str) -> pa.Schema:
@@ -303,8 +346,8 @@ class _Bucket:
         self.context, self.contexts = np.cumsum(new) - 1, u[new]
         self.at_split = np.searchsorted(self.contexts, split)
         self.words, self.word = np.unique(w, return_inverse=True)
-        part = (ke.mix(self.words.astype(np.uint64)) % np.uint64(counts.n_parts)).astype(np.int64)
-        part[self.words < FIRST_ID] = -1
+        part = (self.words - END_ID) % counts.n_parts
+        part[self.words < END_ID] = -1
         self.order = np.argsort(part, kind="stable")
         self.part = part[self.order]
 
@@ -324,10 +367,9 @@ class _Bucket:
         """Rows of kinds words and tables."""
         by_word = np.bincount(self.word, tables, len(self.words)).astype(np.int64)[self.order]
         words = self.words[self.order]
-        for part in np.unique(self.part):
+        for part, (x, z) in _runs(self.part):
             if part >= 0:
-                mine = self.part == part
-                yield _row(kind="words", bucket=self.bucket, part=int(part), a=pack(np.diff(words[mine], prepend=0)), b=pack(by_word[mine]))
+                yield _row(kind="words", bucket=self.bucket, part=part, a=pack(np.diff(words[x:z], prepend=0)), b=pack(by_word[x:z]))
         c, t = self.sums(self.c)[self.at_split], self.sums(tables)[self.at_split]
         totals = [{"u": int(x), "c": int(y), "t": int(z)} for x, y, z in zip(self.split, c, t)]
         yield _row(kind="tables", bucket=self.bucket, a=pack(tables[self.c > 1]), totals=totals)
@@ -381,7 +423,7 @@ def _merged(batch: pa.Table, counts: Counts) -> pa.Table:
     us, ws, ns = ([f(unpack(r[k])) for r in rows] for k, f in (("u", np.cumsum), ("w", np.asarray), ("n", np.asarray)))
     split = np.unique(np.concatenate([unpack(r["split"]) for r in rows]))
     u, w, n = np.concatenate(us), np.concatenate(ws), np.concatenate(ns)
-    order, firsts = _unique_pairs(u, w, counts.words + FIRST_ID)
+    order, firsts = _unique_pairs(u, w, int(w.max()) + 1)
     number = np.empty(len(order), np.int64)
     new = np.zeros(len(order), np.int64)
     new[firsts] = 1
@@ -465,51 +507,6 @@ def _unigrams(batch: pa.Table, counts: Counts, tables_before: int, model: Model,
 # --- the job -----------------------------------------------------------------------
 
 
-def _word_table(scratch: Scratch, encoded: DataFrame) -> tuple[DataFrame, int, int, int]:
-    """``word``, ``c`` (training tokens) and ``id`` of every training word, and
-    the numbers of training tokens, words and texts."""
-    each = encoded.select(F.explode(F.arrays_zip("words", "trained")).alias("x"))
-    sums = each.groupBy(F.col("x.words").alias("word")).agg(F.sum("x.trained").alias("c")).where("c > 0")
-    # within a partition frequent words get small numbers, which pack well
-    written = scratch.write(sums.sortWithinPartitions(F.desc("c"), "word").select("word", "c", F.monotonically_increasing_id().alias("row")), "lm-words")
-    part = F.shiftright("row", 33)
-    found = written.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.sum("c").alias("c"), F.sum(F.when(F.col("word") == F.lit(END), F.col("c"))).alias("texts")).orderBy("part").collect()
-    firsts, first = [], FIRST_ID
-    for r in found:
-        firsts.append((r["part"], first))
-        first += r["n"]
-    # one row per partition of the word table
-    offsets = F.broadcast(encoded.sparkSession.createDataFrame(firsts, "part long, first long"))
-    words = written.join(offsets, part == F.col("part")).select("word", "c", (F.col("first") + F.col("row").bitwiseAND(F.lit((1 << 33) - 1))).alias("id"))
-    return words, sum(r["c"] for r in found), first - FIRST_ID, sum(r["texts"] or 0 for r in found)
-
-
-_TOKENS = "g long, ids array<long>, held array<boolean>, sizes array<long>, codes binary, word_ids binary, word_counts binary"
-
-
-def _with_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        columns = dict(zip(batch.schema.names, batch.columns))
-        packed: list[tuple[bytes, bytes]] = []
-        for i in range(batch.num_rows):
-            ids, counts = np.zeros((2, columns["n_words"][i].as_py()), np.int64)
-            if columns["pos"][i].is_valid:
-                at = columns["pos"][i].values.to_numpy()
-                ids[at], counts[at] = columns["id"][i].values.to_numpy(), columns["c"][i].values.to_numpy()
-            packed.append((pack(ids), pack(counts)))
-        kept = [columns[k] for k in ("g", "ids", "held", "sizes", "codes")]
-        yield pa.RecordBatch.from_arrays([*kept, *(pa.array(x, pa.binary()) for x in zip(*packed))] if packed else [*kept, *[pa.array([], pa.binary())] * 2], [x.split()[0] for x in _TOKENS.split(", ")])
-
-
-def _tokens(encoded: DataFrame, words: DataFrame) -> DataFrame:
-    """The groups with the numbers and counts of their words instead of the words."""
-    asked = encoded.select("g", F.posexplode("words").alias("pos", "a_word"))
-    found = asked.join(words, asked["a_word"] == words["word"]).groupBy(F.col("g").alias("f_g")).agg(F.collect_list(F.struct("pos", "id", "c")).alias("found"))
-    joined = encoded.select("g", "ids", "held", "sizes", "codes", F.size("words").alias("n_words")).join(found, F.col("g") == F.col("f_g"), "left")
-    flat = joined.select("g", "ids", "held", "sizes", "codes", "n_words", F.col("found.pos").alias("pos"), F.col("found.id").alias("id"), F.col("found.c").alias("c"))
-    return flat.mapInArrow(_with_ids, _TOKENS)
-
-
 def _split_totals(tables: DataFrame) -> DataFrame:
     """Totals of the split contexts for every bucket that has a share of them."""
     each = tables.where("kind = 'tables'").select("bucket", F.explode("totals").alias("x"))
@@ -531,21 +528,17 @@ def _news(tables: DataFrame, replies: DataFrame, sample: int) -> DataFrame:
 _SCORED = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scored(groups: pa.Table, answers: pa.Table, counts: Counts, model: Model) -> pa.Table:
+def _scored(groups: pa.Table, replies: pa.Table, counts: Counts, model: Model) -> pa.Table:
     out = []
-    for i in range(groups.num_rows):
-        row = groups.slice(i, 1).to_pylist()[0]
-        p = _pairs(row, counts, model)
-        got = sorted(answers.to_pylist(), key=lambda r: r["bucket"])
-        logs = np.concatenate([unpack(r["a"], np.float32) for r in got]).astype(np.float64)[p["place"]]
+    for row in groups.to_pylist():
+        got = replies.to_pylist()
+        p = _pairs(row, got, counts, model)
+        answers = sorted((r for r in got if r["kind"] == "p"), key=lambda r: r["part"])
+        logs = np.concatenate([unpack(r["a"], np.float32) for r in answers]).astype(np.float64)[p["place"]]
         base = np.log10((p["count"] + 0.5) / (counts.tokens + 0.5 * (counts.words + 1)))
         sums = [np.add.reduceat(x, p["starts"]) for x in (base, logs, (p["count"] > 0).astype(np.int64))]
-        n = len(row["ids"])
-        out.append(pa.Table.from_arrays(
-            [pa.array(row["ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(row["sizes"], pa.int64()), pa.array(sums[2], pa.int64()),
-             pa.array(np.full(n, counts.tokens), pa.int64()), pa.array(sums[0], pa.float64()), pa.array(sums[1], pa.float64())],
-            schema=_schema(_SCORED),
-        ))
+        columns = [row["ids"], row["held"], row["sizes"], sums[2], np.full(len(row["ids"]), counts.tokens), sums[0], sums[1]]
+        out.append(pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _schema(_SCORED))], schema=_schema(_SCORED)))
     return pa.concat_tables(out) if out else _schema(_SCORED).empty_table()
 
 
@@ -564,21 +557,27 @@ def score(docs: DataFrame, model: Model = Model(), id_col: str = "doc_id", text_
     i = F.col(id_col).cast("long")
     held = F.coalesce(F.crc32(i.cast("string")) % 5 == 1, F.lit(False))
     rows = docs.select(i.alias("id"), held.alias("held"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     group_bytes = model.group_bytes
-    encoded = scratch.write(rows.mapInArrow(lambda it: _encoded(it, group_bytes), _ENCODED), "lm-encoded")
-    words, n_tokens, n_words, n_texts = _word_table(scratch, encoded)
-    all_tokens = encoded.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    counts = Counts(n_tokens, n_words, n_texts, max(1, math.ceil(all_tokens / model.bucket_tokens)), max(1, math.ceil(n_words / model.part_words)))
-    tokens = scratch.write(_tokens(encoded, words), "lm-tokens")
-    scratch.drop(encoded)
-
-    asked = tokens.mapInArrow(lambda it: _requests(it, counts, model), _REQUEST)
+    encoded = scratch.bucketed(rows.mapInArrow(lambda it: _encoded(it, group_bytes, n_parts), _ENCODED), "lm-encoded", n_parts, "g", "kind")
+    texts = encoded.where("kind = 'texts'").select("g", "ids", "held", "sizes", "a")
+    words = encoded.where("kind = 'words'").select("part", "g", "a", "b")
+    ids = scratch.write(words.groupBy("part").applyInArrow(lambda t: _numbered(t, n_parts), _IDS), "lm-ids")
+    n_tokens, n_words = ids.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    sizes, learned = F.explode(F.arrays_zip("sizes", "held")).alias("x"), F.when(~F.col("x.held"), 1)
+    all_tokens, n_texts = texts.select(sizes).agg(F.coalesce(F.sum("x.sizes"), F.lit(0)), F.count(learned)).first()
+    # the end token is one of the words
+    counts = Counts(n_tokens + n_texts, n_words + (n_texts > 0), n_texts, max(1, math.ceil(all_tokens / model.bucket_tokens)), n_parts)
+    numbers = ids.select("kind", "g", "part", "a", "b")
+
+    asked = texts.groupBy("g").cogroup(numbers.groupBy("g")).applyInArrow(lambda d, r: _requests(d, r, counts, model), _REQUEST)
     merged = asked.groupBy("bucket").applyInArrow(lambda t: _merged(t, counts), _BUCKET)
     base = scratch.bucketed(merged, "lm-pairs", counts.n_buckets, "bucket", "kind")
     pairs, tables = base.where("kind = 'pairs'"), base.where("kind in ('words', 'tables')")
-    root = Root(0, n_words)
+    root = Root(0, counts.words)
     news, roots, kept = None, [], []
     for step in range(model.burn_in + model.samples + 1):
+        # the parts of the unigram restaurant are those of the words
         sent = tables.where("kind = 'words'").select("part", "bucket", "a", "b")
         before = root.tables
         replies = scratch.write(sent.groupBy("part").applyInArrow(lambda t: _unigrams(t, counts, before, model, step), _REPLY), f"lm-replies-{step}")
@@ -597,4 +596,6 @@ def score(docs: DataFrame, model: Model = Model(), id_col: str = "doc_id", text_
         news = news.union(more)
     known = base.where("kind in ('pairs', 'index')")
     answers = known.groupBy("bucket").cogroup(news.groupBy("bucket")).applyInArrow(lambda p, t: _answered(p, t, counts, roots, model), "g long, bucket int, a binary")
-    return tokens.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(lambda d, a: _scored(d, a, counts, model), _SCORED)
+    none = F.lit(None).cast("binary").alias("b")
+    both = numbers.union(answers.select(F.lit("p").alias("kind"), "g", F.col("bucket").alias("part"), "a", none))
+    return texts.groupBy("g").cogroup(both.groupBy("g")).applyInArrow(lambda d, r: _scored(d, r, counts, model), _SCORED)

@@ -9,7 +9,7 @@ import pytest
 from helpers import words
 from stratafac.llm import pitman_yor as py
 
-SMALL = replace(py.Model(), group_bytes=2_000, bucket_tokens=300, part_words=50)
+SMALL = replace(py.Model(), group_bytes=2_000, bucket_tokens=300)
 
 
 def base(docs):
@@ -122,7 +122,7 @@ def test_probabilities_sum_to_one():
     rng = np.random.default_rng(4)
     model, n_words = py.Model(), 40
     counts = py.Counts(0, n_words, 7, 2, 3)
-    ids = np.concatenate([[py.UNKNOWN], np.arange(n_words) + py.FIRST_ID])
+    ids = np.concatenate([[py.UNKNOWN], np.arange(n_words) + py.END_ID])
     u = np.repeat([5, 9, 11], len(ids))
     w = np.tile(ids, 3)
     c = rng.integers(0, 6, len(u)) * (rng.random(len(u)) < 0.4) * (w != py.UNKNOWN)
