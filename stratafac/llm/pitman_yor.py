@@ -18,8 +18,7 @@ every text costs a bucket one entry per group. A round seats the customers of
 every pair given the parent's probabilities, sends the numbers of tables to the
 unigram restaurant, and seats that. Seating is a Chinese-restaurant draw in
 sequence, where the customers up to the next new table are drawn in one step
-(a beta-geometric number, dealt to the open tables by a Dirichlet-multinomial),
-followed by Gibbs moves: a random customer of every pair leaves and sits down
+(a beta-geometric number, dealt to the open tables by Polya urns), followed by Gibbs moves: a random customer of every pair leaves and sits down
 again. All pairs of a part move at once, seeing each other's tables as of the
 move before; tables of other parts as of the round before. The probabilities of
 the rounds after the burn-in are averaged.
@@ -88,13 +87,17 @@ def unpack(data: bytes | None, kind=np.int64) -> np.ndarray:
 
 def _first_seating(rng, p, customers, context, totals, discount, strength):
     """Owner and size of the tables of a seating in sequence; ``totals`` (tables
-    by context) grows with the tables opened. In pass k every open pair has k tables."""
-    owners, sizes = [], []
-    open_ = np.arange(len(customers))
-    seated = np.ones(len(customers), np.int64)
-    table = np.ones((len(customers), 1), np.int64)
+    by context) grows with the tables opened.
+
+    Pass k draws how many customers join the k open tables of each pair before
+    the next one opens. The way back deals them: those who join tables 1 to k
+    from the opening of table k on are split between k and the older ones by a
+    Polya urn, so each table costs one draw.
+    """
+    n = len(customers)
+    open_, seated, passes = np.arange(n), np.ones(n, np.int64), []
     while len(open_):
-        k = table.shape[1]
+        k = len(passes) + 1
         fresh = (strength + discount * totals[context[open_]]) * p[open_]
         # the next table opens with chance r after each customer, r being beta-distributed
         r = rng.beta(fresh, seated - discount * k)
@@ -102,18 +105,20 @@ def _first_seating(rng, p, customers, context, totals, discount, strength):
         with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
             until = np.log(1.0 - rng.random(len(open_))) / np.log1p(-r)
         joining = np.where(until < left, until, left).astype(np.int64)
-        if k == 1:
-            table[:, 0] += joining
-        else:
-            share = rng.standard_gamma(table - discount)
-            table += rng.multinomial(joining, share / share.sum(axis=1, keepdims=True))
-        seated += joining
-        done = seated == customers[open_]
-        owners.append(np.repeat(open_[done], k))
-        sizes.append(table[done].ravel())
-        open_, seated = open_[~done], seated[~done] + 1
+        passes.append((open_, seated, joining))
+        more = joining < left
+        open_, seated = open_[more], (seated + joining)[more] + 1
         np.add.at(totals, context[open_], 1)
-        table = np.concatenate([table[~done], np.ones((len(open_), 1), np.int64)], axis=1)
+    owners, sizes, waiting = [], [], np.zeros(n, np.int64)
+    for k in range(len(passes), 0, -1):
+        pairs, seated, joining = passes[k - 1]
+        waiting[pairs] += joining
+        own = waiting[pairs]
+        if k > 1:
+            own = rng.binomial(own, rng.beta(1 - discount, seated - 1 - discount * (k - 1)))
+            waiting[pairs] -= own
+        owners.append(pairs)
+        sizes.append(own + 1)
     owner, size = np.concatenate(owners), np.concatenate(sizes)
     order = np.argsort(owner, kind="stable")
     return owner[order], size[order]

@@ -144,3 +144,23 @@ def test_probabilities_sum_to_one():
     for b, t in zip(parts, tables):
         sums += np.bincount(b.context, b.probability(t, np.array([parent[i] for i in b.w]), totals, model), 3)
     assert np.allclose(sums, 1)
+
+
+def test_first_seating_deals_like_one_customer_at_a_time():
+    rng = np.random.default_rng(0)
+    n, trials, p, d, theta = 5, 40_000, 0.3, 0.6, 1.0
+    owner, size = py._first_seating(rng, np.full(trials, p), np.full(trials, n), np.arange(trials), np.ones(trials, np.int64), d, theta)
+    cut = np.searchsorted(owner, np.arange(trials + 1))
+    got = Counter(tuple(sorted(size[a:z].tolist())) for a, z in zip(cut, cut[1:]))
+    want = Counter()
+    for _ in range(trials):
+        tables = [1]
+        for _ in range(n - 1):
+            weights = np.array([x - d for x in tables] + [(theta + d * len(tables)) * p])
+            k = int(np.searchsorted(np.cumsum(weights), rng.random() * weights.sum()))
+            if k == len(tables):
+                tables.append(1)
+            else:
+                tables[k] += 1
+        want[tuple(sorted(tables))] += 1
+    assert max(abs(got[k] - want[k]) for k in got.keys() | want.keys()) < 0.015 * trials
