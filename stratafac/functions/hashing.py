@@ -155,27 +155,24 @@ def mix_normal(seed: int, *parts: Column | int) -> Column:
     return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
 
 
-def sql_mix_bits(seed: int, *parts: str | int) -> str:
-    """DuckDB twin of ``mix_bits``; ``parts`` are SQL expressions or ints."""
+def sql_mix_bits(source: str, keep: str, seed: int, parts: Sequence[str | int], out: str) -> str:
+    """DuckDB twin of ``mix_bits``: a SELECT of the columns ``keep`` of ``source``
+    and the hash as ``out``. Each step is a sub-select, so that the text grows
+    with the number of parts only."""
     p = MIX_P
-    h = f"CAST({(seed * MIX_A + 1) % MIX_P} AS BIGINT)"
+    sql = f"SELECT {keep}, CAST({(seed * MIX_A + 1) % p} AS BIGINT) AS _h FROM {source}"
     for part in parts:
-        x = f"(CAST({part} AS BIGINT) % {p})"
-        h = f"((xor({h}, {x}) * CAST({MIX_A} AS BIGINT)) % {p})"
-        h = f"xor({h}, ({h} >> {MIX_SHIFT_1}))"
-        h = f"(({h} * CAST({MIX_B} AS BIGINT)) % {p})"
-        h = f"xor({h}, ({h} >> {MIX_SHIFT_2}))"
-    return f"(({h} * CAST({MIX_A} AS BIGINT)) % {p})"
+        sql = f"SELECT {keep}, (xor(_h, CAST({part} AS BIGINT) % {p}) * {MIX_A}) % {p} AS _h FROM ({sql})"
+        sql = f"SELECT {keep}, (xor(_h, _h >> {MIX_SHIFT_1}) * {MIX_B}) % {p} AS _h FROM ({sql})"
+        sql = f"SELECT {keep}, xor(_h, _h >> {MIX_SHIFT_2}) AS _h FROM ({sql})"
+    return f"SELECT {keep}, (_h * {MIX_A}) % {p} AS {out} FROM ({sql})"
 
 
-def sql_mix_uniform(seed: int, *parts: str | int) -> str:
-    return f"((CAST({sql_mix_bits(seed, *parts)} AS DOUBLE) + 0.5) / {float(MIX_P)})"
-
-
-def sql_mix_normal(seed: int, *parts: str | int) -> str:
-    u1 = sql_mix_uniform(seed, *parts, 1)
-    u2 = sql_mix_uniform(seed, *parts, 2)
-    return f"(sqrt(-2.0 * ln({u1})) * cos(2.0 * pi() * {u2}))"
+def sql_mix_normal(source: str, keep: str, seed: int, parts: Sequence[str | int], out: str) -> str:
+    one = sql_mix_bits(source, keep, seed, [*parts, 1], "_b1")
+    both = sql_mix_bits(f"({one})", f"{keep}, _b1", seed, [*parts, 2], "_b2")
+    u1, u2 = (f"((CAST({b} AS DOUBLE) + 0.5) / {float(MIX_P)})" for b in ("_b1", "_b2"))
+    return f"SELECT {keep}, sqrt(-2.0 * ln({u1})) * cos(2.0 * pi() * {u2}) AS {out} FROM ({both})"
 
 
 def py_mix_bits(seed: int, *parts: int) -> int:

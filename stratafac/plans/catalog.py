@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafac.functions.hashing import sql_hash_bits, sql_hash_index, sql_hash_normal, sql_hash_uniform, sql_mix_bits, sql_mix_normal
+from stratafac.functions.hashing import MIX_A, MIX_B, MIX_P, MIX_SHIFT_1, sql_hash_bits, sql_hash_index, sql_hash_normal, sql_hash_uniform, sql_mix_bits, sql_mix_normal
 from stratafac.operators import attack as atk
 from stratafac.operators import blocks, evaluate, model, sampling, stats
 from stratafac.operators import factors as fac
@@ -668,36 +668,46 @@ U = '"user"'
 
 def _attack_ctes(sc: atk.AttackScenario) -> str:
     h_att = sql_hash_bits(sc.seed, "attacker", f"@{U}")
-    step = sql_mix_bits(sc.seed, atk.FILLER_SALT, U)
-    start = sql_mix_bits(sc.seed, atk.START_SALT, U)
-    z = sql_mix_normal(sc.seed, atk.VALUE_SALT, U, "item")
     ctes = [
         f"ext AS (SELECT max({U}) + 1 AS L, max(item) + 1 AS M FROM r)",
         "g AS (SELECT avg(rating) AS mean, stddev_pop(rating) AS std, max(rating) AS mx FROM r)",
         f"cand AS (SELECT unnest(range(0, (SELECT L - 1 FROM ext))) AS {U})",
         f"att AS (SELECT {U} FROM (SELECT {U}, row_number() OVER (ORDER BY {h_att}, {U}) AS rn FROM cand) x "
         f"WHERE rn <= (SELECT floor(L * {sc.at_size}::DOUBLE) FROM ext))",
-        f"size AS (SELECT M - 1 AS pool, least(CAST(floor(M * {sc.fil_size}::DOUBLE) AS BIGINT), M - 1) AS k FROM ext)",
-        f"steps AS (SELECT i, list_filter(range(first, first + 1000), lambda x: gcd(x, pool) = 1)[1] AS a FROM ("
-        f"SELECT i, pool, 1 + pool * (i + 1) // {atk.STEPS + 1} AS first FROM size, (SELECT range AS i FROM range({atk.STEPS}))))",
-        f"af AS (SELECT {U}, a, {start} % pool AS b, pool, k FROM att CROSS JOIN size JOIN steps ON steps.i = ({step}) % {atk.STEPS})",
-        f"fil AS (SELECT {U}, (a * j + b) % pool AS item FROM (SELECT {U}, a, b, pool, unnest(range(0, k)) AS j FROM af))",
+        f"size AS (SELECT *, CAST(ceil(pool / n_r) AS BIGINT) AS n_c FROM (SELECT M - 1 AS pool, CAST(ceil(sqrt(M - 1)) AS BIGINT) AS n_r, "
+        f"least(CAST(floor(M * {sc.fil_size}::DOUBLE) AS BIGINT), M - 1) AS k FROM ext))",
     ]
+    # the permutation of the pool's grid, a round at a time
+    keep = U
+    source = "att"
+    for i in range(atk.ROUNDS):
+        source = f"({sql_mix_bits(source, keep, sc.seed, [atk.ROUND_SALT + i, U], f'k{i}')})"
+        keep += f", k{i}"
+    ctes.append(f"p0 AS (SELECT *, j // n_c AS l, j % n_c AS c FROM (SELECT *, unnest(range(0, k + n_r * n_c - pool)) AS j FROM {source} CROSS JOIN size))")
+    for i in range(atk.ROUNDS):
+        moved, by, n = ("l", "c", "n_r") if i % 2 == 0 else ("c", "l", "n_c")
+        h = f"(({by} + k{i}) * {MIX_A}) % {MIX_P}"
+        shifted = f"((xor(h, h >> {MIX_SHIFT_1}) * {MIX_B}) % {MIX_P}) >> 7"
+        ctes.append(f"p{i + 1} AS (SELECT * EXCLUDE (h) REPLACE (({moved} + ({shifted})) % {n} AS {moved}) FROM (SELECT *, {h} AS h FROM p{i}))")
+    ctes.append(
+        f"fil AS (SELECT {U}, item FROM (SELECT {U}, l * n_c + c AS item, j, k, pool FROM p{atk.ROUNDS}) x WHERE item < pool "
+        f"QUALIFY row_number() OVER (PARTITION BY {U} ORDER BY j) <= k)"
+    )
+    ctes.append(f"zfil AS ({sql_mix_normal('fil', f'{U}, item', sc.seed, [atk.VALUE_SALT, U, 'item'], 'z')})")
     if sc.kind == "random":
-        fill = f"SELECT {U}, item, (SELECT mean FROM g) + (SELECT std FROM g) * {z} AS rating FROM fil"
+        fill = f"SELECT {U}, item, (SELECT mean FROM g) + (SELECT std FROM g) * z AS rating FROM zfil"
     else:
         ctes.append(f"us AS (SELECT {U}, avg(rating) AS m, stddev_pop(rating) AS s FROM r GROUP BY {U})")
         fill = (
-            f"SELECT fil.{U}, fil.item, coalesce(us.m, (SELECT mean FROM g)) + coalesce(us.s, (SELECT std FROM g)) * {z} "
-            f"AS rating FROM fil LEFT JOIN us USING ({U})"
+            f"SELECT zfil.{U}, zfil.item, coalesce(us.m, (SELECT mean FROM g)) + coalesce(us.s, (SELECT std FROM g)) * z "
+            f"AS rating FROM zfil LEFT JOIN us USING ({U})"
         )
     ctes.append(
         f"fake AS (SELECT * FROM ({fill}) f WHERE item <> {sc.target} "
         f"UNION ALL SELECT {U}, CAST({sc.target} AS BIGINT) AS item, (SELECT mx FROM g) AS rating FROM att)"
     )
     ctes.append(
-        f"atk AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM fake f WHERE f.{U} = r.{U} AND f.item = r.item) "
-        "UNION ALL SELECT * FROM fake)"
+        f"atk AS (SELECT r.* FROM r ANTI JOIN fake f USING ({U}, item) UNION ALL SELECT * FROM fake)"
     )
     return ", ".join(ctes)
 
@@ -772,9 +782,7 @@ def q_attack_size_summary(spark, sf_dir):
     out = None
     for sc in SUMMARY_SCENARIOS:
         plan = atk.plan_attack(r, sc, n_users, n_items, g)
-        n_fake = plan.fake.agg(F.countDistinct("user").alias("n_attackers"), F.count(F.lit(1)).alias("n_fake"))
-        n_rows = atk.overlay(r, plan).agg(F.count(F.lit(1)).alias("n_rows"))
-        row = n_fake.withColumn("n_rows", n_rows.scalar()).select(
+        row = atk.attack_sizes(r, plan).select(
             F.lit(sc.name).alias("scenario"),
             F.lit(sc.at_size).alias("at_size"),
             F.lit(sc.fil_size).alias("fil_size"),

@@ -1,5 +1,7 @@
 import math
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from stratafac.functions.hashing import hash_bits, py_hash_bits, py_hash_normal, py_hash_uniform
@@ -87,3 +89,64 @@ def test_average_attack_item_scope(spark, tiny_ratings):
     keys = [(r.user, r.item) for r in fake.collect()]
     assert len(keys) == len(set(keys)) and len(keys) == 2 * 4  # 2 attackers × (3 fillers + target)
     assert all(math.isfinite(r.rating) for r in fake.collect())
+
+
+def _chosen(spark, pool, k_frac, n_att, seed=42):
+    import numpy as np
+
+    users = spark.range(n_att).select(F.col("id").alias("user"))
+    rows = atk.choose_fillers(users, pool, k_frac, seed, include_last=True).toPandas()
+    out = np.zeros((n_att, pool), np.int64)
+    np.add.at(out, (rows["user"].to_numpy(), rows["item"].to_numpy()), 1)
+    return out
+
+
+@pytest.mark.parametrize("pool, frac, n_att", [(1999, 0.5, 300), (50, 0.5, 300), (7, 0.5, 40), (49, 1.0, 20)])
+def test_fillers_are_spread_like_a_random_sample(spark, pool, frac, n_att):
+    import numpy as np
+
+    k = int(pool * frac)
+    got = _chosen(spark, pool, frac, n_att)
+    assert got.max() == 1 and (got.sum(axis=1) == k).all()
+    if pool < 50:
+        return
+    rng = np.random.default_rng(0)
+    want = np.zeros_like(got)
+    for row in want:
+        row[rng.permutation(pool)[:k]] = 1
+
+    def overlaps(x):
+        return (x @ x.T)[np.triu_indices(len(x), 1)]
+
+    a, b = overlaps(got), overlaps(want)
+    assert abs(a.mean() - b.mean()) < 0.5 + 0.01 * b.mean() and abs(a.std() / b.std() - 1) < 0.05
+    assert b.min() - 3 * b.std() < a.min() and a.max() < b.max() + 3 * b.std()
+    # neighbouring items are chosen together as often as by chance
+    pairs, chance = ((x[:, 1:] * x[:, :-1]).mean(axis=0) for x in (got, want))
+    assert abs(pairs.mean() - chance.mean()) < 0.01 and pairs.std() < 1.3 * chance.std() + 0.01
+
+
+def test_permutation_of_a_big_pool_and_its_inverse(spark):
+    grid = atk.grid_of(2**40 + 12345)
+    assert 0 <= grid.spare < grid.rows
+    users = atk.with_round_keys(spark.range(50).select(F.col("id").alias("user")), 7, 2)
+    cells = users.withColumn("x", F.explode(F.expr("transform(sequence(0, 200), i -> i * 5000000000L)"))).withColumn("y", F.col("x"))
+    there = atk.permuted(cells, "y", grid)
+    back = atk.permuted(there.withColumn("z", F.col("y")), "z", grid, inverse=True).toPandas()
+    assert (back["x"] == back["z"]).all()
+    assert back["y"].between(0, grid.rows * grid.cols - 1).all() and back.groupby("user")["y"].nunique().eq(201).all()
+    with pytest.raises(ValueError):
+        atk.grid_of(2**49)
+
+
+def test_overlay_replaces_exactly_the_fake_cells(spark):
+    rows = [(u, i, float(1 + (u * 7 + i) % 5)) for u in range(40) for i in range(30) if (u + 3 * i) % 4]
+    r = spark.createDataFrame(rows, "user bigint, item bigint, rating double")
+    for sc in (atk.AttackScenario(at_size=0.4, fil_size=0.3, target=2), atk.AttackScenario(kind="random", at_size=0.5, fil_size=0.0, target=29)):
+        plan = atk.plan_attack(r, sc)
+        fake = {(x["user"], x["item"]): x["rating"] for x in plan.fake.collect()}
+        out = [tuple(x) for x in atk.overlay(r, plan).collect()]
+        want = {(u, i): v for u, i, v in rows} | fake
+        assert len(out) == len(want) and {(u, i): v for u, i, v in out} == want
+        sizes = atk.attack_sizes(r, plan).first()
+        assert (sizes["n_attackers"], sizes["n_fake"], sizes["n_rows"]) == (len({u for u, _ in fake}), len(fake), len(want))
