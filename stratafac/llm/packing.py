@@ -14,6 +14,7 @@ from __future__ import annotations
 import bisect
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +31,14 @@ PIECES = "id long, piece int, start long, length long, ids_crc32 long, ids array
 
 
 class WordIds:
-    """Token ids of white-space separated words, each tokenised once.
+    """Token ids of white-space separated words, each tokenised once in a
+    worker process.
 
     Valid for tokenizers that never merge across white space. Words are known
-    by their 64-bit hash; new ones go to the tokenizer many at a time. Beyond
-    ``REMEMBER`` words the memory starts anew.
+    by their 64-bit hash; new ones go to the tokenizer many at a time and are
+    numbered in that order. Their hashes are kept in sorted runs, and a run
+    is merged with the one before it once it is as long. Beyond ``REMEMBER``
+    words the memory starts anew.
     """
 
     def __init__(self, tokenizer):
@@ -42,38 +46,62 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.offsets = np.zeros(1, np.int64)
-        self.pool = np.zeros(0, np.uint32)
+        self.runs: list[tuple[np.ndarray, np.ndarray]] = []  # sorted hashes, numbers
+        self.offsets, self.pool = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.words = 0
 
     def learn(self, keys: np.ndarray, texts: list[str]) -> None:
+        """``keys`` are sorted."""
         got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        size = np.array([len(x) for x in got], np.int64)
-        pool = np.fromiter((i for x in got for i in x), np.uint32, int(size.sum()))
-        every = np.concatenate([self.keys, keys])
-        order = np.argsort(every, kind="stable")
-        starts = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(size)])
-        both = np.concatenate([self.pool, pool])
-        self.pool, ends = gather(both, starts, order)
-        self.keys, self.offsets = every[order], np.concatenate([[0], ends])
+        ends = self.offsets[self.words] + np.cumsum([len(x) for x in got])
+        self.offsets = _room(self.offsets, self.words + 1, len(ends))
+        self.pool = _room(self.pool, int(self.offsets[self.words]), int(ends[-1] - self.offsets[self.words]))
+        self.pool[self.offsets[self.words] : ends[-1]] = np.fromiter(chain.from_iterable(got), np.uint32, int(ends[-1] - self.offsets[self.words]))
+        self.offsets[self.words + 1 : self.words + 1 + len(ends)] = ends
+        run = (keys, np.arange(self.words, self.words + len(keys)))
+        self.words += len(keys)
+        while self.runs and len(self.runs[-1][0]) <= len(run[0]):
+            before = self.runs.pop()
+            run = tuple(np.concatenate(x) for x in zip(before, run))
+            order = np.argsort(run[0], kind="stable")
+            run = tuple(x[order] for x in run)
+        self.runs.append(run)
+
+    def numbers(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers of the words with these hashes, -1 for new ones."""
+        out = np.full(len(keys), -1, np.int64)
+        for known, number in self.runs:
+            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            out = np.where(known[at] == keys, number[at], out)
+        return out
 
     def ids(self, b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the offsets of the texts."""
         s, e, h, doc = ke.words(b, off)
         u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        fresh = ~_member(u, self.keys)
-        if len(self.keys) + fresh.sum() > REMEMBER:
+        number = self.numbers(u)
+        if self.words + (number < 0).sum() > REMEMBER:
             self.clear()
-            fresh[:] = True
-        if fresh.any():
+            number[:] = -1
+        fresh = np.flatnonzero(number < 0)
+        if len(fresh):
             raw = b.tobytes()
+            number[fresh] = self.words + np.arange(len(fresh))
             self.learn(u[fresh], [raw[s[i] : e[i]].decode("utf-8") for i in first[fresh]])
-        at = np.searchsorted(self.keys, u)[inverse]
-        ids, ends = gather(self.pool, self.offsets, at)
+        ids, ends = gather(self.pool, self.offsets, number[inverse])
         ends = np.concatenate([[0], ends])
         return ids, ends[np.searchsorted(doc, np.arange(len(off)))]
 
 
+def _room(x: np.ndarray, used: int, more: int) -> np.ndarray:
+    """``x`` with room for ``more`` values after the first ``used``."""
+    if used + more <= len(x):
+        return x
+    out = np.zeros(max(used + more, 2 * len(x)), x.dtype)
+    out[:used] = x[:used]
+    return out
+
+
 def gather(pool: np.ndarray, offsets: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Concatenate the pool's pieces ``index``; returns them and their ends."""
     size = (offsets[index + 1] - offsets[index]).astype(np.int64)
@@ -85,28 +113,22 @@ def gather(pool: np.ndarray, offsets: np.ndarray, index: np.ndarray) -> tuple[np
     return pool[at], end
 
 
-def _member(x: np.ndarray, known: np.ndarray) -> np.ndarray:
-    if not len(known):
-        return np.zeros(len(x), bool)
-    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
-
-
-def load_tokenizer(text: str):
-    """The worker's copy of a tokenizer file, parsed once per process."""
+def word_ids(text: str) -> WordIds:
+    """The worker's memory of a tokenizer file's words; the file is parsed once per process."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     cache = ke.worker_cache()
-    name = ("tokenizer", len(text), zlib.crc32(text.encode()))
+    name = ("words", len(text), zlib.crc32(text.encode()))
     if name not in cache:
-        cache[name] = Tokenizer.from_str(text)
+        cache[name] = WordIds(Tokenizer.from_str(text))
     return cache[name]
 
 
 def _token_pieces(batches: Iterator[pa.RecordBatch], text: str, capacity: int, end_id: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    words = WordIds(load_tokenizer(text))
+    words = word_ids(text)
     for batch in batches:
         b, off = ke.text_buffer(batch.column(1))
         names = batch.column(0)
@@ -158,10 +180,11 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int,
 
     Returns slots (length, first rank, count, first sequence, offset) and the
     number of sequences. Sequences of equal room form ranges; a length fills
-    the ranges with the least sufficient room first, then opens new sequences
-    with as many pieces each as fit. Every slot either uses up a length or
-    fills a whole range, and each of at most ``3 * capacity`` ranges takes at
-    most ``capacity`` slots, whatever the counts.
+    the sequences with the least sufficient room as far as they go, then opens
+    new ones. All sequences that a length fills alike take one slot per piece
+    in them, and the last one, which may stay half filled, takes its own, so
+    each of the rooms in use gives at most ``2 * capacity / length`` slots to
+    a length, whatever the counts.
     """
     rooms: list[int] = []  # sorted rooms that have ranges
     ranges: dict[int, list[tuple[int, int]]] = {}  # room -> ranges (first, count)
@@ -187,16 +210,20 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int,
                 if not ranges[room]:
                     del ranges[room]
                     rooms.pop(i)
-                n = min(count, left)
-                put(room, first + n, count - n)
             else:
                 room, first = capacity, opened
-                n = -(-left // (capacity // length))
-                opened += n
-            slots.append((length, rank, n, first, capacity - room))
-            put(room - length, first, n)
-            rank += n
-            left -= n
+                count = -(-left // (capacity // length))
+                opened += count
+            per = room // length
+            # sequences filled with ``per`` pieces each, then one with the rest
+            for n, pieces in ((min(count, left // per), per), (1, left % per)):
+                if n and pieces and count and left >= n * pieces:
+                    for k in range(pieces):
+                        slots.append((length, rank, n, first, capacity - room + k * length))
+                        rank += n
+                    put(room - pieces * length, first, n)
+                    first, count, left = first + n, count - n, left - n * pieces
+            put(room, first, count)
     return slots, opened
 
 

@@ -124,7 +124,7 @@ def test_pieces_and_sequences(make_docs):
     assert len(filled) <= -(-total // capacity) + 1
 
 
-@settings(max_examples=200, deadline=None)
+@settings(max_examples=2000, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 200), max_size=20))
 def test_plan_is_best_fit_decreasing(histogram):
     capacity = 64
@@ -157,3 +157,35 @@ def test_empty_tables(spark):
     ranks = byte_bpe.read_ranks(RANKS)
     assert byte_bpe.digests(byte_bpe.encode(empty, ranks), ranks).collect() == []
     assert packing.pack(written(packing.token_pieces(empty, WORDS), "test-pieces")).collect() == []
+
+
+def test_word_memory_keeps_ids_over_many_batches(monkeypatch):
+    import numpy as np
+
+    from stratafac.llm import kernels as ke
+
+    class Letters:
+        """One token per letter."""
+
+        def encode_batch_fast(self, texts, add_special_tokens):
+            assert len(set(texts)) == len(texts) and not set(texts) & seen
+            seen.update(texts)
+            return [type("E", (), {"ids": list(t.encode())})() for t in texts]
+
+    seen = set()
+    rng = np.random.default_rng(0)
+    memory = packing.WordIds(Letters())
+    for k in range(40):
+        if k == 25:
+            monkeypatch.setattr(packing, "REMEMBER", memory.words)
+            seen.clear()
+        texts = [" ".join(f"w{rng.integers(30 + 10 * k)}" for _ in range(20)) for _ in range(5)] + [""]
+        if k == 25:
+            texts[0] += " onceonly"
+        raw = "".join(texts).encode()
+        off = np.cumsum([0] + [len(t) for t in texts])
+        ids, at = memory.ids(np.frombuffer(raw, np.uint8), off)
+        assert [bytes(ids[a:z].astype(np.uint8)) for a, z in zip(at, at[1:])] == [t.replace(" ", "").encode() for t in texts]
+        if k == 25:
+            monkeypatch.setattr(packing, "REMEMBER", 10**6)
+    assert len(memory.runs) < 12
