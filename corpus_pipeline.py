@@ -29,10 +29,17 @@ def _without(docs: DataFrame, rejected: DataFrame, name: str) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules, or whose posterior quality
-    probability is below one half, go."""
-    named = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text_hash"), "text")
-    judged = quality.weakly_supervised(written(quality.features(named, ("id", "text_hash")), "quality-features"))
-    return _without(docs, judged.where(f"({BASE_FAILED}) or not good"), "quality-rejected")
+    probability is below one half, go.
+
+    Rows are written once beside their features and filtered where they lie:
+    the verdict depends on the row's own votes and the fitted model, so no text
+    is shuffled. Null and empty texts fail the base rules; rows alike are
+    judged alike and kept each; an empty table stays empty; extra columns are
+    carried under one struct, whatever their names.
+    """
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
+    judged = quality.weakly_supervised(written(quality.features(rows, ("row",)), "quality-features"))
+    return judged.where(f"not ({BASE_FAILED}) and good").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
