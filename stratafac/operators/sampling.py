@@ -8,6 +8,8 @@ passes over the 32-bit hash, and the sample is a plain distributed filter.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,3 +103,35 @@ def minibatch(ratings: DataFrame, fraction: float, seed: int, t: int, mode: str
     k = int(total * fraction)
     keyed = ratings.withColumn("_h", hash_bits(seed, "batch", t, F.col("user"), F.col("item")))
     return smallest_k(keyed, "_h", ["user", "item"], k).drop("_h")
+
+
+def batch_table(ratings: DataFrame, fraction: float, seed: int, first: int, rounds: int) -> DataFrame:
+    """The batches of ``rounds`` rounds from round ``first`` on, drawn in one
+    pass: ``t`` and the rating, for every round whose batch has it.
+
+    Each rating is in each round's batch with probability ``fraction``,
+    independently. The rounds between two of its batches are geometrically
+    distributed, so a rating draws one keyed uniform per batch that it is in,
+    not one per round. Fractions of 0 and 1 give no and every round.
+    """
+    drawn = ratings.select("user", "item", "rating")
+    if fraction <= 0 or rounds <= 0:
+        return drawn.withColumn("t", F.lit(first).cast("bigint")).limit(0).select("t", "user", "item", "rating")
+
+    def skipped(k: Column) -> Column:
+        if fraction >= 1:
+            return F.lit(0).cast("bigint")
+        u = hash_uniform(seed, "skip", first, F.col("user"), F.col("item"), k)
+        return F.least(F.floor(F.log(u) / F.lit(math.log1p(-fraction))), F.lit(rounds)).cast("bigint")
+
+    start = F.struct(F.lit(-1).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("hits"))
+
+    def step(acc: Column, k: Column) -> Column:
+        at = acc["last"] + 1 + skipped(k)
+        return F.when(acc["last"] >= rounds, acc).otherwise(
+            F.struct(at.alias("last"), F.when(at < rounds, F.concat(acc["hits"], F.array(at))).otherwise(acc["hits"]).alias("hits"))
+        )
+
+    hits = F.aggregate(F.sequence(F.lit(1), F.lit(rounds + 1)), start, step, lambda acc: acc["hits"])
+    each = drawn.select(F.explode(hits).alias("t"), "user", "item", "rating")
+    return each.withColumn("t", F.col("t") + F.lit(first).cast("bigint"))

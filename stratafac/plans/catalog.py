@@ -1168,6 +1168,26 @@ SGLD_ROUNDS = 20  # SGLD rounds in the registered run (the reference runs 400)
 STABLE_ETA0 = 0.02  # linear schedule: first step that stays finite on z-scored ratings
 
 
+BATCH_ROUNDS = 20
+
+
+def _batch_table_sql() -> str:
+    u = sql_hash_uniform(SEED, "skip", 0, '@"user"', "@item", "@k")
+    skip = f"CAST(least(floor(ln({u}) / ln(1.0::DOUBLE - {BATCH_FRACTION}::DOUBLE)), {BATCH_ROUNDS}) AS BIGINT)"
+    return (
+        f'WITH RECURSIVE r AS ({RATINGS_SQL}), first AS (SELECT "user", item, rating, 1 AS k FROM r), hits AS ('
+        f'SELECT "user", item, rating, k, {skip} AS t FROM first '
+        f'UNION ALL SELECT "user", item, rating, k, t + 1 + {skip} FROM (SELECT "user", item, rating, k + 1 AS k, t FROM hits WHERE t < {BATCH_ROUNDS}) x) '
+        f'SELECT t, "user", item, rating FROM hits WHERE t < {BATCH_ROUNDS}'
+    )
+
+
+@register("minibatch_table", [("t", "l")] + TRIPLE, _batch_table_sql())
+def q_minibatch_table(spark, sf_dir):
+    """G1: the batches of 20 rounds, drawn in one pass over the ratings."""
+    return sampling.batch_table(ratings(spark, sf_dir), BATCH_FRACTION, SEED, 0, BATCH_ROUNDS)
+
+
 def zscored_split(spark, sf_dir):
     from stratafac.plans.experiments import prepared_split
 
@@ -1237,6 +1257,35 @@ def q_sgld_train(spark, sf_dir):
     return _metrics_df(spark, sgld.train_sgld(spark, train, test, cfg, "clean", "sgld").metrics)
 
 
+RESAMPLE_AFTER, RESAMPLE_EVERY = 3, 4  # I3: rounds of the registered run (the reference's disabled code: 149, 50)
+
+
+@register("sgld_resampled_train", METRIC_SPEC)
+def q_sgld_resampled_train(spark, sf_dir):
+    """SGLD whose prior precisions are resampled from the factor norms, RMSE per round."""
+    from stratafac.plans import sgld
+
+    train, test = zscored_split(spark, sf_dir)
+    cfg = sgld.SGLDConfig(rank=RANK, rounds=2 * RESAMPLE_EVERY, resample_after=RESAMPLE_AFTER, resample_every=RESAMPLE_EVERY, on_divergence="stop")
+    return _metrics_df(spark, sgld.train_sgld(spark, train, test, cfg, "clean", "sgld_resampled").metrics)
+
+
+SNAPSHOT_ROUNDS = 10
+
+
+@register("sgld_snapshot_rmse", [("step", "l"), ("rmse", "d"), ("n", "l")])
+def q_sgld_snapshot_rmse(spark, sf_dir):
+    """SGLD rounds that write a snapshot each; the held-out RMSE of
+    all written snapshots, in one job."""
+    from stratafac.plans import sgld
+
+    train, test = zscored_split(spark, sf_dir)
+    path = _scratch(spark, "snapshots")
+    cfg = sgld.SGLDConfig(rank=RANK, rounds=SNAPSHOT_ROUNDS, eval_every=0, snapshot_every=1, snapshot_path=path, on_divergence="stop")
+    sgld.train_sgld(spark, train, None, cfg)
+    return sgld.snapshot_rmse(spark, test, path, cfg)
+
+
 def grid_models(dsgd_epochs: int, sgld_rounds: int):
     from stratafac.plans import dsgd, sgld
     from stratafac.plans.experiments import ModelSpec
@@ -1261,12 +1310,11 @@ def last_rmse(metrics: DataFrame) -> DataFrame:
 
 @register("robustness_grid", GRID_SPEC)
 def q_robustness_grid(spark, sf_dir):
-    """H5: clean vs average attack (0.3 / 0.5 / item 1) for four models, trained in
-    full (50 DSGD epochs, 400 SGLD rounds); the last RMSE of each."""
-    from stratafac.plans import dsgd, sgld
+    """H5: clean vs average attack (0.3 / 0.5 / item 1) for four models, trained as
+    long as ``dsgd_train`` and ``sgld_train``; the last RMSE of each."""
     from stratafac.plans.experiments import GridConfig, run_grid
 
-    models = grid_models(dsgd.DSGD_REFERENCE.epochs, sgld.SGLDConfig().rounds)
+    models = grid_models(TRAIN_EPOCHS, SGLD_ROUNDS)
     cfg = GridConfig(scenarios=(None, ATTACK), models=models, holdout_k=HOLDOUT_K, seed=SEED)
     metrics = run_grid(spark, ratings(spark, sf_dir), cfg)
     return last_rmse(metrics)

@@ -145,3 +145,39 @@ def test_grid_trains_in_full(monkeypatch):
     models = {m.name: m for m in seen[0].models}
     assert models["dsgd"].dsgd_cfg.epochs == 50
     assert models["sgld"].sgld_cfg.rounds == 400
+
+
+def _planted(spark):
+    rows = [(u, i, float((u * i) % 5) / 2 - 1) for u in range(30) for i in range(20) if (u + i) % 3]
+    return spark.createDataFrame(rows, "user bigint, item bigint, rating double")
+
+
+def test_batches_drawn_ahead_are_bernoulli(spark):
+    from stratafac.operators import sampling
+
+    r = _planted(spark)
+    n, rounds, f = r.count(), 200, 0.1
+    table = sampling.batch_table(r, f, 3, 50, rounds).toPandas()
+    assert table["t"].between(50, 50 + rounds - 1).all() and not table.duplicated(["t", "user", "item"]).any()
+    sizes = table.groupby("t").size()
+    assert len(sizes) == rounds
+    assert abs(sizes.mean() - n * f) < 1.5 and abs(sizes.var() / (n * f * (1 - f)) - 1) < 0.35
+    # neighbouring rounds share what chance shares
+    keys = {t: set(zip(g["user"], g["item"])) for t, g in table.groupby("t")}
+    shared = [len(keys[t] & keys[t + 1]) for t in range(50, 50 + rounds - 1)]
+    assert abs(sum(shared) / len(shared) - n * f * f) < 1
+    assert sampling.batch_table(r, 1.0, 3, 0, 4).count() == 4 * n and sampling.batch_table(r, 0.0, 3, 0, 4).count() == 0
+
+
+def test_snapshots_give_the_curve_of_the_run(spark, tmp_path):
+    from stratafac.plans import sgld
+
+    r = _planted(spark)
+    cfg = sgld.SGLDConfig(rank=3, rounds=5, fraction=0.3, rounds_ahead=2, snapshot_every=1, snapshot_path=str(tmp_path / "s"))
+    res = sgld.train_sgld(spark, r, r, cfg)
+    curve = {x["step"]: x["rmse"] for x in sgld.snapshot_rmse(spark, r, cfg.snapshot_path, cfg).collect()}
+    assert sorted(curve) == list(range(5))
+    for m in res.metrics:
+        assert abs(curve[m["epoch"]] - m["rmse"]) < 1e-9
+    elapsed = [m["elapsed_s"] for m in res.metrics]
+    assert elapsed == sorted(elapsed) and elapsed[0] > 0
