@@ -18,6 +18,7 @@ import hashlib
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -118,6 +119,18 @@ def py_hash_normal(seed: int, *parts: str | int) -> float:
     return math.sqrt(-2.0 * math.log(u1)) * math.cos(2.0 * math.pi * u2)
 
 
+def np_hash_index(seed: int, n: int, last: np.ndarray, *parts: str | int) -> np.ndarray:
+    """``hash_index`` of many keys that differ in their last part only."""
+    prefix = hashlib.md5(("|".join([f"s{seed}"] + [str(p) for p in parts]) + "|").encode())
+    digests = []
+    for x in np.asarray(last).tolist():
+        h = prefix.copy()
+        h.update(b"%d" % x)
+        digests.append(h.digest())
+    bits = np.frombuffer(b"".join(digests), dtype=">u8")[::2].astype(np.uint64) >> np.uint64(12)
+    return np.floor(bits.astype(np.float64) / TWO_52 * n).astype(np.int64)
+
+
 # --- Integer mixing hash (hot paths with billions of keys) -----------------
 #
 # md5 over a formatted string costs a few hundred nanoseconds per row. Where

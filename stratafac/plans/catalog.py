@@ -979,6 +979,27 @@ def q_draw_with_replacement(spark, sf_dir):
     return blocks.draw_with_replacement(blocked_ratings(spark, sf_dir), SEED, 0)
 
 
+@register(
+    "global_draws",
+    [("j", "l"), ("ub", "l"), ("ib", "l"), ("user", "l"), ("item", "l"), ("rating", "d")],
+    with_ratings(
+        f"SELECT dr.j, nb.ub, nb.ib, nb.{U}, nb.item, nb.rating FROM dr JOIN nb ON nb.at = dr.at",
+        _blocked_sql()
+        + f", nb AS (SELECT *, row_number() OVER (ORDER BY ub, ib, {U}, item) - 1 AS at FROM blocked), "
+        "cnt AS (SELECT count(*) AS n FROM blocked), "
+        "js AS (SELECT n, unnest(range(1, n + 1)) AS j FROM cnt), "
+        f"dr AS (SELECT j, {sql_hash_index(SEED, 'n', 'global', 0, '@j')} AS at FROM js)",
+    ),
+)
+def q_global_draws(spark, sf_dir):
+    """The trainers' one draw sequence over all ratings (epoch 0, one draw per rating)."""
+    numbered = blocks.rank_index(blocked_ratings(spark, sf_dir))
+    # the blocks' sizes are B^2 rows
+    sizes = [(r["ub"], r["ib"], r["n"]) for r in numbered.groupBy("ub", "ib").agg(F.count(F.lit(1)).alias("n")).collect()]
+    drawn = blocks.global_draws(spark, sizes, sum(n for _, _, n in sizes), SEED, 0)
+    return drawn.join(numbered.drop("n"), ["ub", "ib", "idx"])
+
+
 # --- G1-G2. SGLD minibatches (round 0, 5 %) ---------------------------------
 
 
