@@ -13,6 +13,7 @@ id; no factor matrix is gathered anywhere.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -140,15 +141,36 @@ def sgld_update(
     return new_u.unionByName(new_v)
 
 
-def side_gradient_sums(batch: DataFrame, users: DataFrame, items: DataFrame, d: int) -> DataFrame:
+def attached_sides(batch: DataFrame, users: DataFrame, items: DataFrame, hot_users: list[int] = [], hot_items: list[int] = []) -> DataFrame:
+    """``batch`` with the user's vector ``q`` and the item's ``p``.
+
+    Rows of a hot id would all meet its factor row in one bucket. They stay
+    where they are read and get the vector of the few hot ids by broadcast (the
+    caller bounds the lists); the other rows are shuffled to the buckets. Each
+    batch row takes one of the four ways.
+    """
+    q = users.select(F.col("id").alias("user"), F.col("v").alias("q"))
+    p = items.select(F.col("id").alias("item"), F.col("v").alias("p"))
+
+    def ways(key: str, rows: DataFrame, hot: list[int]):
+        is_hot = F.col(key).isin(hot)
+        return [(~is_hot, rows), (is_hot, F.broadcast(rows.filter(is_hot)))] if hot else [(F.lit(True), rows)]
+
+    parts = [
+        batch.filter(of_user & of_item).join(qs, "user").join(ps, "item").select("user", "item", "rating", "q", "p")
+        for of_user, qs in ways("user", q, hot_users)
+        for of_item, ps in ways("item", p, hot_items)
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def side_gradient_sums(
+    batch: DataFrame, users: DataFrame, items: DataFrame, d: int, hot_users: list[int] = [], hot_items: list[int] = []
+) -> DataFrame:
     """G4 (unscaled) from separate user and item tables ``(id, v, h)``:
     ``(kind, id, gs)``. Only batch-sized rows are shuffled when the two
-    tables are bucketed by id."""
-    rated = (
-        batch.join(users.select(F.col("id").alias("user"), F.col("v").alias("q")), "user")
-        .join(items.select(F.col("id").alias("item"), F.col("v").alias("p")), "item")
-        .withColumn("e", F.col("rating") - prediction(d))
-    )
+    tables are bucketed by id; an id's sum is first taken in each task."""
+    rated = attached_sides(batch, users, items, hot_users, hot_items).withColumn("e", F.col("rating") - prediction(d))
     pack = F.array(*[F.col(f"s{k}") for k in range(d)]).alias("gs")
     gu = rated.groupBy(F.col("user").alias("id")).agg(*[F.sum(F.col("e") * elem("p", k)).alias(f"s{k}") for k in range(d)])
     gv = rated.groupBy(F.col("item").alias("id")).agg(*[F.sum(F.col("e") * elem("q", k)).alias(f"s{k}") for k in range(d)])

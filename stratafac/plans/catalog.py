@@ -152,6 +152,39 @@ def q_text_ratings(spark, sf_dir):
     return src.read_ratings(spark, path, base=1)
 
 
+@register(
+    "text_ratings_checked",
+    [("status", "s")] + TRIPLE,
+    with_ratings(
+        f'SELECT CASE WHEN m < 4 THEN [\'fields\', \'id\', \'id below base\', \'rating\'][m + 1] ELSE \'ok\' END AS status, '
+        '"user", item, CASE WHEN m >= 4 THEN rating END AS rating FROM (SELECT *, ("user" + item) % 20 AS m FROM r) x'
+    ),
+)
+def q_text_ratings_checked(spark, sf_dir):
+    """A1: ratings written as text, a fifth of the lines damaged in four ways, read
+    back as ratings and as rejected lines with their reason (each line ends in its
+    cell, so that a rejected one can be named)."""
+    fault = F.pmod(F.col("user") + F.col("item"), F.lit(20))
+    u, i, r = (F.col("user") + 1).cast("string"), (F.col("item") + 1).cast("string"), F.col("rating").cast("string")
+    fields = (
+        F.when(fault == 0, F.array())
+        .when(fault == 1, F.array(F.lit("x"), i, r))
+        .when(fault == 2, F.array(u, F.lit("0"), r))
+        .when(fault == 3, F.array(u, i, F.lit("NaN")))
+        .otherwise(F.array(u, i, r))
+    )
+    line = F.concat_ws(" ", fields, F.concat_ws(":", F.col("user").cast("string"), F.col("item").cast("string")))
+    path = _scratch(spark, "faulty-text")
+    ratings(spark, sf_dir).select(line.alias("value")).write.text(path)
+    good, rejected = src.read_ratings_checked(spark, path, _scratch(spark, "parsed"))
+    cell = F.split(F.substring_index("line", " ", -1), ":")
+    named = rejected.select(
+        F.col("reason").alias("status"), cell[0].cast("bigint").alias("user"), cell[1].cast("bigint").alias("item"),
+        F.lit(None).cast("double").alias("rating"),
+    )
+    return good.withColumn("status", F.lit("ok")).unionByName(named)
+
+
 @register(
     "dense_text",
     TRIPLE,
@@ -827,6 +860,19 @@ def q_dense_factor_sink(spark, sf_dir):
     return fac.long_form(sinks.read_dense_factors(spark, p, q))
 
 
+@register("tiled_factor_sink", FACTOR_LONG, with_ratings(_long_sql(fac.sql_arithmetic("id", "k"))))
+def q_tiled_factor_sink(spark, sf_dir):
+    """Factors written as transposed tiles of 256 ids, read back; the zeros of
+    ids without a row are left out again."""
+    from stratafac.sources import sinks
+
+    path = _scratch(spark, "tiles")
+    factors = arith_factors(ratings(spark, sf_dir))
+    sinks.write_tiled_factors(factors, path, tile=256)
+    back = sinks.read_tiled_factors(spark, path, tile=256)
+    return fac.long_form(back.join(factors.select("kind", "id"), ["kind", "id"], "left_semi"))
+
+
 @register("attacked_sink", TRIPLE, with_ratings("SELECT * FROM atk", _attack_ctes(ATTACK)))
 def q_attacked_sink(spark, sf_dir):
     """The attacked table written under its scenario (twice: a rerun replaces it) and read back."""

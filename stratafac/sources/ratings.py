@@ -36,6 +36,51 @@ def read_ratings(spark: SparkSession, path: str, base: int = 1) -> DataFrame:
     )
 
 
+PARSED = "user bigint, item bigint, rating double, file string, line string, reason string, ok int"
+_BLANKS = " \t\r\n\x0b\x0c"
+
+
+def parse_ratings(spark: SparkSession, path: str, base: int = 1) -> DataFrame:
+    """Every non-blank line of a triples text, read once: its cells, or the line
+    and the reason that it is no rating. Columns as ``PARSED``.
+
+    Reasons: ``fields`` (fewer than three), ``id`` (no 64-bit integer), ``id below
+    base``, ``rating`` (no finite number). Columns beyond the third are ignored.
+    """
+    text = F.btrim(F.col("value"), F.lit(_BLANKS))
+    parts = F.split(text, r"\s+")
+    user, item = (F.try_subtract(F.get(parts, F.lit(k)).try_cast("bigint"), F.lit(base).cast("bigint")) for k in (0, 1))
+    rating = F.get(parts, F.lit(2)).try_cast("double")
+    cells = spark.read.text(path).filter(F.length(text) > 0).select(
+        user.alias("user"), item.alias("item"), rating.alias("rating"), F.size(parts).alias("fields"),
+        F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"),
+    )
+    finite = F.abs("rating") < F.lit(float("inf"))  # NaN is above every number
+    reason = (
+        F.when(F.col("fields") < 3, "fields")
+        .when(F.col("user").isNull() | F.col("item").isNull(), "id")
+        .when((F.col("user") < 0) | (F.col("item") < 0), "id below base")
+        .when(F.col("rating").isNull() | ~finite, "rating")
+    )
+    checked = cells.withColumn("reason", reason)
+    bad = F.col("reason").isNotNull()
+    return checked.select(
+        "user", "item", "rating",
+        F.when(bad, F.col("file")).alias("file"), F.when(bad, F.col("line")).alias("line"),
+        "reason", F.when(bad, 0).otherwise(1).alias("ok"),
+    )
+
+
+def read_ratings_checked(spark: SparkSession, path: str, table_path: str, base: int = 1) -> tuple[DataFrame, DataFrame]:
+    """The ratings of a triples text and the table of its rejected lines
+    ``(file, line, reason)``. The text is parsed once, into ``table_path`` (a new
+    folder), with one partition for each; a text without lines gives two empty tables."""
+    parse_ratings(spark, path, base).write.partitionBy("ok").parquet(table_path)
+    rows = spark.read.schema(PARSED).parquet(table_path)
+    good = rows.filter(F.col("ok") == 1).select("user", "item", "rating")
+    return good, rows.filter(F.col("ok") == 0).select("file", "line", "reason")
+
+
 def ratings_from_tables(spark: SparkSession, sf_dir: str, dup: str = "avg") -> DataFrame:
     """Driver-table adapter: customers rate parts by the quantity they order.
 
@@ -160,23 +205,17 @@ def holdout_split(df: DataFrame, k: int = 2, seed: int = 42) -> DataFrame:
     ``row_number() <= k`` is planned with a partial WindowGroupLimit before the
     shuffle, so at most ``k`` candidates per user and map task cross the
     network; the ranking happens only on those, never on a whole user's row.
+    They give one cutoff per user, and the ratings meet the cutoffs on the user
+    alone. A cell that occurs twice goes to one side; rows without a user train.
     """
-    h = hash_bits(seed, "holdout", F.col("user"), F.col("item"))
-    ranked = (
-        df.withColumn("h", h)
-        .withColumn("rn", F.row_number().over(Window.partitionBy("user").orderBy("h", "item")))
-        .filter(F.col("rn") <= k)
-        .select("user", "item")
-    )
-    test = ranked.withColumn("is_test", F.lit(True))
-    return (
-        df.join(test, ["user", "item"], "left")
-        .select(
-            "user",
-            "item",
-            "rating",
-            F.when(F.col("is_test"), F.lit("test")).otherwise(F.lit("train")).alias("split"),
-        )
+    key = F.struct(hash_bits(seed, "holdout", F.col("user"), F.col("item")).alias("h"), F.col("item"))
+    ranked = df.select("user", key.alias("key")).withColumn("rn", F.row_number().over(Window.partitionBy("user").orderBy("key")))
+    cuts = ranked.filter(F.col("rn") <= k).groupBy("user").agg(F.max("key").alias("cut"))
+    return df.join(cuts, "user", "left").select(
+        "user",
+        "item",
+        "rating",
+        F.when(key <= F.col("cut"), F.lit("test")).otherwise(F.lit("train")).alias("split"),
     )
 
 

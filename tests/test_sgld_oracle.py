@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from stratafac.operators import langevin
@@ -111,6 +112,23 @@ def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_hot_ids_meet_their_rows_where_they_are(spark):
+    """A user and an item with a third of the ratings each: same sums, and the user's rows in many tasks."""
+    rng = np.random.default_rng(8)
+    cells = {(7, int(i)) for i in range(400)} | {(int(u), 3) for u in range(400)} | {(int(u), int(i)) for u, i in rng.integers(0, 400, (400, 2))}
+    batch = spark.createDataFrame([(u, i, float((u * 7 + i) % 5)) for u, i in sorted(cells)], "user bigint, item bigint, rating double").repartition(8)
+    assert sgld.hot_ids(batch, "user", len(cells), 8) == [7] and sgld.hot_ids(batch, "item", len(cells), 8) == [3]
+    users, items = (spark.range(400).select("id", F.array(*[F.sin(F.col("id") * (k + s)) for k in range(1, 4)]).alias("v")) for s in (0, 5))
+    want = {(r.kind, r.id): r.gs for r in langevin.side_gradient_sums(batch, users, items, 3).collect()}
+    for hot in (([7], [3]), ([7], []), ([], [3])):
+        got = {(r.kind, r.id): r.gs for r in langevin.side_gradient_sums(batch, users, items, 3, *hot).collect()}
+        assert got.keys() == want.keys()
+        assert all(np.allclose(got[k], want[k], atol=1e-9, rtol=0) for k in want)
+    placed = langevin.attached_sides(batch, users, items, [7], [3]).withColumn("task", F.spark_partition_id())
+    spread = [r["count"] for r in placed.filter("user = 7").groupBy("task").count().collect()]
+    assert len(spread) > 4 and max(spread) < 150
+
+
 def test_sgld_per_row_noise_exact_batches(spark):
     from stratafac.plans.catalog import zscored_split
 

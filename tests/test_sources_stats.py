@@ -18,6 +18,40 @@ def test_read_ratings_text(spark, tmp_path):
     assert rows(df, "user", "item", "rating") == [(0, 0, 5.0), (0, 1, 3.0), (1, 2, 4.0)]
 
 
+def test_checked_text_keeps_its_rejected_lines(spark, tmp_path):
+    p = tmp_path / "u.data"
+    lines = ["1 1 5 881250949", "\t2\t3  -1.5 ", "", "  ", "1 2", "a 1 3", "1 1.5 3", "0 4 3", "3 -7 3", "4 4 NaN", "4 5 x", "4 6 -Infinity",
+             "99999999999999999999 1 1", "-9223372036854775808 1 1", "1 1 5"]
+    p.write_text("\n".join(lines) + "\n")
+    good, rejected = src.read_ratings_checked(spark, str(p), str(tmp_path / "parsed"))
+    assert rows(good, "user", "item", "rating") == [(0, 0, 5.0), (0, 0, 5.0), (1, 2, -1.5)]
+    want = {"1 2": "fields", "a 1 3": "id", "1 1.5 3": "id", "0 4 3": "id below base", "3 -7 3": "id below base", "4 4 NaN": "rating",
+            "4 5 x": "rating", "4 6 -Infinity": "rating", "99999999999999999999 1 1": "id", "-9223372036854775808 1 1": "id"}
+    assert {r.line: r.reason for r in rejected.collect()} == want and rejected.count() == len(want)
+    (tmp_path / "empty").write_text("")
+    good, rejected = src.read_ratings_checked(spark, str(tmp_path / "empty"), str(tmp_path / "parsed-empty"))
+    assert good.count() == rejected.count() == 0
+
+
+def test_tiled_factors_come_back_by_tile(spark, tmp_path):
+    ids = [("U", 0), ("U", 9), ("U", 10), ("U", 35), ("V", 12)]
+    f = spark.createDataFrame([(k, i, 0, [i + 0.5, -1.0 * i, 1e-300]) for k, i in ids], "kind string, id bigint, blk int, v array<double>")
+    sinks.write_tiled_factors(f, str(tmp_path / "t"), tile=10)
+    back = {(r.kind, r.id): list(r.v) for r in sinks.read_tiled_factors(spark, str(tmp_path / "t"), tile=10).collect()}
+    for k, i in ids:
+        assert back[k, i] == [i + 0.5, -1.0 * i, 1e-300]
+    assert back["U", 5] == [0.0] * 3 and len(back) == 10 + 1 + 6 + 3
+    one = sinks.read_tiled_factors(spark, str(tmp_path / "t"), tiles=[1], tile=10)
+    assert {(r.kind, r.id) for r in one.collect()} == {("U", 10), ("V", 10), ("V", 11), ("V", 12)}
+
+
+def test_holdout_joins_on_the_user_alone(spark, tiny_ratings):
+    plan = src.holdout_split(tiny_ratings, 1, 42)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+    twice = tiny_ratings.unionByName(tiny_ratings)
+    assert src.holdout_split(twice, 2, 42).count() == 24
+
+
 def test_dense_matrix_text_drops_zeros(spark, tmp_path):
     p = tmp_path / "R.txt"
     p.write_text("0,1.5,0\n2.0,0,0\n0,0,-1\n")
