@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from stratafac.llm import kernels as ke
 from stratafac.llm.components import components
-from stratafac.llm.tables import written
+from stratafac.llm.tables import Scratch, written
 
 SHINGLE = 5
 BITS = 7
@@ -169,7 +169,8 @@ def _prints(x: np.ndarray) -> tuple[int, int]:
 
 
 def _text_sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    """Texts -> their shingle sets with the prints that name them."""
+    """(text, node, label, blocks, block) -> the text's shingle set and the
+    prints that name it beside the other columns."""
     for batch in batches:
         b, off = ke.text_buffer(batch.column(0))
         i, n = 0, len(off) - 1
@@ -179,8 +180,9 @@ def _text_sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.R
             lo, hi = zip(*(_prints(x) for x in sets))
             size = [len(x) for x in sets]
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + size), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-            cols = [pa.array(size, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), lists]
-            yield pa.RecordBatch.from_arrays(cols, ["n_shingles", "set_lo", "set_hi", "shingles"])
+            placed = [batch.column(c).slice(i, j - i) for c in range(1, 5)]
+            cols = [*placed, pa.array(size, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), lists]
+            yield pa.RecordBatch.from_arrays(cols, ["node", "label", "blocks", "block", "n_shingles", "set_lo", "set_hi", "shingles"])
             i = j
 
 
@@ -258,10 +260,11 @@ def _forest(node: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: n
 
 
 def _link(rows: pa.Table, threshold: int) -> pa.Table:
-    """Cells of families: the rows marked ``pivot`` against the other rows."""
+    """Cells of families: the rows marked ``pivot`` against those marked ``other``."""
     rows = rows.sort_by([("label", "ascending"), ("i", "ascending"), ("j", "ascending")])
     cell = np.stack([rows[c].to_numpy().astype(np.int64) for c in ("label", "i", "j")], axis=1)
-    node, pivot = rows["node"].to_numpy(), rows["pivot"].to_numpy(zero_copy_only=False).astype(bool)
+    node = rows["node"].to_numpy()
+    pivot, other = (rows[c].to_numpy(zero_copy_only=False).astype(bool) for c in ("pivot", "other"))
     lists = rows["shingles"].combine_chunks()
     lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
     flat, off = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
@@ -270,7 +273,7 @@ def _link(rows: pa.Table, threshold: int) -> pa.Table:
     for s, e in zip(cut, np.append(cut[1:], len(cell))):
         names, first, inverse = np.unique(node[s:e], return_index=True, return_inverse=True)
         sets = [flat[off[k] : off[k + 1]] for k in s + first]
-        left, right = np.unique(inverse[pivot[s:e]]), np.unique(inverse[~pivot[s:e]])
+        left, right = np.unique(inverse[pivot[s:e]]), np.unique(inverse[other[s:e]])
         if len(left) and len(right):
             x, y = _forest(names, sets, left, right, threshold)
             out_x.append(x)
@@ -286,6 +289,7 @@ class _Near:
 
     def __init__(self, docs: DataFrame, shingle: int, threshold: int):
         self.docs, self.shingle, self.threshold = docs, shingle, threshold
+        self.scratch = Scratch(docs.sparkSession)
         sketches = docs.select("id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(lambda it: _sketches(it, shingle), SKETCH)
         self.sketches = written(sketches.withColumn("node", F.xxhash64(*self.SET)), "near-sketches")
         sets = self.sketches.where("n_shingles > 0 and id is not null")
@@ -300,7 +304,7 @@ class _Near:
             F.sequence(F.lit(0), F.lit(REGISTERS // ROWS - 1)),
             lambda i: F.struct(i.alias("band"), F.conv(F.substring(F.hex("registers"), i * width + 1, F.lit(width)), 16, -10).cast("long").alias("key")),
         )
-        return written(self.nodes.select("node", F.explode(keys).alias("b")).select("node", "b.band", "b.key"), "near-bands")
+        return self.scratch.write(self.nodes.select("node", F.explode(keys).alias("b")).select("node", "b.band", "b.key"), "near-bands")
 
     def shared(self, bands: DataFrame) -> DataFrame:
         """(band, key, first, node): the bands' rows whose key two nodes have,
@@ -335,8 +339,11 @@ class _Near:
         members = labelled.join(groups, ["band", "key"]).where("node <> first")
         block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
         every = F.sequence(F.lit(0), F.col("blocks") - 1)
-        rest = members.select("*", F.lit(False).alias("from_r"), F.explode(every).alias("i"), block.alias("j"))
-        own = members.where("label <> first_label").select("*", F.lit(True).alias("from_r"), block.alias("i"), F.explode(every).alias("j"))
+        strangers = members.where("label <> first_label")
+        own = strangers.select("*", F.lit(True).alias("from_r"), block.alias("i"), F.explode(every).alias("j"))
+        # members meet only the blocks that hold a node of another family than the first's
+        held = written(strangers.select("band", "key", block.alias("i")).distinct(), "near-held")
+        rest = members.select("*", F.lit(False).alias("from_r"), block.alias("j")).join(held, ["band", "key"])
         cells = written(own.unionByName(rest).select("band", "key", "i", "j", "node", "label", "from_r"), "near-cells")
         tasks = cells.count() // (16 * BLOCK) + 1
         with_registers = cells.join(self.nodes.select("node", "n_shingles", "registers"), "node")
@@ -346,17 +353,18 @@ class _Near:
 
     def families(self) -> DataFrame:
         """(node, label) of the nodes that are in a candidate pair."""
-        shared = self.shared(self.bands())
+        bands = self.bands()
+        shared = self.shared(bands)
+        self.scratch.drop(bands)
         pairs = written(self.estimated(self.stars(shared)), "near-candidates")
         labels = components(pairs, "near")
         more = written(self.unresolved(shared, labels), "near-bridges")
         return labels if more.isEmpty() else components(pairs.union(more), "near")
 
-    def cells(self, left: DataFrame, right: DataFrame, n_bytes: int) -> DataFrame:
-        """Edges from cells (label, i, j) of (node, shingles), ``left`` against ``right``."""
+    def cells(self, rows: DataFrame, n_bytes: int) -> DataFrame:
+        """Edges from cells (label, i, j) of (node, shingles), ``pivot`` against ``other``."""
         tasks = n_bytes // TASK_BYTES + 1
         threshold = self.threshold
-        rows = left.withColumn("pivot", F.lit(True)).unionByName(right.withColumn("pivot", F.lit(False)))
         rows = rows.withColumn("task", F.pmod(F.xxhash64("label", "i", "j"), F.lit(tasks)))
         return rows.groupBy("task").applyInArrow(lambda t: _link(t, threshold), "x long, y long")
 
@@ -368,21 +376,23 @@ class _Near:
         placed = families.join(sizes, F.col("label") == F.col("s_label")).join(self.nodes.withColumnRenamed("node", "n_node"), F.col("node") == F.col("n_node"))
         placed = placed.select("node", "label", "blocks", "rep", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
         placed = written(placed, "near-members")
-        wanted = written(placed.select(F.col("rep").alias("wanted")).distinct(), "near-wanted")
-        texts = self.docs.join(wanted.hint("shuffle_hash"), F.col("id") == F.col("wanted")).select("text")
-        sets = texts.mapInArrow(lambda it: _text_sets(it, shingle), "n_shingles long, set_lo long, set_hi long, shingles array<long>")
-        sets = sets.select(F.xxhash64(*self.SET).alias("s_node"), "shingles")
-        members = written(placed.join(sets, F.col("node") == F.col("s_node")).select("node", "label", "blocks", "block", "shingles"), "near-sets")
+        # sets keep their family's columns, so that they needn't be joined to them; a repeated id can have other texts
+        texts = self.docs.join(placed.hint("shuffle_hash"), F.col("id") == F.col("rep")).select("text", "node", "label", "blocks", "block")
+        schema = "node long, label long, blocks int, block int, n_shingles long, set_lo long, set_hi long, shingles array<long>"
+        sets = texts.mapInArrow(lambda it: _text_sets(it, shingle), schema).where(F.xxhash64(*self.SET) == F.col("node"))
+        members = self.scratch.write(sets.select("node", "label", "blocks", "block", "shingles"), "near-sets")
         n_bytes = (members.agg(F.sum(F.size("shingles").cast("long"))).first()[0] or 0) * 8
-        # all nodes against the first block
+        # all nodes against the first block, whose nodes are on both sides in its own cell
+        zero, first = F.lit(0).alias("i"), F.col("block") == 0
+        rows = members.select("node", "label", "shingles", zero, F.col("block").alias("j"), first.alias("pivot"), F.lit(True).alias("other"))
+        more = members.where(first & (F.col("blocks") > 1))
+        more = more.select("node", "label", "shingles", zero, F.explode(F.sequence(F.lit(1), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("pivot"), F.lit(False).alias("other"))
+        edges = written(self.cells(rows.unionByName(more), 2 * n_bytes), "near-links")
         every = F.sequence(F.lit(0), F.col("blocks") - 1)
-        zero = F.lit(0).alias("i")
-        left = members.where("block = 0").select("node", "label", "shingles", zero, F.explode(every).alias("j"))
-        right = members.select("node", "label", "shingles", zero, F.col("block").alias("j"))
-        edges = written(self.cells(left, right, 2 * n_bytes), "near-links")
         # in families of several blocks: who is outside the largest component, against all
         large = members.where("blocks > 1")
         if large.isEmpty():
+            self.scratch.drop(members)
             return edges
         known = components(edges, "near").select(F.col("node").alias("k_node"), F.col("label").alias("part"))
         parts = large.select("node", "label").join(known, F.col("node") == F.col("k_node"), "left").select("node", "label", F.coalesce("part", "node").alias("part"))
@@ -394,10 +404,12 @@ class _Near:
         mine = large.join(groups, F.col("label") == F.col("g_label"))
         group = F.pmod(F.xxhash64("node"), F.col("groups")).cast("int")
         left = mine.join(outside.select(F.col("node").alias("o_node")), F.col("node") == F.col("o_node"), "left_semi")
-        left = left.select("node", "label", "shingles", group.alias("i"), F.explode(every).alias("j"))
-        right = mine.select("node", "label", "shingles", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("i"), F.col("block").alias("j"))
+        left = left.select("node", "label", "shingles", group.alias("i"), F.explode(every).alias("j"), F.lit(True).alias("pivot"), F.lit(False).alias("other"))
+        right = mine.select("node", "label", "shingles", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("i"), F.col("block").alias("j"), F.lit(False).alias("pivot"), F.lit(True).alias("other"))
         copies = outside.join(groups, F.col("label") == F.col("g_label")).agg(F.max("groups")).first()[0] or 0
-        return edges.union(written(self.cells(left, right, 2 * n_bytes * (1 + copies)), "near-links"))
+        links = written(self.cells(left.unionByName(right), 2 * n_bytes * (1 + copies)), "near-links")
+        self.scratch.drop(members)
+        return edges.union(links)
 
     def classes(self) -> DataFrame:
         labels = components(self.edges(self.families()), "near")
