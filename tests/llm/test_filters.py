@@ -231,26 +231,47 @@ def test_top_k_equals_brute_force(spark):
 
 
 def test_top_k_repeats_few_and_empty(spark):
-    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0])], "vec_id long, embedding array<float>")
-    assert sorted(tuple(r) for r in topk.top_k(df, F.col("id") % 50 == 0, 5).collect()) == [(0, 1, 1, 65536), (0, 2, 2, 65536)]
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [2.0, 1.0]), (50, [2.0, 1.0]), (3, [1.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for k in (2, 5, 20):
+        assert sorted(tuple(r) for r in topk.top_k(df, F.col("id") % 50 == 0, k, block_rows=2, group_rows=4, chunk_rows=2).collect()) == brute_top(rows, k)
     assert topk.top_k(df.where("false"), F.col("id") % 50 == 0, 5).collect() == []
+    assert topk.top_k(df, F.col("id") > 99, 5).collect() == []
 
 
 def test_blocks_are_pruned():
-    """Blocks whose bound is below the k-th score are not scored, and big integers stay exact."""
-    import pyarrow as pa
-
-    def blocks(parts):
-        return pa.table({
-            "dim": pa.array([m.shape[1] for _, m in parts], pa.int32()),
-            "ids": pa.array([np.array(i, np.int64).tobytes() for i, _ in parts]),
-            "matrix": pa.array([np.ascontiguousarray(m, np.int64).tobytes() for _, m in parts]),
-        })
-
+    """Blocks whose bound is below the k-th score are not scored, nor are tied ones of larger ids; big integers stay exact."""
     big = 2**30
-    q = blocks([([0], np.array([[big, 1]]))])
-    out = topk.search_cell(q, blocks([([1, 2], np.array([[big, 5], [big, 6]])), ([3], np.array([[1, 1]]))]), 2).to_pylist()
-    assert [(r["vec"], r["score"]) for r in out] == [(2, big * big + 6), (1, big * big + 5)]
+    high, tied, low = ((np.array(i), np.array(m)) for i, m in (([1, 2], [[big, 5], [big, 6]]), ([7, 8], [[big, 5], [big, 5]]), ([3], [[1, 1]])))
+    q_ids, q = np.array([0]), np.array([[big, 1]])
+    best, who, scored = topk.search(q_ids, q, [low, tied, high], 2)
+    assert (best.tolist(), who.tolist(), scored) == ([[big * big + 6, big * big + 5]], [[2, 1]], 1)
+    floor = np.array([big * big + 6]), np.array([9])
+    assert topk.search(q_ids, q, [low, tied], 2, floor)[2] == 0
+    assert topk.search(np.array([1]), q, [high, tied], 3)[1].tolist() == [[2, 7, 8]]
+
+
+def test_survivors_are_few_for_clustered_vectors(spark):
+    """Neighbours by id are alike: of the pairs of a chunk and a block, few are sent."""
+    rng = np.random.default_rng(6)
+    rows = [(i, (np.eye(16)[i // 64] * 50 + rng.random(16)).tolist()) for i in range(1024)]
+    seen = []
+    plain = topk.written
+
+    def watched(df, name):
+        out = plain(df, name)
+        if name == "topk-pairs":
+            seen.append(out.count())
+        return out
+
+    topk.written = watched
+    try:
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        out = topk.top_k(df, F.col("id") % 50 == 0, 5, block_rows=16, group_rows=64, chunk_rows=2).collect()
+    finally:
+        topk.written = plain
+    assert sorted(tuple(r) for r in out) == brute_top(rows, 5)
+    assert seen[0] < 0.25 * 64 * 11
 
 
 def test_scratch_is_in_the_shared_folder(spark):
