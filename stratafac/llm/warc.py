@@ -27,6 +27,8 @@ REVISIT_BYTES = 100
 #: Captures per file and bytes of records per Arrow batch: both bound memory.
 FILE_CAPTURES = 10_000
 BATCH_BYTES = 4 << 20
+#: Equal rows that one step of a task writes.
+TWINS = 1_000
 
 # Fixed values of the WARC 1.1 format.
 VERSION = "WARC/1.1"
@@ -40,8 +42,9 @@ RECORD = (
 
 def with_revisits(pages: DataFrame, id_col: str, url_col: str, html_col: str, least: int = REVISIT_BYTES) -> DataFrame:
     """``id``, ``url``, ``payload``, ``digest``, ``capture`` (a name made from
-    id, URL and digest) and ``first``: where an equal payload of ``least`` bytes
-    or more has a capture of smaller id (ties: of smaller name), that capture.
+    id, URL and digest; rows alike in them are numbered) and ``first``: where an
+    equal payload of ``least`` bytes or more has a capture of smaller id (ties:
+    of smaller name), that capture.
 
     Only digests are grouped; the table of repeated digests is written, so
     that Spark knows its size when it chooses how to join the payloads to it.
@@ -52,12 +55,31 @@ def with_revisits(pages: DataFrame, id_col: str, url_col: str, html_col: str, le
     base = base.withColumn("capture", name)
     large = base.where(F.octet_length("payload") >= least)
     order = F.struct(F.col("id").isNull(), "id", "capture")
-    repeated = large.groupBy("digest").agg(F.min_by("capture", order).alias("first"), F.max("capture").alias("_a"), F.min("capture").alias("_z")).where("_a <> _z")
+    repeated = large.groupBy("digest").agg(F.min_by("capture", order).alias("first"), F.count("*").alias("_n")).where("_n > 1")
     repeated = written(repeated.select(F.col("digest").alias("repeated_digest"), "first"), "warc-repeated")
-    joined = base.join(repeated, F.col("digest") == F.col("repeated_digest"), "left").drop("repeated_digest")
+    joined = _numbered(base).join(repeated, F.col("digest") == F.col("repeated_digest"), "left").drop("repeated_digest")
     return joined.withColumn("first", F.when(F.col("first") != F.col("capture"), F.col("first")))
 
 
+def _numbered(base: DataFrame) -> DataFrame:
+    """``base`` with names of their own for rows that share a capture's name.
+
+    Such rows are equal, so one of them stands for all: it is kept once and
+    repeated as often as it was there, in steps that other tasks can take.
+    """
+    twins = base.groupBy("capture").agg(F.count("*").alias("_n")).where("_n > 1")
+    twins = written(twins.select(F.col("capture").alias("_twin"), "_n"), "warc-twins")
+    if twins.isEmpty():
+        return base
+    same = F.col("capture") == F.col("_twin")
+    # pre-aggregated where the rows are, however many are alike
+    one = base.join(twins, same).groupBy("capture", "_n").agg(*(F.first(c).alias(c) for c in base.columns if c != "capture"))
+    steps = one.withColumn("_step", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("_n") - 1).cast("long"), F.lit(TWINS).cast("long"))))
+    copies = steps.repartition("capture", "_step").withColumn("_k", F.explode(F.sequence(F.col("_step"), F.least(F.col("_step") + TWINS, F.col("_n")) - 1)))
+    named = copies.withColumn("capture", F.when(F.col("_k") == 0, F.col("capture")).otherwise(F.concat_ws("-", "capture", F.col("_k").cast("string"))))
+    return base.join(twins, same, "left_anti").unionByName(named.select(*base.columns))
+
+
 def _record(kind: str, headers: list[tuple[str, Column]], block: Column) -> Column:
     """One record without its end mark; headers that are null are left out."""
     lines = [F.concat(F.lit(f"\r\n{name}: "), value) for name, value in headers]
@@ -222,8 +244,8 @@ def archived(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", id_col: str =
 
     Defined cases: a null payload is empty, a null URL leaves its header out;
     of rows that tie for a payload's smallest id one is the response; a null
-    id counts as the largest; rows alike in id, URL and payload are one
-    capture; an empty table gives an archive without records.
+    id counts as the largest; rows alike in id, URL and payload are a capture
+    each; an empty table gives an archive without records.
     """
     path = scratch_path(pages.sparkSession, f"warc-{uuid.uuid4().hex}")
     write_archive(with_revisits(pages, id_col, url_col, html_col), path, date)
@@ -234,20 +256,20 @@ def capture_digests(records: DataFrame) -> DataFrame:
     """Per capture: ``page_id``, ``payload_bytes`` and ``payload_digest`` of the
     full payload, ``record_type`` and ``refers_to``.
 
-    Payloads are reduced to size and digest before the records are assembled;
-    a revisit takes both from the response that it refers to.
+    Whole records are assembled; size and digest are taken from the nested rows
+    and written, and a revisit takes both from the response that it refers to.
     """
-    slim = records.select("type", "record_id", "concurrent_to", "refers_to", F.octet_length("payload").cast("long").alias("size"), F.sha2("payload", 256).alias("digest"),
-                          F.when(F.col("type") == "metadata", F.col("payload").cast("string")).alias("fields"))
-    page = F.regexp_extract(F.element_at("metadata", 1)["fields"], r"(?m)^page_id: (-?\d+)\r?$", 1)
-    captures = assemble(slim).select(
+    fields = F.element_at("metadata", 1)["payload"].cast("string")
+    page = F.regexp_extract(fields, r"(?m)^page_id: (-?\d+)\r?$", 1)
+    captures = assemble(records).select(
         "capture_id",
         F.when(page != "", page).cast("long").alias("page_id"),
         F.col("response.type").alias("record_type"),
         F.col("response.refers_to").alias("to"),
-        F.col("response.size").alias("size"),
-        F.col("response.digest").alias("digest"),
+        F.octet_length("response.payload").cast("long").alias("size"),
+        F.sha2("response.payload", 256).alias("digest"),
     )
+    captures = written(captures, "warc-captures")
     targets = captures.where("record_type = 'response'").select(
         F.col("capture_id").alias("target"), F.col("page_id").alias("refers_to"), F.col("size").alias("t_size"), F.col("digest").alias("t_digest")
     )
