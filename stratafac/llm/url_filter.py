@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 
 from stratafac.llm.tables import written
 
-#: Labelled URLs that the trees are fitted on, at most (a hash sample), and
-#: suffixes that get a statistic of their own (the most frequent ones).
+#: Labelled URLs that the trees are fitted on, at most (a hash sample).
 FIT_ROWS = 20_000
+#: Suffixes whose statistics are broadcast, the most frequent ones; URLs of all
+#: others, each with less than a thousandth of the rows, are joined by shuffle.
 SUFFIXES = 1_000
 #: Pseudo-labels of the overall block share in a suffix's statistic.
 SMOOTHING = 20.0
@@ -115,10 +116,18 @@ def lexical(df: DataFrame, url_col: str = "url") -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Suffixes:
+    """Written statistics of all suffixes."""
+
+    frequent: DataFrame  # at most SUFFIXES rows
+    others: DataFrame | None  # None if there are no more
+
+
 @dataclass(frozen=True)
 class UrlModel:
     trees: tuple[GBTClassificationModel | float, ...] | None  # by fold, trained on the other folds; a constant where those have one class
-    suffixes: DataFrame | None  # at most SUFFIXES rows
+    suffixes: Suffixes | None
     rate: float  # share of blocked URLs among all
     cut: float = 0.5  # the score from which on a URL is blocked
 
@@ -146,10 +155,14 @@ def _fold() -> Column:
     return F.pmod(F.xxhash64(F.lit("fold"), "host"), F.lit(FOLDS)).cast("int")
 
 
-def _with_statistics(df: DataFrame, suffixes: DataFrame, rate: float) -> DataFrame:
+def _with_statistics(df: DataFrame, suffixes: Suffixes, rate: float) -> DataFrame:
     """Add ``_rates`` and ``_counts``: the suffix's statistics without each fold."""
     # at most SUFFIXES rows, by construction
-    joined = df.join(F.broadcast(suffixes), "suffix", "left")
+    joined = df.join(F.broadcast(suffixes.frequent), "suffix", "left")
+    if suffixes.others is not None:
+        # frequent suffixes stay where they are, so no key of the shuffle is hot
+        rare = joined.where("_rates is null").select(*df.columns).join(suffixes.others, "suffix", "left")
+        joined = joined.where("_rates is not null").unionByName(rare)
     none = F.array(*[F.lit(rate)] * FOLDS), F.array(*[F.lit(0.0)] * FOLDS)
     return joined.withColumn("_rates", F.coalesce("_rates", none[0])).withColumn("_counts", F.coalesce("_counts", none[1]))
 
@@ -171,6 +184,14 @@ def _suffix_statistics(rows: DataFrame, rate: float) -> DataFrame:
     return totals.select("suffix", "n", F.array(*rates).alias("_rates"), F.array(*counts).alias("_counts"))
 
 
+def _suffixes(rows: DataFrame, rate: float, frequent: int) -> Suffixes:
+    every = written(_suffix_statistics(rows, rate), "url-suffixes")
+    most = written(every.orderBy(F.desc("n"), "suffix").limit(frequent).drop("n"), "url-frequent-suffixes")
+    if every.count() <= frequent:
+        return Suffixes(most, None)
+    return Suffixes(most, written(every.drop("n").join(F.broadcast(most.select("suffix")), "suffix", "left_anti"), "url-other-suffixes"))
+
+
 def train(labelled: DataFrame, label_col: str = "label", fit_rows: int = FIT_ROWS, rounds: int = 10, depth: int = 4, seed: int = 7) -> UrlModel:
     """Fit the trees on rows with lexical features and a label: 1 (block), 0
     (allow) or null (unlabelled).
@@ -188,8 +209,7 @@ def train(labelled: DataFrame, label_col: str = "label", fit_rows: int = FIT_ROW
     rate = float(total["rate"] or 0.0)
     if total["n"] == 0 or rate in (0.0, 1.0):
         return UrlModel(None, None, rate)
-    stats = _suffix_statistics(rows, rate)
-    suffixes = written(stats.orderBy(F.desc("n"), "suffix").limit(SUFFIXES).drop("n"), "url-suffixes")
+    suffixes = _suffixes(rows, rate, SUFFIXES)
     sample = rows.withColumn("_order", F.xxhash64(F.lit(seed), "host", "path", "url_length")).orderBy("_order", "host", "path").limit(fit_rows)
     lexicals = [c for c in FEATURES if not c.startswith("suffix_")]
     sample = written(sample.select("label", "known", "host", "suffix", *lexicals), "url-sample")

@@ -120,6 +120,46 @@ def test_url_undecided_are_no_allow_labels(spark):
     assert got[False, "allow"] >= 0.95 * (got[False, "allow"] + got.get((False, "block"), 0))
 
 
+def test_url_rules_equal_brute_force(spark):
+    """Random URLs and rules against splitting by hand."""
+    rng = random.Random(12)
+    rules = tuple(url_filter.UrlRule(h, p, rng.choice(["allow", "block"])) for h in ("a", "b.a", "c.b.a", "b", "a.b") for p in ("/", "/x", "/x/y"))
+    pieces = ["a", "b", "c", ".", ".", "/", "/", "x", "y", "?", "#", "://", "A", "%", "é", " "]
+    urls = ["".join(rng.choice(["http://", "://", "", "H://"]) + "".join(rng.choice(pieces) for _ in range(rng.randint(0, 12)))) for _ in range(1500)]
+    urls += [f"http://{rng.choice(['', 'c.', 'X.', 'ba'])}{r.host}{r.path}{rng.choice(['', 'y', '/z?q'])}" for r in rules for _ in range(20)] + [None, ""]
+
+    def judged(url):
+        rest = (url or "").partition("://")[2]
+        end = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:end])
+        path = rest[end:]
+        path = path[: min([path.find(c) for c in "?#" if c in path], default=len(path))]
+        fit = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        longest = max(fit, key=lambda r: len(r.name), default=None)
+        return host, path, longest and longest.name, longest.verdict if longest else "allow"
+
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(df, rules, url_filter.UrlModel(None, None, 0.0)).collect()}
+    assert got == {i: judged(u) for i, u in enumerate(urls)}
+    assert sum(v[2] is not None for v in got.values()) > 200
+
+
+def test_url_rare_suffixes_keep_their_statistics(spark):
+    """Suffixes beyond the broadcast ones have the same statistics as with all of them broadcast."""
+    rng = random.Random(8)
+    rows = [(f"http://h{rng.randint(0, 40)}.t{min(rng.randint(0, 30), rng.randint(0, 30))}/{i}", rng.random() < 0.3) for i in range(600)] + [(None, False)]
+    df = url_filter.lexical(url_filter.with_parts(spark.createDataFrame(rows, "url string, bad boolean"))).withColumn("label", F.col("bad").cast("double"))
+    data = df.withColumn("_fold", url_filter._fold())
+    seen = []
+    for frequent in (5, 100):
+        found = url_filter._suffixes(data, 0.3, frequent)
+        assert (found.others is None) == (frequent == 100)
+        out = url_filter._with_statistics(data, found, 0.3).select("url", "suffix", "_fold", "_rates", "_counts").collect()
+        assert len(out) == len(rows) and all(min(r["_counts"]) >= 0 for r in out)
+        seen.append(sorted(map(str, out)))
+    assert seen[0] == seen[1]
+
+
 def test_url_cut():
     unlabelled = [(0.05, None)] * 20
     assert url_filter._cut([(0.4, 1.0), (0.2, 1.0), *unlabelled]) == pytest.approx(0.15)
@@ -194,9 +234,14 @@ def test_warc_round_trip(spark):
 
 
 def test_warc_repeated_rows_and_empty(spark):
-    pages = spark.createDataFrame([(1, "u", "x" * 200)] * 2 + [(1, "v", "x" * 200)], "page_id long, url string, html string")
-    out = [tuple(r) for r in warc.capture_digests(warc.read_records(spark, warc.archived(pages))).collect()]
-    assert sorted(x[3] for x in out) == ["response", "revisit"] and {x[:3] for x in out} == {(1, 200, sha("x" * 200))}
+    rows = [(1, "u", "x" * 200)] * 2 + [(1, "v", "x" * 200)] + [(3, "w", "y" * 150)] * 2500 + [(4, "w", "z")] * 3 + [(None, None, None)] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = Counter(tuple(r) for r in warc.capture_digests(warc.read_records(spark, warc.archived(pages))).collect())
+    big, mid = sha("x" * 200), sha("y" * 150)
+    assert out == {
+        (1, 200, big, "response", None): 1, (1, 200, big, "revisit", 1): 2, (3, 150, mid, "response", None): 1, (3, 150, mid, "revisit", 3): 2499,
+        (4, 1, sha("z"), "response", None): 3, (None, 0, sha(""), "response", None): 2,
+    }
     assert warc.capture_digests(warc.read_records(spark, warc.archived(pages.where("false")))).collect() == []
 
 
