@@ -23,8 +23,13 @@ def _without(docs: DataFrame, rejected: DataFrame, name: str) -> DataFrame:
     knowing their size.
     """
     keys = written(rejected.select(F.col("id").alias("r_id"), F.col("text_hash").alias("r_hash")).distinct(), name)
-    same = F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.xxhash64("text") == F.col("r_hash"))
-    return docs.join(keys, same, "left_anti")
+    same = F.col("row.doc_id").eqNullSafe(F.col("r_id")) & (F.xxhash64("row.text") == F.col("r_hash"))
+    return _as_rows(docs).select("row").join(keys, same, "left_anti").select("row.*")
+
+
+def _as_rows(docs: DataFrame) -> DataFrame:
+    """``text`` beside ``row``, which has all columns, so that no name clashes with a stage's own."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,30 +42,46 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     judged alike and kept each; an empty table stays empty; extra columns are
     carried under one struct, whatever their names.
     """
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
-    judged = quality.weakly_supervised(written(quality.features(rows, ("row",)), "quality-features"))
+    judged = quality.weakly_supervised(written(quality.features(_as_rows(docs), ("row",)), "quality-features"))
     return judged.where(f"not ({BASE_FAILED}) and good").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates stays."""
+    """The document with the smallest id of each group of near-duplicates stays.
+
+    Null and empty texts and rows with a null id are in no group and stay; rows
+    that repeat an id are judged by their own texts, and those that share a
+    group's smallest id stay each; an empty table stays empty; extra columns are
+    carried, whatever their names.
+    """
     return _without(docs, near_dup.near_duplicates(docs).where("not kept"), "near-rejected")
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of 13-word windows that a document of smaller id has are cut out;
-    documents without any are left as they are."""
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    out = substring_dedup.substring_dedup(docs, spacing="original", carry=rest)
-    out = out.withColumnsRenamed({"id": "doc_id", "kept_text": "text"}).withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    documents without any are left as they are.
+
+    Null texts become empty; rows with a null id lose nothing; rows that repeat
+    an id are cut each on its own; an empty table stays empty; extra columns are
+    carried, whatever their names, and ``n_chars`` is counted anew.
+    """
+    rest = {c: f"f{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text", "n_chars")}
+    # renamed, so that no name clashes with the operator's own
+    named = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(f) for c, f in rest.items()))
+    out = substring_dedup.substring_dedup(named, spacing="original", carry=tuple(rest.values()))
+    made = {"doc_id": F.col("id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return out.select(*((made[c] if c in made else F.col(rest[c])).alias(c) for c in docs.columns))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequences of at most 4096 tokens and offsets."""
-    pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1, with_ids=False)
-    packed = packing.pack(written(pieces.drop("ids"), "pieces"), capacity=4096)
-    return packed.withColumnRenamed("id", "doc_id")
+    """Token pieces with their ids, sequences of at most 4096 tokens and offsets.
+
+    Null and empty texts give one piece with the end id; repeated rows and rows
+    with a null id are packed each; an empty table gives no pieces; extra
+    columns are ignored.
+    """
+    pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
+    return packing.pack(written(pieces, "pieces"), capacity=4096).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [
