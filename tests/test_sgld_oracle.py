@@ -165,6 +165,31 @@ def test_grid_trains_in_full(monkeypatch):
     assert models["sgld"].sgld_cfg.rounds == 400
 
 
+def _config_of(monkeypatch, name, module, trainer):
+    """The settings that query ``name`` gives its trainer."""
+    from stratafac.plans import catalog
+
+    seen = []
+
+    def train(spark, train, test, cfg, *labels):
+        seen.append(cfg)
+        raise InterruptedError
+
+    monkeypatch.setattr(catalog, "zscored_split", lambda spark, sf_dir: (None, None))
+    monkeypatch.setattr(module, trainer, train)
+    with pytest.raises(InterruptedError):
+        catalog.QUERIES[name](None, "")
+    return seen[0]
+
+
+def test_dsgd_query_runs_all_epochs(monkeypatch):
+    from stratafac.plans import dsgd
+
+    cfg = _config_of(monkeypatch, "dsgd_train", dsgd, "train_dsgd")
+    assert cfg.epochs == 50 and cfg.blocks == 4 and cfg.eval_every == "epoch"
+    assert cfg.draws_per_epoch is None  # a draw per rating
+
+
 def _planted(spark):
     rows = [(u, i, float((u * i) % 5) / 2 - 1) for u in range(30) for i in range(20) if (u + i) % 3]
     return spark.createDataFrame(rows, "user bigint, item bigint, rating double")
