@@ -190,6 +190,11 @@ def test_dsgd_query_runs_all_epochs(monkeypatch):
     assert cfg.draws_per_epoch is None  # a draw per rating
 
 
+def test_sgld_query_runs_all_rounds(monkeypatch):
+    cfg = _config_of(monkeypatch, "sgld_train", sgld, "train_sgld")
+    assert cfg.rounds == 400 and cfg.fraction == 0.05 and cfg.eval_every == 1
+
+
 def _planted(spark):
     rows = [(u, i, float((u * i) % 5) / 2 - 1) for u in range(30) for i in range(20) if (u + i) % 3]
     return spark.createDataFrame(rows, "user bigint, item bigint, rating double")
