@@ -217,6 +217,61 @@ def test_batches_drawn_ahead_are_bernoulli(spark):
     assert sampling.batch_table(r, 1.0, 3, 0, 4).count() == 4 * n and sampling.batch_table(r, 0.0, 3, 0, 4).count() == 0
 
 
+def _odd_rows(spark):
+    """Ratings without a number, an item or a user; and test cells of ids that aren't trained."""
+    rows = [(u, i, float((u * i) % 5) / 2 - 1) for u in range(12) for i in range(10) if (u + i) % 3]
+    rows += [(0, 3, None), (30, 4, None), (31, None, 1.0), (None, 2, 0.5)]
+    test = [(0, 1, 1.0), (30, 4, 0.5), (30, 2, 2.0), (99, 2, -1.0), (3, 98, 1.0), (4, None, 1.5), (5, 1, None)]
+    return tuple(spark.createDataFrame(x, "user bigint, item bigint, rating double") for x in (rows, test))
+
+
+@pytest.mark.parametrize("init, noise, resample", [("constant", "shared", None), ("uniform", "none", 1)])
+def test_rounds_in_one_task_equal_rounds_as_plans(spark, tmp_path, monkeypatch, init, noise, resample):
+    train, test = _odd_rows(spark)
+    runs = []
+    for k, limit in enumerate((1 << 24, 0)):
+        monkeypatch.setattr(sgld, "LOCAL_VALUES", limit)
+        cfg = sgld.SGLDConfig(
+            rank=3, rounds=7, fraction=0.4, rounds_ahead=4, step0=1e-2, init=init, noise=noise, eval_every=2, snapshot_every=3, snapshot_path=str(tmp_path / f"s{k}"),
+            resample_after=resample, resample_every=2, on_divergence="stop",
+        )
+        res = sgld.train_sgld(spark, train, test, cfg)
+        snaps = spark.read.parquet(cfg.snapshot_path).collect()
+        runs.append(({(r.kind, r.id): list(r.v) for r in res.factors.collect()}, res.metrics, {(r.step, r.kind, r.id): list(r.v) for r in snaps}))
+    (one, curve, kept), (plans, want, stored) = runs
+    assert one.keys() == plans.keys() and ("V", None) in one and kept.keys() == stored.keys()
+    number = lambda v: np.array([np.inf if x is None else x for x in v])
+    for got, wanted in ((one, plans), (kept, stored)):
+        for key in wanted:
+            np.testing.assert_allclose(number(got[key]), number(wanted[key]), atol=1e-9)
+    assert any(None in v for v in plans.values())  # user 30 has no number at all
+    assert [m["epoch"] for m in curve] == [m["epoch"] for m in want] == [1, 3, 5]
+    np.testing.assert_allclose([m["rmse"] for m in curve], [m["rmse"] for m in want], atol=1e-9)
+    elapsed = [m["elapsed_s"] for m in curve]
+    assert elapsed == sorted(elapsed) and elapsed[0] > 0
+
+
+def test_rounds_drawn_ahead_are_few_jobs(spark, monkeypatch):
+    """A round that is a job of its own writes a table: 400 rounds were 400 of them."""
+    stored, store = [], sgld._store
+    monkeypatch.setattr(sgld, "_store", lambda *args: stored.append(1) or store(*args))
+    r = _planted(spark)
+    assert len(sgld.train_sgld(spark, r, r, sgld.SGLDConfig(rank=3, rounds=100)).metrics) == 100
+    assert len(stored) == 3  # the start, and two times 50 rounds
+
+
+def test_chunks_hold_a_bounded_number_of_rows(monkeypatch):
+    sizes = {t: 10 for t in range(50)}
+    cfg = sgld.SGLDConfig(rounds=120)
+    assert sgld.chunk_end(cfg, 0, sizes) == 50 and sgld.chunk_end(cfg, 100, {}) == 120
+    monkeypatch.setattr(sgld, "CHUNK_ROWS", 45)
+    assert sgld.chunk_end(cfg, 0, sizes) == 4
+    monkeypatch.setattr(sgld, "CHUNK_ROWS", 5)
+    assert sgld.chunk_end(cfg, 0, sizes) == 1
+    assert not sgld.one_task(cfg, 10**6, sgld.LOCAL_VALUES) and sgld.one_task(cfg, 10**6, 10**5)
+    assert not sgld.one_task(cfg, 10**9, 10**5) and not sgld.one_task(sgld.with_overrides(cfg, resume_path="x"), 10**6, 10**5)
+
+
 def test_snapshots_give_the_curve_of_the_run(spark, tmp_path):
     from stratafac.plans import sgld
 
