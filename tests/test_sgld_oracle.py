@@ -260,6 +260,42 @@ def test_rounds_drawn_ahead_are_few_jobs(spark, monkeypatch):
     assert len(stored) == 3  # the start, and two times 50 rounds
 
 
+def test_drawn_rows_are_packed_by_round(spark, monkeypatch):
+    """The task reads a row per round and drawing task, not one per rating of a batch."""
+    from stratafac.operators import sampling
+    from stratafac.plans import round_worker
+
+    train, _ = _odd_rows(spark)
+    monkeypatch.setattr(round_worker, "PACK_ROWS", 7)
+    cfg = sgld.SGLDConfig(rounds=9, fraction=0.3, rounds_ahead=6)
+    path, sizes = sgld.draw_packed(spark, train.repartition(2), cfg, 6)
+    want = sampling.batch_table(train, 0.3, cfg.seed, 6, 3).collect()
+    rows = spark.read.parquet(path).collect()
+    assert sizes == {t: sum(r.t == t for r in want) for t in (6, 7, 8)} and len(rows) < len(want) / 3
+    got = []
+    for r in rows:
+        columns = (np.frombuffer(r[c], kind).tolist() for c, kind in zip(round_worker.PACK_COLS, (np.int64, np.int64, np.float64, np.bool_)))
+        got += [(r.t, *cell) for cell in zip(*columns)]
+    none = round_worker.NO_ID
+    as_packed = [(r.t, none if r.user is None else r.user, none if r.item is None else r.item, r.rating or 0.0, r.rating is None) for r in want]
+    assert sorted(got) == sorted(as_packed) and any(c[4] for c in got)
+
+
+def test_a_draw_takes_its_hash_once(spark):
+    from stratafac.operators import sampling
+
+    r = _planted(spark)
+    plan = sampling.batch_table(r, 0.05, 3, 0, 50)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("md5(") <= 2  # of the usual steps, and of the rest
+
+
+def test_ratings_are_spread_over_the_cores(spark):
+    r = _planted(spark).coalesce(1)
+    cores = spark.sparkContext.defaultParallelism
+    assert sgld.spread(spark, r).rdd.getNumPartitions() == cores
+    assert sgld.spread(spark, r.repartition(cores + 3)).rdd.getNumPartitions() == cores + 3
+
+
 def test_chunks_hold_a_bounded_number_of_rows(monkeypatch):
     sizes = {t: 10 for t in range(50)}
     cfg = sgld.SGLDConfig(rounds=120)
